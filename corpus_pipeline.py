@@ -1,5 +1,67 @@
-"""Corpus pipeline over ``documents``."""
-STAGES = []
+"""Corpus pipeline over ``documents``: language, copies, near copies, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept.  All but the last return the columns of ``documents``; the last returns
+the pieces of packed sequences.  Rows without an id pass the near-copy stage;
+rows that repeat an id and a size get the same number of copies in the mixture.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidegauge.llm import exact_dedup, jaccard, langid, mixing, packing
+from tidegauge.llm.queries import vocabulary
+from tidegauge.sources.scratch import materialise
+
+#: A language judged with a smaller share of the likelihood is rejected.
+MIN_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; the model learns from this very input."""
+    judge = langid.judge(spark, langid.fit(docs.where(~langid.held_out())))
+    judged = docs.select(F.struct(*docs.columns).alias("doc"), judge(F.col("text")).alias("judged"))
+    kept = judged.where((F.col("judged.lang_pred") != langid.UNKNOWN) & (F.col("judged.score") >= MIN_SCORE))
+    return kept.select("doc.*")
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document id of each component of similar shingle sets."""
+    linked = jaccard.jaccard_components(docs)
+    gone = linked.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources meet their token targets."""
+    taken = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("copies").alias("_copies"))
+    taken = taken.withColumnsRenamed({"doc_id": "_id", "size": "_size"}).where("_copies > 0")
+    sized = docs.withColumn("_words", mixing.word_count("text"))
+    same = sized["doc_id"].eqNullSafe(taken["_id"]) & (sized["_words"] == taken["_size"])
+    joined = sized.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return joined.select(*[sized[c] for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the training sequences."""
+    return packing.pack(docs, vocabulary(), end_id=0, with_ids=False)
+
+
+STAGES = [("language ID", language), ("exact dedup", copies), ("n-gram Jaccard join", near_copies), ("mixing", mixture), ("packing", packed)]
+
+#: SQL can express neither the language model nor the mixture; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

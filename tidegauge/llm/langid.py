@@ -24,11 +24,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -145,15 +145,20 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = 4000, max_w
     return Model(langs, words, grams, penalty)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
+def judge(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function of a text column: struct of ``lang_pred`` and ``score``."""
+    shared = spark.sparkContext.broadcast(model)  # bounded by the model's parameters
 
     @F.pandas_udf("lang_pred string, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
+    def judged(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    judged = docs.withColumn("_judged", judge(F.col(text_col)))
+    return judged
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (replacing columns of these names); only the text is looked at."""
+    judged = docs.withColumn("_judged", judge(docs.sparkSession, model)(F.col(text_col)))
     return judged.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
 
 

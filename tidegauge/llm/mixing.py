@@ -27,7 +27,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from tidegauge.sources.scratch import materialise
 
@@ -38,6 +38,11 @@ SUB = 256
 LIMIT = 500.0
 
 
+def word_count(text_col: str) -> Column:
+    """Words of a text; null has none."""
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+
+
 def source_targets(sizes: Sequence[int], weights: Sequence[float], cap: float = 3.0) -> list[float]:
     """Share all tokens by weight; what lies above ``cap`` times a source's size is reshared."""
     total, target = float(sum(sizes)), [0.0] * len(sizes)
@@ -133,8 +138,7 @@ def mix(
     ``weight_of`` maps the rank of a source (by code point, null last) to its weight.
     """
     spark = docs.sparkSession
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    rows = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
+    rows = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "mix-sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row per source
     totals.sort(key=lambda r: (r["source"] is None, r["source"]))
     if not totals:

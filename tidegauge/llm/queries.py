@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import exact_dedup, html_text, langid, line_dedup, mixing, packing, shard, token_files
+from tidegauge.llm import exact_dedup, html_text, jaccard, langid, line_dedup, mixing, packing, shard, token_files
 from tidegauge.sources.scratch import materialise, scratch_path
 
 
@@ -40,6 +40,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -111,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_token_files": op2_token_files,
         "op4_sharding": op4_sharding,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_mixing": op6_mixing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
