@@ -8,8 +8,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import exact_dedup, html_text, jaccard, langid, line_dedup, mixing, packing, shard, token_files
-from tidegauge.sources.scratch import materialise, scratch_path
+from tidegauge.llm import ann, exact_dedup, html_text, jaccard, langid, line_dedup, mixing, packing, shard, token_files
+from tidegauge.sources.scratch import scratch_path
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -35,6 +35,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard.shard_rows(_table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_token_files": op2_token_files,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
         "op4_sharding": op4_sharding,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_mixing": op6_mixing,
