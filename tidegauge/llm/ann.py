@@ -12,7 +12,7 @@ new member are compared again.  Rounds end when few edges change.
 
 Search is greedy with a beam: per round, each query opens its best unopened
 nodes, joins their neighbours, has them scored where their vectors lie (by
-block of nodes) and keeps the best ``beam``.  A query that is a node itself
+block of nodes) and keeps the best ``beam``.  Edges are followed both ways.  A query that is a node itself
 starts from its own neighbours, any other from fixed entry nodes.  Scores of
 the result are recomputed in double precision on the original vectors.
 
@@ -234,11 +234,15 @@ def _take(beam: int, width: int):
 STATE = "q long, qvec binary, nodes array<long>, scores array<float>, done array<boolean>, open array<long>"
 
 
-def graph_search(queries: DataFrame, packed: DataFrame, edges: DataFrame, n: int, beam: int = 192, width: int = 96, rounds: int = 4, entries: int = 64) -> DataFrame:
+def graph_search(queries: DataFrame, packed: DataFrame, edges: DataFrame, n: int, beam: int = 192, width: int = 64, rounds: int = 4, entries: int = 64, reverse: int = 24) -> DataFrame:
     """(q, node, s): the beam of each of ``queries`` (q, qvec, node or null) after greedy search."""
     blocks = max(1, -(-n // BLOCK))
     held = packed.withColumn("b", _block_of(F.col("node"), blocks).cast("int"))
-    graph = edges.groupBy("u").agg(F.collect_list("w").alias("near")).withColumnRenamed("u", "open")
+    # edges serve both ways, so that nodes nobody counts among its nearest are reached too
+    nearest_back = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("s"), "u"))
+    back = edges.select("u", "w", "s").withColumn("r", nearest_back).where(F.col("r") <= reverse)
+    ways = edges.select("u", "w").unionByName(back.select(F.col("w").alias("u"), F.col("u").alias("w")))
+    graph = materialise(ways.groupBy("u").agg(F.collect_set("w").alias("near")).withColumnRenamed("u", "open"), "ways")
     # fixed entry nodes, for queries that are no node of the index
     seeds = packed.select("node").orderBy(F.xxhash64("node")).limit(entries).agg(F.collect_list("node").alias("seeds"))
     own = queries.join(graph.withColumnRenamed("open", "node"), "node", "left").join(F.broadcast(seeds))

@@ -90,8 +90,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns; repeats of a row go too."""
-    best = winners(docs, id_col, text_col).withColumnRenamed("keep_id", "_keep")
-    keyed = with_keys(docs, text_col)
+    best = winners(docs, id_col, text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed = with_keys(rows, "text").drop("text")
     same = [keyed[c] == best[c] for c in ("_digest", "_mix", "_len")]
-    kept = keyed.join(best, [*same, keyed[id_col].eqNullSafe(best["_keep"])], "left_semi")
-    return kept.dropDuplicates([id_col, "_digest", "_mix", "_len"]).select(*docs.columns)
+    kept = keyed.join(best, [*same, keyed["id"].eqNullSafe(best["keep_id"])], "left_semi")
+    return kept.dropDuplicates(["id", "_digest", "_mix", "_len"]).select("row.*")

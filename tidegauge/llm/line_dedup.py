@@ -122,14 +122,15 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with ``keep_bitmap`` (null: every line stays); texts are unchanged."""
     lost = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
-    named = docs.withColumn("_tag", _tag(id_col, text_col))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), _tag(id_col, text_col).alias("own"))
 
     @F.pandas_udf("binary")
     def compress(n: pd.Series, at: pd.Series) -> pd.Series:
         return pd.Series([None if a is None else pack_bitmap(k, a) for k, a in zip(n, at)], dtype=object)
 
     # the text is only counted here, for the bitmap's length
-    n_lines = F.length(F.col(text_col)) - F.length(F.translate(F.col(text_col), "\n", "")) + 1
-    joined = named.join(lost, (F.col(id_col).cast("long").eqNullSafe(F.col("doc"))) & (F.col("_tag") == F.col("tag")), "left")
+    text = F.col(f"row.{text_col}")
+    n_lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+    joined = rows.join(lost, F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("tag")), "left")
     bitmap = F.when(F.col("at").isNotNull(), compress(F.coalesce(n_lines, F.lit(1)), F.col("at")))
-    return joined.select(*[named[c] for c in docs.columns], bitmap.alias("keep_bitmap"))
+    return joined.select("row.*", bitmap.alias("keep_bitmap"))

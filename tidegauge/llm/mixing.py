@@ -10,7 +10,8 @@ driver, together with the targets, which are configuration of the same length.
 
 Rates are rounded into copies so that the tokens taken stay near the target:
 per source, sizes are visited from large to small and each size gets the whole
-number of extra copies that best repays the error so far.  Which documents of
+number of extra copies that best repays the error so far; what error is left
+is repaired by trading single copies between sizes.  Which documents of
 a size get them is decided by a hash of their id, ranked within sub-groups of
 about ``SUB`` rows, so a size that many documents share is no hot group.
 
@@ -93,6 +94,27 @@ def _solve(hist: DataFrame, goals: dict[int, tuple[float, float]], cap: float, s
     return lam
 
 
+def _repair(size: np.ndarray, n: np.ndarray, base: np.ndarray, extra: np.ndarray, error: float, cap: float) -> None:
+    """Trade a copy of one size for one of another while that brings the tokens nearer to the target."""
+    for _ in range(8):
+        more = np.flatnonzero((size > 0) & (extra < n) & (base < cap))
+        less = np.flatnonzero((size > 0) & (extra > 0))
+        less = less[np.argsort(size[less], kind="stable")]
+        gain, loss = np.r_[0.0, size[more]], np.r_[0.0, size[less]]
+        at = np.searchsorted(loss, gain - error)
+        near = np.stack([np.clip(at - 1, 0, len(loss) - 1), np.clip(at, 0, len(loss) - 1)])
+        left = np.abs(error - gain + loss[near])
+        side, i = np.unravel_index(np.argmin(left), left.shape)
+        if left[side, i] >= abs(error):
+            return
+        j = near[side, i]
+        error += loss[j] - gain[i]
+        if i:
+            extra[more[i - 1]] += 1
+        if j:
+            extra[less[j - 1]] -= 1
+
+
 def _round(cap: float, lam: dict[int, float], goals: dict[int, tuple[float, float, float]]):
     """Whole copies for each (source, size): ``base`` for all of its documents, ``extra`` of them get one more."""
 
@@ -113,11 +135,7 @@ def _round(cap: float, lam: dict[int, float], goals: dict[int, tuple[float, floa
             wish = (rate[i] - base[i]) * n[i]
             extra[i] = min(max(round(wish + error / size[i]), 0.0), n[i] if base[i] < cap else 0.0)
             error += (wish - extra[i]) * size[i]
-        for i in range(len(n)):  # repair what rounding left, largest sizes first
-            if size[i] and base[i] < cap and (k := math.trunc(error / size[i])):
-                k = min(max(k, -extra[i]), n[i] - extra[i])
-                extra[i] += k
-                error -= k * size[i]
+        _repair(size, n, base, extra, error, cap)
         return pd.DataFrame({"src": pdf["src"], "size": pdf["size"], "base": base.astype("int64"), "extra": extra.astype("int64"), "n": pdf["n"]})
 
     return run
