@@ -40,12 +40,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources meet their token targets."""
-    taken = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("copies").alias("_copies"))
-    taken = taken.withColumnsRenamed({"doc_id": "_id", "size": "_size"}).where("_copies > 0")
-    sized = docs.withColumn("_words", mixing.word_count("text"))
-    same = sized["doc_id"].eqNullSafe(taken["_id"]) & (sized["_words"] == taken["_size"])
-    joined = sized.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return joined.select(*[sized[c] for c in docs.columns])
+    taken = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), mixing.word_count("text").alias("words"))
+    same = rows["id"].eqNullSafe(taken["doc_id"]) & (rows["words"] == taken["size"])
+    return rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
