@@ -16,7 +16,10 @@ def severity(status: Column) -> Column:
 
 def of_severity(rank: Column) -> Column:
     """State of a rank."""
-    return F.element_at(F.array(*map(F.lit, SEVERITY)), (rank + 1).cast("int"))
+    chain = F.lit(None).cast("string")
+    for i, name in enumerate(SEVERITY):
+        chain = F.when(rank == i, name).otherwise(chain)
+    return chain
 
 
 def classify(direction: Column, limits: Column, value: Column) -> Column:
