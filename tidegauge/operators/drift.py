@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.status import classify
@@ -59,6 +62,23 @@ def excluded(sides: DataFrame) -> DataFrame:
     return sides.groupBy("agent_id", "kpi_slug", "source_slug").agg(F.count_if((F.col("side") == "baseline") & ~F.col("healthy")).alias("excluded"), F.count_if(F.col("side") == "current").alias("current_n"), F.count_if((F.col("side") == "baseline") & F.col("healthy")).alias("baseline_n"))
 
 
+def derive(sides: DataFrame, compute: Callable[[dict, dict], float | None]) -> DataFrame:
+    """A user's derived KPI (X4): ``compute(current, baseline)`` gets lists of values by source.
+
+    Runs per (agent, KPI); a window holds an hourly value per source, so a
+    group is small.  None skips the agent.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lists = {s: {k: g["value"].tolist() for k, g in pdf[pdf["side"] == s].groupby("source_slug")} for s in ("current", "baseline")}
+        value = compute(lists["current"], lists["baseline"])
+        first, n = pdf.iloc[0], pdf["side"].value_counts()
+        rows = [] if value is None else [(first["agent_id"], first["kpi_slug"], float(value), int(n.get("current", 0)), int(n.get("baseline", 0)))]
+        return pd.DataFrame(rows, columns=["agent_id", "kpi_slug", "value", "nc", "nb"])
+
+    return sides.where("healthy").groupBy("agent_id", "kpi_slug").applyInPandas(run, "agent_id string, kpi_slug string, value double, nc long, nb long")
+
+
 def as_buckets(values: DataFrame, as_of: Column) -> DataFrame:
     """Derived values as day buckets: one observation, every statistic the value (JB3)."""
     stats = [F.col("value").alias(c) for c in ("sum", "min", "max", "p50", "p95", "p99")]

@@ -153,6 +153,9 @@ def _lookback(lo: str, hi: str) -> dict[str, str]:
     }
 
 
+#: Overrides of the mapping that may not be stored.
+BAD = """coalesce((direction = 'higher_is_better' AND own.critical >= own.warning) OR (direction = 'lower_is_better' AND own.warning >= own.critical), false)
+    OR coalesce(own.good_lo > own.good_hi OR own.warn_lo > own.warn_hi OR own.warn_lo > own.good_lo OR own.good_hi > own.warn_hi, false)"""
 OBS = "agent_id, run_id, kpi_slug, round(value, 6) + 0 AS value, source, 1 AS kpi_version, occurred_at"
 REPLY = "length('Rate the toxicity of this answer from 0 to 1. Reply with the number only.' || chr(10) || chr(10) || text)"
 STAGED = {
@@ -249,6 +252,23 @@ def oracle_sql() -> dict[str, str]:
             WHEN range_lo IS NOT NULL AND (least(own.warning, own.critical, own.good_lo, own.warn_lo) < range_lo OR greatest(own.warning, own.critical, own.good_hi, own.warn_hi) > range_hi) THEN 'range' END AS fault
             FROM own JOIN defs USING (kpi_slug)) WHERE fault IS NOT NULL"""
         ),
+        "override_store": _with(
+            "SELECT own.agent_id, own.kpi_slug, "
+            + ", ".join(f"round(CASE WHEN {BAD} THEN {old} ELSE own.{f} END, 6) + 0 AS {f}" for f, old in zip(LIMITS, ("0.5", "0.25", "NULL", "NULL", "NULL", "NULL")))
+            + " FROM own JOIN defs USING (kpi_slug) WHERE own.agent_id <> 'agent-3'"
+        ),
+        "definitions_sync": _with("SELECT kpi_slug, any_value(aggregation) AS aggregation, any_value(min_sample_n) AS min_sample_n, min(occurred_at) FILTER (WHERE kind = 'extracted') AS first_observed_at FROM defs LEFT JOIN obs USING (kpi_slug) GROUP BY kpi_slug"),
+        "ingest_summary": _with(
+            """SELECT agent_id, count(*) AS runs, (SELECT count(*) FROM obs o WHERE o.agent_id = r.agent_id) AS observations,
+            (SELECT count(*) FROM feedback f WHERE f.agent_id = r.agent_id AND NOT EXISTS (SELECT 1 FROM runs x WHERE x.agent_id = f.agent_id AND x.run_id = f.run_id)) AS orphans, max(start_time) AS watermark
+            FROM runs r GROUP BY agent_id"""
+        ),
+        "fleet_critical": _with("SELECT agent_id, critical, contributing FROM summary WHERE status = 'critical'", _rollups(ALL), LATEST),
+        "derived_custom": _with(
+            """SELECT agent_id, 'latency_drift' AS kpi_slug, round(avg(value) FILTER (WHERE side = 'current') / avg(value) FILTER (WHERE side = 'baseline') - 1, 6) + 0 AS value,
+            count(*) FILTER (WHERE side = 'current') AS nc, count(*) FILTER (WHERE side = 'baseline') AS nb FROM sides WHERE healthy GROUP BY agent_id""",
+            _rollups(["hour"]), SIDES,
+        ),
         "partition_labels": _with(
             """SELECT CAST(isoyear(start_time) AS VARCHAR) || 'w' || lpad(CAST(weekofyear(start_time) AS VARCHAR), 2, '0') AS week, CAST(date_trunc('week', start_time) AS TIMESTAMP) AS week_start,
             CAST(date_trunc('week', start_time) AS TIMESTAMP) + INTERVAL 7 DAY AS week_end, strftime(start_time, '%Ym%m') AS month, count(*) AS runs FROM runs GROUP BY ALL"""

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.functions import buckets, parse, status
-from tidegauge.operators import drift, ingest, judge, read, retention, rollup
+from tidegauge.operators import drift, ingest, judge, read, retention, rollup, thresholds
 from tidegauge.plans import kpis
 from tidegauge.sources import records, tables
 from tidegauge.sources.scratch import scratch_path
@@ -252,9 +252,43 @@ def threshold_override(spark, d):
 
 def threshold_violations(spark, d):
     """Overrides that may not be stored, and why."""
-    rows = _overrides(spark, d).join(F.broadcast(_defs(spark).select("kpi_slug", "direction", "range_lo", "range_hi")), "kpi_slug")
-    fault = F.coalesce(status.coherent(F.col("direction"), F.col("thresholds")), F.when(~status.in_range(F.col("thresholds"), F.col("range_lo"), F.col("range_hi")), "range"))
-    return rows.select("agent_id", "kpi_slug", fault.alias("fault")).where("fault is not null")
+    return thresholds.faults(_overrides(spark, d), _defs(spark)).where("fault is not null").select("agent_id", "kpi_slug", "fault")
+
+
+def override_store(spark, d):
+    """Sound overrides stored over older ones, through JSON and back; those of one agent deleted."""
+    new = _overrides(spark, d)
+    old = new.withColumn("thresholds", thresholds.from_json(F.lit('{"warning":0.5,"critical":0.25}')))
+    stored = thresholds.put(old, new.withColumn("thresholds", thresholds.from_json(thresholds.to_json(F.col("thresholds")))), _defs(spark))
+    left = thresholds.delete(stored, _agents(spark, d).where("agent_id = 'agent-3'").crossJoin(F.broadcast(_defs(spark).select("kpi_slug"))))
+    return _rounded(left.select("agent_id", "kpi_slug", "thresholds.*"))
+
+
+def definitions_sync(spark, d):
+    """Definitions synced again after their series began."""
+    begun = ingest.first_observed(_observations(spark, d), _defs(spark)).where("kind = 'extracted'")
+    again = ingest.sync_definitions(begun, _defs(spark))
+    return tables.ntz(again.select("kpi_slug", "aggregation", "min_sample_n", "first_observed_at"))
+
+
+def ingest_summary(spark, d):
+    runs = tables.runs(spark, d)
+    scores = records.last_scores(tables.feedback(spark, d), "created_at")
+    return tables.ntz(ingest.batch_summary(runs, _observations(spark, d), ingest.orphans(scores, runs)))
+
+
+def fleet_critical(spark, d):
+    """Agents in the critical state."""
+    return read.fleet_filter(read.summary(_latest(spark, d)), "critical").select("agent_id", "critical", "contributing")
+
+
+def derived_custom(spark, d):
+    """A user's derived KPI: how far the mean hourly latency moved against the baseline."""
+    def moved(current, baseline):
+        now, then = current.get("latency_p95", []), baseline.get("latency_p95", [])
+        return sum(now) / len(now) / (sum(then) / len(then)) - 1 if now and then else None
+
+    return _rounded(drift.derive(_sides(spark, d), moved))
 
 
 def partition_labels(spark, d):
@@ -362,7 +396,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         runs_flat, runs_upsert, run_quarantine, observations_extracted, feedback_matched, feedback_orphans, observations_all, rollup_lookback, rollup_touched,
         value_by_aggregation, series_exact, series_ranges, series_downsampled, super_buckets, granularity_choice, latest_reading, status_eval, hysteresis, agent_summary,
         overview_totals, annotations, trend_wow, drift_psi, drift_excluded, derived_rollup, unjudged_runs, judge_batch, judge_parse, judge_tally, threshold_override,
-        threshold_violations, partition_labels, retention_runs, retention_payload, retention_rollups, retention_report, cursor_advance, first_observed, coverage,
+        threshold_violations, override_store, definitions_sync, ingest_summary, fleet_critical, derived_custom, partition_labels, retention_runs, retention_payload, retention_rollups, retention_report, cursor_advance, first_observed, coverage,
         freshness, change_feed, series_json, payload_fields, streaming_rollup, order_delays,
     ]
     out = {f.__name__: f for f in named}

@@ -47,3 +47,11 @@ def overwrite_buckets(rollups: DataFrame, path: str) -> None:
     parted = rollups.withColumn("bucket_date", F.to_date("bucket_start"))
     staged = materialise(parted, "buckets")
     staged.repartition("granularity", "bucket_date").sortWithinPartitions("agent_id", "kpi_slug", "bucket_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("granularity", "bucket_date").parquet(path)
+
+
+def drop_partitions(spark: SparkSession, path: str, parts: list[str]) -> None:
+    """Delete whole partition folders of a table (M1); other partitions are not touched."""
+    jvm = spark.sparkContext._jvm
+    for part in parts:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
