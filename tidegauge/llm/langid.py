@@ -37,7 +37,11 @@ LONGEST = 5
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
-    return LETTERS.findall(text.lower())
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # the pattern also takes numerals that are no digits, such as fractions
+    return [w for w in ("".join(filter(str.isalpha, x)) for x in found) if w]
 
 
 def grams_of(word: str, n: int) -> list[str]:

@@ -78,7 +78,9 @@ def _solve(hist: DataFrame, goals: dict[int, tuple[float, float]], cap: float, s
         tilt = F.exp(F.least(by[F.col("src")] * F.col("size"), F.lit(math.log(cap))))
         mass = F.col("size") * F.col("n")
         slope = F.when(tilt < cap, mass * tilt * F.col("size")).otherwise(0.0)
-        sums = hist.where(F.col("src").isin(sorted(todo))).groupBy("src").agg(F.sum(mass * tilt).alias("f"), F.sum(slope).alias("d"))
+        # decimal sums do not depend on the order of tasks, so reruns agree
+        f, d = (F.sum(x.cast("decimal(28,6)")).cast("double") for x in (mass * tilt, slope))
+        sums = hist.where(F.col("src").isin(sorted(todo))).groupBy("src").agg(f.alias("f"), d.alias("d"))
         for r in sums.collect():  # one row per source
             k, (target, _, mean) = r["src"], goals[r["src"]]
             gap = r["f"] - target
