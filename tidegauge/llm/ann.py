@@ -244,9 +244,9 @@ def graph_search(queries: DataFrame, packed: DataFrame, edges: DataFrame, n: int
     ways = edges.select("u", "w").unionByName(back.select(F.col("w").alias("u"), F.col("u").alias("w")))
     graph = materialise(ways.groupBy("u").agg(F.collect_set("w").alias("near")).withColumnRenamed("u", "open"), "ways")
     # fixed entry nodes, for queries that are no node of the index
-    seeds = packed.select("node").orderBy(F.xxhash64("node")).limit(entries).agg(F.collect_list("node").alias("seeds"))
-    own = queries.join(graph.withColumnRenamed("open", "node"), "node", "left").join(F.broadcast(seeds))
     none = F.array().cast("array<long>")
+    seeds = [F.lit(r["node"]) for r in packed.select("node").orderBy(F.xxhash64("node")).limit(entries).collect()]
+    own = queries.join(graph.withColumnRenamed("open", "node"), "node", "left").withColumn("seeds", F.array(*seeds) if seeds else none)
     itself = F.when(F.col("node").isNotNull(), F.array("node")).otherwise(none)
     near = F.when(F.col("near").isNotNull(), F.concat("near", itself)).otherwise(F.concat("seeds", itself))
     state = own.select("q", "qvec", none.alias("nodes"), F.array().cast("array<float>").alias("scores"), F.array().cast("array<boolean>").alias("done"), near.alias("near"))
