@@ -49,7 +49,8 @@ def downsampled(rollups: DataFrame, definitions: DataFrame, seconds: int) -> Dat
 
 def with_overrides(agents: DataFrame, definitions: DataFrame, overrides: DataFrame | None) -> DataFrame:
     """Every agent with every KPI, thresholds replaced where the agent has its own."""
-    every = agents.crossJoin(F.broadcast(definitions))  # one side is the registry, a row per KPI
+    slugs = [r["kpi_slug"] for r in definitions.select("kpi_slug").collect()]  # the registry: one row per KPI
+    every = agents.withColumn("kpi_slug", F.explode(F.array(*map(F.lit, slugs)))).join(F.broadcast(definitions), "kpi_slug")
     if overrides is None:
         return every.withColumn("overridden", F.lit(False))
     own = overrides.select("agent_id", "kpi_slug", F.col("thresholds").alias("_own"))

@@ -129,8 +129,8 @@ def value_by_aggregation(spark, d):
 
 def _requests(spark, d, ranges, max_points=300, granularity=None):
     each = [F.struct(F.lit(a.isoformat(sep=" ")).cast("timestamp").alias("from_ts"), F.lit(b.isoformat(sep=" ")).cast("timestamp").alias("to_ts")) for a, b in ranges]
-    pairs = _agents(spark, d).crossJoin(F.broadcast(_defs(spark).where("kind != 'derived'").select("kpi_slug")))  # the registry
-    rows = pairs.withColumn("r", F.explode(F.array(*each)))
+    slugs = F.array(*[F.lit(k.slug) for k in kpis.SHIPPED if k.kind != "derived"])
+    rows = _agents(spark, d).withColumn("kpi_slug", F.explode(slugs)).withColumn("r", F.explode(F.array(*each)))
     return rows.select("agent_id", "kpi_slug", "r.from_ts", "r.to_ts", F.lit(max_points).alias("max_points"), F.lit(granularity).cast("string").alias("granularity"))
 
 
@@ -260,7 +260,7 @@ def override_store(spark, d):
     new = _overrides(spark, d)
     old = new.withColumn("thresholds", thresholds.from_json(F.lit('{"warning":0.5,"critical":0.25}')))
     stored = thresholds.put(old, new.withColumn("thresholds", thresholds.from_json(thresholds.to_json(F.col("thresholds")))), _defs(spark))
-    left = thresholds.delete(stored, _agents(spark, d).where("agent_id = 'agent-3'").crossJoin(F.broadcast(_defs(spark).select("kpi_slug"))))
+    left = thresholds.delete(stored, stored.where("agent_id = 'agent-3'"))
     return _rounded(left.select("agent_id", "kpi_slug", "thresholds.*"))
 
 
