@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
+#: Unseen words that a task remembers the scores of.
+SPARE = 300_000
 
 
 def words_of(text: str) -> list[str]:
@@ -67,40 +69,55 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
+class _Rows(dict):
+    """Word -> row of its scores; an unseen word gets a row when it is first met."""
+
+    def __init__(self, model: Model, spare: int):
+        super().__init__((w, i) for i, w in enumerate(model.words))
+        self.model, self.known = model, len(model.words)
+        self.scores = np.zeros((self.known + spare, len(model.langs)))
+        if self.known:
+            self.scores[: self.known] = list(model.words.values())
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        self.scores[at] = self.model.unseen(word)
+        return at
+
+    def of(self, counts: Counter) -> np.ndarray:
+        """Score rows of all words of a text."""
+        if len(self) + len(counts) > len(self.scores):  # forget the unseen words met so far
+            self.__init__(self.model, max(len(self.scores) - self.known, len(counts)))
+        at = np.fromiter(map(self.__getitem__, counts), dtype=np.int64, count=len(counts))
+        return self.scores[at]
+
+
 class Model:
     """Per-language scores of words and n-grams."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]], penalty: float):
         self.langs, self.words, self.grams, self.penalty = langs, words, grams, penalty
-        self.seen: dict[str, np.ndarray] = {}
+        self.rows: _Rows | None = None
 
     def unseen(self, word: str) -> np.ndarray:
         """Backed-off score of a word outside the vocabulary."""
-        got = self.seen.get(word)
-        if got is None:
-            got = np.full(len(self.langs), self.penalty)
-            for n in range(min(LONGEST, len(word) + 2), 0, -1):
-                table = self.grams[n - 1]
-                if known := [table[g] for g in grams_of(word, n) if g in table]:
-                    got = np.mean(known, axis=0)
-                    break
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[word] = got
-        return got
+        for n in range(min(LONGEST, len(word) + 2), 0, -1):
+            table = self.grams[n - 1]
+            if known := [table[g] for g in grams_of(word, n) if g in table]:
+                return sum(known) / len(known)
+        return np.full(len(self.langs), self.penalty)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the tempered likelihood, 0 to 1."""
         counts = Counter(words_of(text)) if text and self.langs else None
         if not counts:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in counts.items():
-            score = self.words.get(word)
-            total += n * (self.unseen(word) if score is None else score)
-        mean = total / counts.total()
+        if self.rows is None:
+            self.rows = _Rows(self, SPARE)
+        words = counts.total()
+        mean = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) @ self.rows.of(counts) / words
         best = int(np.argmax(mean))
-        shares = np.exp((mean - mean[best]) * min(counts.total(), 20))
+        shares = np.exp((mean - mean[best]) * min(words, 20))
         return self.langs[best], float(1 / shares.sum())
 
 
