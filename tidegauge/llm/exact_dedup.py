@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.sources.scratch import materialise
+
 #: The letters that compare equal.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -28,7 +30,9 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z only; null becomes the empty string."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    text = F.coalesce(text, F.lit(""))
+    # for pure ASCII the built-in lower case is the same and faster
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def _hot_digests(rows: DataFrame, share: int) -> list[bytes]:
@@ -38,15 +42,17 @@ def _hot_digests(rows: DataFrame, share: int) -> list[bytes]:
     return [r["_digest"] for r in counts.where(F.col("n") > floor).select("_digest").collect()]
 
 
-def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, hot_share: int = 1000) -> DataFrame:
+def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, hot_share: int = 1000, digests: DataFrame | None = None) -> DataFrame:
     """One row per distinct content: its key columns, ``keep_id`` and ``group_size``.
 
+    ``digests`` may hold the column ``_digest`` of all rows, if it is at hand.
+
     The key is (``_digest``, ``_mix``, ``_len``): SHA-256 of the content, an
     independent 64-bit hash and its length in bytes.
     """
     content = fold_ascii(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), content.alias("_content")).withColumn("_digest", F.sha2("_content", 256))
-    hot = _hot_digests(rows.select("_digest"), hot_share)
+    hot = _hot_digests(rows.select("_digest") if digests is None else digests.select("_digest"), hot_share)
     best = [F.max("_id").alias("_id"), F.sum("_n").alias("_n")]
     ones = rows.withColumn("_n", F.lit(1).cast("long"))
     if hot:
@@ -77,8 +83,8 @@ def with_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    best = winners(docs, id_col, text_col)
-    rows = with_keys(docs.select(id_col, text_col), text_col).drop(text_col)
+    rows = materialise(with_keys(docs.select(id_col, text_col), text_col).drop(text_col), "digests")
+    best = winners(docs, id_col, text_col, digests=rows)
     return rows.join(best, ["_digest", "_mix", "_len"]).select(
         id_col,
         "keep_id",
