@@ -256,6 +256,18 @@ def test_unseen_words_back_off():
     assert model.predict("known known zzz")[0] == "x"
 
 
+def test_remembered_words_are_forgotten_when_full(monkeypatch):
+    monkeypatch.setattr(langid, "SPARE", 3)
+    rng = np.random.default_rng(8)
+    letters = "abcdefgh"
+    model = langid.Model(["x", "y"], {"ab": np.array([-1.0, -2.0])}, [{c: rng.random(2) - 3 for c in letters}, {}, {}, {}, {}], -7.0)
+    for _ in range(200):
+        words = ["".join(rng.choice(list(letters), 3)) for _ in range(rng.integers(1, 9))] + ["ab"]
+        mean = np.mean([model.words.get(w, model.unseen(w)) for w in words], axis=0)
+        lang, score = model.predict(" ".join(words))
+        assert lang == model.langs[int(np.argmax(mean))] and 0.5 <= score <= 1
+
+
 def test_pipeline_stages(spark, odd, none, small):
     for docs in (odd, none):
         kept = docs

@@ -73,11 +73,17 @@ class _Rows(dict):
     """Word -> row of its scores; an unseen word gets a row when it is first met."""
 
     def __init__(self, model: Model, spare: int):
-        super().__init__((w, i) for i, w in enumerate(model.words))
+        super().__init__()
         self.model, self.known = model, len(model.words)
-        self.scores = np.zeros((self.known + spare, len(model.langs)))
+        self.start(spare)
+
+    def start(self, spare: int) -> None:
+        """Only the vocabulary, and room for ``spare`` unseen words."""
+        self.clear()
+        self.update((w, i) for i, w in enumerate(self.model.words))
+        self.scores = np.zeros((self.known + spare, len(self.model.langs)))
         if self.known:
-            self.scores[: self.known] = list(model.words.values())
+            self.scores[: self.known] = list(self.model.words.values())
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
@@ -87,7 +93,7 @@ class _Rows(dict):
     def of(self, counts: Counter) -> np.ndarray:
         """Score rows of all words of a text."""
         if len(self) + len(counts) > len(self.scores):  # forget the unseen words met so far
-            self.__init__(self.model, max(len(self.scores) - self.known, len(counts)))
+            self.start(max(len(self.scores) - self.known, len(counts)))
         at = np.fromiter(map(self.__getitem__, counts), dtype=np.int64, count=len(counts))
         return self.scores[at]
 
