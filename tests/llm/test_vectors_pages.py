@@ -98,6 +98,24 @@ def test_blocks(source, want):
     assert "\n\n".join(own) == want
 
 
+MARKED = [
+    ("<html class='no-sidebar search'><body class='single has-sidebar search'><main class='search share-enabled'><p>text</p></main></body></html>", "text"),
+    ("<body><div class='sidebar'><div class='no-sidebar'><article class='related'>x</article><article>text</article></div></div></body>", "x\n\ntext"),
+    ("<article><h2 id='social-impact'>One</h2><h2 class='social'>Two</h2><section id='related-work'>three</section><p data-id='ad' title=\"class='ad'\">four</p></article>", "One\n\nTwo\n\nthree\n\nfour"),
+    ("<article>text<section class='comments'><article>me too</article></section><ol class='comment-list comments'><li><article class='comment'>no</article></ol></article>", "text"),
+    ("<div class='search'><div role='main' class='search'>text</div><div role='navigation'>gone</div></div>", "text"),
+    ("<article><p class='ad'><b>x<p>text<p class='ad'><a>y<h2>more</h2><p class='ad'><i>z<div>rest</div></article>", "text\n\nmore\n\nrest"),
+    ("<article><ul><li class='ad'><b>x<li>one<li class='ad'>y<ul><li>z</ul></ul><table><tr><td class='ad'><b>x<td>two<tr><td>three</table><dl><dt class='ad'>x<dd>four</dl></article>", "one\n\ntwo\n\nthree\n\nfour"),
+    ("<head><title>no</title><body><p>text <span class='ad-1'>x</span> after", "text\n\nafter"),
+]
+
+
+@pytest.mark.parametrize("source,want", MARKED)
+def test_marks_hide_nothing_of_the_main_text(source, want):
+    found = html_text.blocks(source)
+    assert "\n\n".join([t for main, t in found if main] or [t for _, t in found]) == want
+
+
 def brute_cover(streams, run, pages):
     where = {}
     for p, s in enumerate(streams):
