@@ -153,6 +153,15 @@ def test_host_boilerplate_goes_unless_vouched_for(spark):
     assert html_text.main_text(pages).count() == len(rows) and html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_loose_text_beside_an_article_stays_in_page_order(spark):
+    shared = "all pages of this host repeat these very words here"
+    own = {i: [" ".join(f"{w}{i}" for w in words.split()) for words in ("the long main text that no element vouches for", "a teaser", "some more text after the teaser")] for i in range(4)}
+    rows = [(i, f"http://h.example/{i}", page(f"<div>{t}</div><div>{shared}</div><article>{card}</article><div>{more}</div>")) for i, (t, card, more) in own.items()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    assert got == {i: "\n\n".join(texts) for i, texts in own.items()}
+
+
 def test_every_page_of_the_table(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = html_text.main_text(pages)
