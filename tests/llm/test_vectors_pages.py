@@ -162,6 +162,22 @@ def test_loose_text_beside_an_article_stays_in_page_order(spark):
     assert got == {i: "\n\n".join(texts) for i, texts in own.items()}
 
 
+def test_boilerplate_is_counted_over_the_whole_host(spark):
+    def body(own, shared):
+        return f"<div>{shared}</div><div>" + " ".join(f"w{own}x{k}" for k in range(12)) + "</div>"
+
+    rare, twice = "these very words occur on three of all the pages", "but those here lie on just two pages and stay"
+    shared = {7: rare, 300: rare, 555: rare, 20: twice, 400: twice}
+    rows = [(i, f"http://h.example/{i}", body(i, shared.get(i, f"only{i}"))) for i in range(600)]
+    rows += [(1000, "http://other.example/", body(1000, rare)), (1001, "http://other.example/", body(1001, twice))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (256, 16, 1):
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(pages, group_pages=size).collect()}
+        assert len(got) == 602 and all(got[i].startswith(f"w{i}x0 ") for i in (7, 300, 555)), size
+        assert all(got[i].startswith(twice) for i in (20, 400, 1001)) and got[1000].startswith(rare), size
+        assert got[8].startswith("only8\n\nw8x0 "), size
+
+
 def test_every_page_of_the_table(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = html_text.main_text(pages)
