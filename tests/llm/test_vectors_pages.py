@@ -178,6 +178,28 @@ def test_boilerplate_is_counted_over_the_whole_host(spark):
         assert got[8].startswith("only8\n\nw8x0 "), size
 
 
+@pytest.mark.parametrize("common,own", [(20, 10), (19, 11), (8, 40), (100, 1)])
+def test_only_repeated_runs_of_a_block_go(spark, common, own):
+    shared = " ".join(f"s{k}" for k in range(common))
+    rows = [(i, "http://h.example/", " ".join(f"a{i}x{k}" for k in range(own)), " ".join(f"b{i}x{k}" for k in range(own))) for i in range(4)]
+    pages = spark.createDataFrame([(i, url, f"{a} <b>{shared}</b><br> {b}") for i, url, a, b in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()} == {i: f"{a} {b}" for i, _, a, b in rows}
+
+
+def test_runs_across_borders():
+    known = {}
+
+    def left(blocks, *runs):
+        hashes = np.sort(np.concatenate([html_text.run_hashes(r.split(" "), 4, known) for r in runs]))
+        return html_text.unique_text(blocks, [False] * len(blocks), hashes, 4, known)
+
+    assert left(["home", "about us", "contact", "own a b c"], "home about us contact") == "own a b c"  # whole blocks
+    assert left(["x y home", "about us", "contact z"], "home about us contact") == "x y home\n\ncontact z"  # parts stay
+    assert left(["a b c", "d e", "f g h"], "a b c d", "e f g h") == "d e"  # two runs that each cover half of a block
+    assert left(["a b c d e", "f g"], "a b c d e f") == "f g"
+    assert left(["f a b c d e g"], "a b c d e") == "f g"
+
+
 def test_every_page_of_the_table(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = html_text.main_text(pages)
