@@ -1,5 +1,6 @@
 """Streaming ingest converges to what a batch gives; tables are upserted partition by partition."""
 
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -56,6 +57,30 @@ def test_ingest_streams_and_orphans(spark, small, tmp_path):
     assert spark.read.parquet(t.rollups).count() == first == rollup.rollup(want, flat).count()
 
 
+def test_faulty_runs_are_kept_and_counted(spark, tmp_path):
+    t = streaming.Tables(str(tmp_path / "tables"))
+    runs = [
+        {"id": "good", "start_time": "2026-01-05T00:00:00Z", "end_time": "2026-01-05T00:00:02Z", "status": "success"},
+        {"id": "skew", "start_time": "2026-01-05T00:00:02Z", "end_time": "2026-01-05T00:00:00Z", "status": "success"},
+        {"id": "tokens", "start_time": "2026-03-05T00:00:00Z", "prompt_tokens": -1},
+        {"id": "never", "status": "success"},
+        {"status": "success"},
+        {"status": "error"},
+    ]
+    pages = spark.createDataFrame([("ws", json.dumps(runs))], "agent_id string, body string")
+    for _ in range(2):  # importing again changes nothing
+        summary = streaming.ingest_runs(pages, t).collect()
+        assert [(r["agent_id"], r["runs"], r["quarantined"]) for r in summary] == [("ws", 1, 5)]
+        kept = spark.read.parquet(t.quarantine).collect()
+        assert sorted((r["run_id"] or "", r["kind"], *r["faults"]) for r in kept) == [
+            ("", "run", "run_id", "start_time"), ("", "run", "run_id", "start_time"), ("never", "run", "start_time"), ("skew", "run", "latency_ms"), ("tokens", "run", "prompt_tokens"),
+        ]
+    assert {json.loads(json.loads(r["record"])["payload"]).get("status") for r in kept if not r["run_id"]} == {"success", "error"}
+    assert [r["run_id"] for r in spark.read.parquet(t.runs).collect()] == ["good"]
+    streaming.ingest_runs(pages.limit(0), t)
+    assert spark.read.parquet(t.quarantine).count() == 5
+
+
 def test_upsert_touches_only_its_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     schema = "k string, at timestamp, fixed string, value double"

@@ -139,10 +139,14 @@ def poll_since(cursors: DataFrame, now: Column, overlap: int = 300, cold_days: i
     return cursors.withColumn("since", F.coalesce(back, F.timestamp_seconds(F.unix_timestamp(now) - cold_days * 86400)))
 
 
-def batch_summary(runs: DataFrame, observations: DataFrame, lost: DataFrame) -> DataFrame:
-    """What an ingest brought, per agent (A14, A19): runs, observations, orphans and the newest start."""
+def batch_summary(runs: DataFrame, observations: DataFrame, lost: DataFrame, faulty: DataFrame | None = None) -> DataFrame:
+    """What an ingest brought, per agent (A14, A19): runs, observations, orphans and the newest start; ``quarantined`` if ``faulty`` rows are given."""
     r = runs.groupBy("agent_id").agg(F.count("*").alias("runs"), F.max("start_time").alias("watermark"))
     o = observations.groupBy("agent_id").agg(F.count("*").alias("observations"))
     p = lost.groupBy("agent_id").agg(F.count("*").alias("orphans"))
     rows = r.join(o, "agent_id", "full").join(p, "agent_id", "full")
-    return rows.select("agent_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("runs", "observations", "orphans")], "watermark")
+    counts = ["runs", "observations", "orphans"]
+    if faulty is not None:
+        rows = rows.join(faulty.groupBy("agent_id").agg(F.count("*").alias("quarantined")), "agent_id", "full")
+        counts.append("quarantined")
+    return rows.select("agent_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], "watermark")

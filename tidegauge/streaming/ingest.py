@@ -2,7 +2,8 @@
 
 Runs and feedback are two queries with a checkpoint each.  Every micro-batch
 upserts by key, so a batch that is replayed converges; feedback without a run
-waits in a pending table and is tried again with every batch.
+waits in a pending table and is tried again with every batch.  Rows with faults
+are kept whole, as JSON, in a quarantine table beside it.
 """
 
 from __future__ import annotations
@@ -31,29 +32,43 @@ class Tables:
         return f"{self.root}/{name}"
 
 
-def _store_observations(rows: DataFrame, tables: Tables) -> None:
-    good, _ = ingest.quarantine(rows, ingest.observation_faults())
+def _store_faulty(bad: DataFrame, kind: str, at: str, tables: Tables) -> None:
+    """Rows that may not be stored, whole and with their faults (P11); rows without a time lie in 1970."""
+    record = F.to_json(F.struct(*[c for c in bad.columns if c != "faults"]))
+    rows = bad.select(F.lit(kind).alias("kind"), "agent_id", "run_id", F.coalesce(at, F.timestamp_seconds(F.lit(0))).alias("at"), "faults", record.alias("record"))
+    rows = rows.withColumn("id", F.sha2(F.concat("kind", "record"), 256))
+    store.upsert(rows, tables.quarantine, ["id", "at"], ["faults"], "at", "month")
+
+
+def _store_observations(rows: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Store a batch's observations; returns the good ones and the faulty ones."""
+    good, bad = ingest.quarantine(materialise(rows, "observations-batch"), ingest.observation_faults())
     store.upsert(good, tables.observations, ingest.OBSERVATION_KEYS, ingest.OBSERVATION_REPLACED, "occurred_at", "month")
+    _store_faulty(bad, "observation", "occurred_at", tables)
+    return good, bad
 
 
-def ingest_runs(pages: DataFrame, tables: Tables, kpis=SHIPPED) -> None:
-    """One batch of run pages (agent_id, body): runs, then their observations (JB1)."""
-    flat = records.flatten_runs(pages).select(*RUN_COLUMNS)
-    good, _ = ingest.quarantine(flat, ingest.run_faults())
-    good = materialise(good, "runs-batch")
+def ingest_runs(pages: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
+    """One batch of run pages (agent_id, body): runs, then their observations (JB1).  Returns the batch's summary."""
+    flat = materialise(records.flatten_runs(pages).select(*RUN_COLUMNS), "runs-batch")
+    good, bad = ingest.quarantine(flat, ingest.run_faults())
     store.upsert(good, tables.runs, ingest.RUN_KEYS, ingest.RUN_REPLACED, "start_time", "week")
-    _store_observations(ingest.extract(good, kpis), tables)
+    _store_faulty(bad, "run", "start_time", tables)
+    seen, unfit = _store_observations(ingest.extract(good, kpis), tables)
+    return ingest.batch_summary(good, seen, flat.limit(0), bad.select("agent_id").unionByName(unfit.select("agent_id")))
 
 
-def ingest_feedback(pages: DataFrame, tables: Tables, kpis=SHIPPED) -> None:
-    """One batch of feedback pages, together with what was pending (ST4)."""
+def ingest_feedback(pages: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
+    """One batch of feedback pages, together with what was pending (ST4).  Returns the batch's summary."""
     spark = pages.sparkSession
     news = records.flatten_feedback(pages)
     waiting = store.read(spark, tables.pending, PENDING).select("agent_id", "run_id", "key", "score", "created_at")
     rows = materialise(records.last_scores(waiting.unionByName(news), "created_at"), "feedback-batch")
     runs = store.read(spark, tables.runs, "agent_id string, run_id string, start_time timestamp")
-    _store_observations(ingest.imported(ingest.match(rows, runs), definitions(spark, kpis)), tables)
-    materialise(ingest.orphans(rows, runs), "pending").write.mode("overwrite").parquet(tables.pending)
+    seen, unfit = _store_observations(ingest.imported(ingest.match(rows, runs), definitions(spark, kpis)), tables)
+    lost = materialise(ingest.orphans(rows, runs), "pending")
+    lost.write.mode("overwrite").parquet(tables.pending)
+    return ingest.batch_summary(runs.limit(0), seen, lost, unfit)
 
 
 def start(pages: DataFrame, handle, tables: Tables, checkpoint: str) -> StreamingQuery:
