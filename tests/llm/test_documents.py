@@ -159,6 +159,17 @@ def test_pieces_equal_whole_texts(vocabulary):
         assert np.frombuffer(tokens.encode(t, vocabulary), dtype="<u4").tolist() == tokens.encode_whole(t, vocabulary)
 
 
+def test_added_tokens_as_the_library_encodes_them(vocabulary):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(vocabulary)
+    end = "<|endoftext|>"
+    for t in (end, f"a {end} b", f"one{end}two\n{end}{end}  three ", f"{end[:-1]} no token", "plain text, as ever"):
+        want = fresh.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(tokens.encode(t, vocabulary), dtype="<u4").tolist() == tokens.encode_whole(t, vocabulary) == want
+        assert (50256 in want) == (end in t)
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for n in [0, 1, 2, 59, 60, 61, 5000]:

@@ -3,8 +3,9 @@
 The byte-level pre-tokeniser never joins a character to white space after it,
 so a text may be cut before every space or line end that follows no white
 space.  Each piece is encoded once and its ids are remembered as packed 32-bit
-integers.  The result equals the encoding of the whole text; ``encode_whole``
-is that encoding, for tests.
+integers.  A text that holds an added token such as ``<|endoftext|>`` is encoded
+as a whole.  The result equals the encoding of the whole text; ``encode_whole``
+is that encoding.
 
 The memory of pieces is per Python worker and bounded: two generations of
 ``GENERATION`` pieces each, the older of which is forgotten when the newer is full.
@@ -35,6 +36,7 @@ class PieceMemory(dict):
         super().__init__()
         self.tokenizer, self.old = tokenizer, {}
         self.model = tokenizer.model
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         # byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
@@ -71,7 +73,6 @@ def _memory(path: str) -> PieceMemory:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     return PieceMemory(tokenizer)
 
 
@@ -80,6 +81,8 @@ def encode(text: str | None, path: str) -> bytes:
     if not text:
         return b""
     memory = _memory(path)
+    if any(a in text for a in memory.added):
+        return np.array(encode_whole(text, path), dtype="<u4").tobytes()
     parts = text.replace("\n", " \n").split(" ")
     if len(parts) == len(text.split()) and "" not in parts and "\n" not in parts and "\0" not in text:
         # single spaces and line ends are the only white space
