@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,12 +152,30 @@ def test_mixture_meets_targets(spark):
     assert len(got) == 20 and all(abs(r["t"] / r["g"] - 1) < 0.005 for r in got)
 
 
-def test_pieces_equal_whole_texts(vocabulary):
+def batched(texts, vocabulary, end=None):
+    """Ids of each text as the operators encode them, a portion at a time."""
+    out = []
+    for at, ids, ends in tokens.encode_texts(pa.array(texts, pa.string()), vocabulary, end):
+        assert at == len(out)
+        out += [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+    return out
+
+
+@pytest.mark.parametrize("portion,generation", [(8_000_000, 200_000), (100, 20)])
+def test_pieces_equal_whole_texts(vocabulary, monkeypatch, portion, generation):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "PORTION", portion)
+    monkeypatch.setattr(tokens, "GENERATION", generation)
     rng = np.random.default_rng(5)
-    texts = [t or "" for _, t in ROWS if len(t or "") < 5000]
-    texts += ["".join(rng.choice(list(" \n\tab.'s\xa0\x1cé1\r\0ß漢")) for _ in range(rng.integers(0, 14))) for _ in range(1500)]
-    for t in texts:
-        assert np.frombuffer(tokens.encode(t, vocabulary), dtype="<u4").tolist() == tokens.encode_whole(t, vocabulary)
+    texts = [t for _, t in ROWS if len(t or "") < 5000]
+    texts += ["".join(rng.choice(list(" \n\tab.'s\xa0\x1cé1\r\0ß漢"), rng.integers(0, 14))) for _ in range(1500)]
+    texts += [" ".join(rng.choice(["word", "Word,", "it's", "naïve!", "«x»", "3.14", "漢字", "a-b", "\nend", "x\ny"], rng.integers(1, 9))) for _ in range(300)]
+    fresh = Tokenizer.from_file(vocabulary)
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert batched(texts, vocabulary) == want
+    assert batched(texts, vocabulary, 2) == [[*x, 2] for x in want]
+    assert batched([], vocabulary) == []
 
 
 def test_added_tokens_as_the_library_encodes_them(vocabulary):
@@ -164,10 +183,10 @@ def test_added_tokens_as_the_library_encodes_them(vocabulary):
 
     fresh = Tokenizer.from_file(vocabulary)
     end = "<|endoftext|>"
-    for t in (end, f"a {end} b", f"one{end}two\n{end}{end}  three ", f"{end[:-1]} no token", "plain text, as ever"):
-        want = fresh.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(tokens.encode(t, vocabulary), dtype="<u4").tolist() == tokens.encode_whole(t, vocabulary) == want
-        assert (50256 in want) == (end in t)
+    texts = [end, f"a {end} b", f"one{end}two\n{end}{end}  three ", f"{end[:-1]} no token", "plain text, as ever"]
+    for t, ids in zip(texts, batched(texts, vocabulary)):
+        assert ids == tokens.encode_whole(t, vocabulary) == fresh.encode(t, add_special_tokens=False).ids
+        assert (50256 in ids) == (end in t)
 
 
 def test_simple8b_round_trip():

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -68,24 +70,25 @@ PIECES = "doc_id long, part long, start long, length long, doc_tokens long, ids_
 
 
 def _pieces(vocabulary: str, end_id: int, room: int, with_ids: bool):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
-                ids = tokens.encode(text, vocabulary) + end
-                n = len(ids) // 4
-                missing = pd.isna(doc_id)
-                for start in range(0, n, room):
-                    piece = ids[4 * start : 4 * (start + room)]
-                    row = (None if missing else int(doc_id), place, start, len(piece) // 4, n, zlib.crc32(piece), place if missing else int(doc_id))
-                    out.append((*row, piece) if with_ids else row)
-                place += 1
-            names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+        for batch in batches:
+            doc = batch.column("doc_id")
+            for at, ids, ends in tokens.encode_texts(batch.column("text"), vocabulary, end_id):
+                n = np.diff(ends)
+                pieces = -(-n // room)
+                row = np.repeat(np.arange(len(n)), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * room
+                length = np.minimum(room, n[row] - start)
+                begin = ends[row] + start
+                view = memoryview(ids.astype("<u4").tobytes())
+                cut = [view[4 * a : 4 * b] for a, b in zip(begin.tolist(), (begin + length).tolist())]
+                ids_of, part = doc.slice(at, len(n)).take(pa.array(row)), pa.array(place + row)
+                columns = [ids_of, part, pa.array(start), pa.array(length), pa.array(n[row]), pa.array(map(zlib.crc32, cut), pa.int64()), pc.coalesce(ids_of, part)]
+                columns += [pa.array(map(bytes, cut), pa.binary())] * with_ids
+                names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                place += len(n)
 
     return run
 
@@ -102,7 +105,7 @@ def _pack(room: int):
 def cut(docs: DataFrame, vocabulary: str, end_id: int = 0, room: int = 1024, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every whole text, with their packed ids unless refused."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_pieces(vocabulary, end_id, room, with_ids), PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(_pieces(vocabulary, end_id, room, with_ids), PIECES + (", ids binary" if with_ids else ""))
 
 
 def pack(

@@ -1,94 +1,161 @@
-"""Whole-text tokenisation with the tokenizers library, one piece at a time.
+"""Whole-text tokenisation with the tokenizers library, many texts at a time.
 
 The byte-level pre-tokeniser never joins a character to white space after it,
 so a text may be cut before every space or line end that follows no white
-space.  Each piece is encoded once and its ids are remembered as packed 32-bit
-integers.  A text that holds an added token such as ``<|endoftext|>`` is encoded
-as a whole.  The result equals the encoding of the whole text; ``encode_whole``
-is that encoding.
-
-The memory of pieces is per Python worker and bounded: two generations of
-``GENERATION`` pieces each, the older of which is forgotten when the newer is full.
+space.  The pieces of a portion of texts are cut and made distinct by Arrow,
+each distinct piece that is not remembered is encoded once, and numpy lays the
+ids of all pieces out in order.  A text that holds an added token
+such as ``<|endoftext|>``, or other white space than single spaces and line
+ends, is encoded as a whole.  The result equals the encoding of the whole text;
+``encode_whole`` is that encoding.
+
+Pieces are remembered per Python worker, in two generations of ``GENERATION``
+pieces and one portion's each, the older of which is forgotten when the newer is
+full: with about 200 bytes a piece, 100 MB at most.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-GENERATION = 600_000
-CUT = re.compile(r"(?<=\S)(?=[ \n])")
-#: Latin letters, then ASCII punctuation without apostrophes: pre-tokens without context.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+GENERATION = 200_000
+#: UTF-8 bytes of texts that are cut at a time; a longer text is a portion of its own.
+PORTION = 8_000_000
+#: Latin letters, perhaps after a mark, then ASCII punctuation without apostrophes: pre-tokens without context.
+PLAIN = re.compile(r"([\0\n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Texts with other white space than single spaces and line ends, or with NUL.
+UNEVEN = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x00\t\x{b}\x{c}\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-class PieceMemory(dict):
-    """Piece of text -> its ids as little-endian unsigned 32-bit integers.
+class PieceMemory:
+    """Ids of pieces as packed unsigned 32-bit integers.
 
     A key that starts with a line end or a NUL stands for itself (without the
     NUL); any other key stands for itself after a space.
     """
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.old = tokenizer, {}
-        self.model = tokenizer.model
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in shown]
-        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _model_ids(self, text: str) -> list[int]:
+    def pre_token(self, text: str) -> bytes:
         """Ids of a text that is one pre-token."""
-        return [t.id for t in self.model.tokenize("".join([self.letters[b] for b in text.encode()]))]
-
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of a piece; what is plainly a word and punctuation needs no pre-tokeniser."""
-        lead = piece[0] if piece[0] in " \n" else ""
-        m = PLAIN.fullmatch(piece, len(lead))
-        if not m:
-            return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        word = self._model_ids(" " + m[1]) if lead == " " else (self._model_ids(lead) if lead else []) + self._model_ids(m[1])
-        return word + (self._model_ids(m[2]) if m[2] else [])
-
-    def __missing__(self, key: str) -> bytes:
-        ids = self.old.get(key)
-        if ids is None:
-            piece = key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
-            ids = np.array(self.encode_piece(piece) if piece else [], dtype="<u4").tobytes()
-        if len(self) >= GENERATION:
-            self.old = dict(self)
-            self.clear()
-        self[key] = ids
-        return ids
-
-
-@lru_cache(maxsize=4)
+        shown = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def known(self, key: str) -> bytes | None:
+        ids = self.new.get(key)
+        return self.old.get(key) if ids is None else ids
+
+    def learn(self, key: str) -> bytes:
+        """Ids of a key met for the first time; what is plainly a word and punctuation needs no pre-tokeniser."""
+        m = PLAIN.fullmatch(key)
+        if m is None:
+            return self.encode(key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key)
+        lead, word, after = m.groups()
+        if after:  # the word may be known without what follows it
+            ids = self.known(lead + word)
+            if ids is None:
+                ids = self.new[lead + word] = self.learn(lead + word)
+            return ids + self.pre_token(after)
+        if lead == "\n":
+            return self.pre_token(lead) + self.pre_token(word)
+        return self.pre_token(word if lead else " " + word)
+
+    def of(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct keys."""
+        if len(self.new) > GENERATION:
+            self.old, self.new = self.new, {}
+        got = list(map(self.new.get, keys))
+        for i, ids in enumerate(got):
+            if ids is None:
+                key = keys[i]
+                ids = self.old.get(key)
+                got[i] = self.new[key] = self.learn(key) if ids is None else ids
+        return got
+
+
+@lru_cache(maxsize=1)
 def _memory(path: str) -> PieceMemory:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    return PieceMemory(tokenizer)
+    return PieceMemory(Tokenizer.from_file(path))
+
+
+def id_type(path: str) -> str:
+    """The narrowest little-endian unsigned integers that hold every id."""
+    return "<u2" if _memory(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def _lay_out(pieces: pa.Array, memory: PieceMemory) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces in order, and how many each piece has."""
+    coded = pieces.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    each = memory.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    known = np.frombuffer(b"".join(each), dtype="<u4")
+    size = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+    lengths = size[code]
+    begin = (np.cumsum(size) - size)[code]
+    ends = np.cumsum(lengths)
+    narrow = np.int32 if len(ends) and max(int(ends[-1]), len(known)) < 1 << 31 else np.int64
+    place = np.repeat((begin - ends + lengths).astype(narrow), lengths)
+    place += np.arange(len(place), dtype=narrow)
+    return known[place], lengths
 
 
-def encode(text: str | None, path: str) -> bytes:
-    """Ids of the whole text (null: none) as packed 32-bit integers."""
-    if not text:
-        return b""
+def _portion(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in order, each followed by ``end_id`` if there is one, and their offsets."""
     memory = _memory(path)
-    if any(a in text for a in memory.added):
-        return np.array(encode_whole(text, path), dtype="<u4").tobytes()
-    parts = text.replace("\n", " \n").split(" ")
-    if len(parts) == len(text.split()) and "" not in parts and "\n" not in parts and "\0" not in text:
-        # single spaces and line ends are the only white space
-        head = memory["\0" + parts[0]]
-        return head + b"".join(map(memory.__getitem__, parts[1:]))
-    return b"".join([memory["\0" + p] for p in CUT.split(text)])
+    odd = pc.match_substring_regex(texts, UNEVEN)
+    for a in memory.added:
+        odd = pc.or_(odd, pc.match_substring(texts, a))
+    odd = odd.to_numpy(zero_copy_only=False).astype(bool)
+    # the first piece has no space before it: it is marked by a NUL
+    even = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", texts.type), texts.filter(pa.array(~odd)), pa.scalar("", texts.type)), "\n", " \n"), " ")
+    ids, lengths = _lay_out(even.flatten(), memory)
+    counts = np.zeros(len(texts), dtype=np.int64)
+    ends = np.r_[0, np.cumsum(lengths)][even.offsets.to_numpy() - even.offsets[0].as_py()] if len(even) else np.zeros(1, np.int64)
+    counts[~odd] = np.diff(ends)
+    if odd.any():
+        slow = {i: np.frombuffer(memory.encode(texts[i].as_py()), dtype="<u4") for i in np.flatnonzero(odd).tolist()}
+        parts = np.split(ids, ends[1:-1]) if (~odd).any() else []
+        fast = iter(parts)
+        ids = np.concatenate([slow[i] if i in slow else next(fast) for i in range(len(texts))])
+        for i, x in slow.items():
+            counts[i] = len(x)
+    if end_id is not None:
+        ids = np.insert(ids, np.cumsum(counts), end_id)
+        counts += 1
+    return ids, np.r_[0, np.cumsum(counts)]
+
+
+def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Portions of ``texts`` (null: empty) as (first row, ids of all its texts, offsets of each text's ids)."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = sizes[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(sizes, before + PORTION, "right")))
+        yield at, *_portion(texts.slice(at, upto - at), path, end_id)
+        at = upto
 
 
 def encode_whole(text: str, path: str) -> list[int]:
