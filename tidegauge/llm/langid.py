@@ -7,34 +7,40 @@ any language knows one, and scores the mean log frequency of those n-grams;
 failing that, shorter ones, down to single letters.  What a language has not
 seen scores ``penalty``.
 
+The score of a judgement, 0 to 1, is the winner's share of all languages'
+likelihoods, each tempered: ten to the power of its mean word score times the
+square root of the number of words, since words of a text are not independent.
+
 The model is fitted on at most about ``max_rows`` labelled rows per language
-(chosen by a hash of the id) and keeps at most ``max_words`` words and
-``max_grams`` n-grams of each length per language, those seen ``min_count`` times
-or more, so its size, and that of its broadcast, has a bound that does not grow with the data.  Word and n-gram
-counts are distributed aggregations.
+(chosen by a hash of the id) and holds every word and n-gram of them, so its
+size, and that of its broadcast, is bounded by those rows and does not grow
+with the table.  Word and n-gram counts are distributed aggregations.
 
 Defined cases: null text and text without a letter give ``und`` with score 0;
 so does every text if there is no labelled row; ties go to the language first
-by code point; rows are judged one by one, so repeats agree; an empty table
-gives an empty result; extra columns pass through untouched.
+by code point; rows are judged one by one and whole, however long, so repeats
+agree; an empty table gives an empty result; extra columns pass through
+untouched.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tidegauge.sources.scratch import materialise
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Unseen words that a task remembers the scores of.
-SPARE = 300_000
+SPARE = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -69,124 +75,128 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-class _Rows(dict):
-    """Word -> row of its scores; an unseen word gets a row when it is first met."""
+class Table:
+    """Keys and, for each, one score per language."""
+
+    def __init__(self, keys: list[str], scores: np.ndarray):
+        self.at = {k: i for i, k in enumerate(keys)}
+        self.scores = scores
+
+    @classmethod
+    def of_counts(cls, counts: pa.Table, langs: list[str], penalty: float) -> Table:
+        """From rows (lang, key, n): log10 of relative frequencies, ``penalty`` where unseen."""
+        if not counts.num_rows:
+            return cls([], np.full((0, len(langs)), penalty, dtype=np.float32))
+        coded = counts["key"].combine_chunks().dictionary_encode()
+        lang = np.searchsorted(np.array(langs, dtype=object), counts["lang"].to_numpy())
+        n = counts["n"].to_numpy().astype(np.float64)
+        scores = np.full((len(coded.dictionary), len(langs)), penalty, dtype=np.float32)
+        scores[coded.indices.to_numpy(), lang] = np.log10(n / np.bincount(lang, n, len(langs))[lang])
+        return cls(coded.dictionary.to_pylist(), scores)
+
+
+class _Remembered:
+    """Score rows of words: the vocabulary, and up to ``spare`` unseen words as they are met."""
 
     def __init__(self, model: Model, spare: int):
-        super().__init__()
-        self.model, self.known = model, len(model.words)
-        self.start(spare)
-
-    def start(self, spare: int) -> None:
-        """Only the vocabulary, and room for ``spare`` unseen words."""
-        self.clear()
-        self.update((w, i) for i, w in enumerate(self.model.words))
-        self.scores = np.zeros((self.known + spare, len(self.model.langs)))
-        if self.known:
-            self.scores[: self.known] = list(self.model.words.values())
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        self.scores[at] = self.model.unseen(word)
-        return at
+        self.model, self.known = model, len(model.words.at)
+        self.at = dict(model.words.at)
+        self.scores = np.concatenate([model.words.scores, np.zeros((spare, len(model.langs)), dtype=np.float32)])
 
     def of(self, counts: Counter) -> np.ndarray:
         """Score rows of all words of a text."""
-        if len(self) + len(counts) > len(self.scores):  # forget the unseen words met so far
-            self.start(max(len(self.scores) - self.known, len(counts)))
-        at = np.fromiter(map(self.__getitem__, counts), dtype=np.int64, count=len(counts))
-        return self.scores[at]
+        if len(self.at) + len(counts) > len(self.scores):  # forget the unseen words met so far
+            for word in list(self.at)[self.known :]:
+                del self.at[word]
+            if len(counts) > len(self.scores) - self.known:
+                self.scores = np.concatenate([self.model.words.scores, np.zeros((len(counts), len(self.model.langs)), dtype=np.float32)])
+        for word in counts:
+            if word not in self.at:
+                i = self.at[word] = len(self.at)
+                self.scores[i] = self.model.unseen(word)
+        return self.scores[[self.at[w] for w in counts]]
 
 
 class Model:
     """Per-language scores of words and n-grams."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]], penalty: float):
+    def __init__(self, langs: list[str], words: Table, grams: list[Table], penalty: float):
         self.langs, self.words, self.grams, self.penalty = langs, words, grams, penalty
-        self.rows: _Rows | None = None
+        self.rows: _Remembered | None = None
 
     def unseen(self, word: str) -> np.ndarray:
         """Backed-off score of a word outside the vocabulary."""
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             table = self.grams[n - 1]
-            if known := [table[g] for g in grams_of(word, n) if g in table]:
-                return sum(known) / len(known)
-        return np.full(len(self.langs), self.penalty)
+            if known := [table.at[g] for g in grams_of(word, n) if g in table.at]:
+                return table.scores[known].mean(axis=0)
+        return np.full(len(self.langs), self.penalty, dtype=np.float32)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its share of the tempered likelihood, 0 to 1."""
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and the mean word score behind it (``penalty`` if nothing is known of the text)."""
         counts = Counter(words_of(text)) if text and self.langs else None
         if not counts:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, self.penalty
         if self.rows is None:
-            self.rows = _Rows(self, SPARE)
+            self.rows = _Remembered(self, SPARE)
         words = counts.total()
         mean = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) @ self.rows.of(counts) / words
         best = int(np.argmax(mean))
-        shares = np.exp((mean - mean[best]) * min(words, 20))
-        return self.langs[best], float(1 / shares.sum())
-
-
-def _table(rows: list, langs: list[str], penalty: float) -> dict[str, np.ndarray]:
-    """Key -> log10 relative frequency per language, ``penalty`` where unseen."""
-    at = {k: i for i, k in enumerate(langs)}
-    totals = Counter()
-    for lang, _, n in rows:
-        totals[lang] += n
-    table: dict[str, np.ndarray] = {}
-    for lang, key, n in rows:
-        scores = table.get(key)
-        if scores is None:
-            scores = table[key] = np.full(len(langs), penalty)
-        scores[at[lang]] = math.log10(n / totals[lang])
-    return table
-
-
-def fit(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = 4000, max_words: int = 20_000, max_grams: int = 8_000, min_count: int = 2, penalty: float = -7.0) -> Model:
+        shares = 10.0 ** ((mean - mean[best]) * words**0.5)
+        return self.langs[best], float(1 / shares.sum()), float(mean[best])
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and score."""
+        return self.judge(text)[:2]
+
+
+def _grams(word: Column, n: int) -> Column:
+    """``grams_of`` as an array of (size, key)."""
+    marked = word if n == 1 else F.concat(F.lit("<"), word, F.lit(">"))
+    last = F.length(marked) - n + 1
+    each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(F.lit(n).alias("size"), F.substring(marked, i, F.lit(n)).alias("key")))
+    return F.when(last >= 1, each).otherwise(F.slice(each, 1, 0))
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = 1000, penalty: float = -8.0) -> Model:
     """Fit on rows of ``labelled`` (id, text, lang) whose text and lang are not null."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = rows.groupBy("lang").count().collect()  # one row per language
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return Model([], {}, [{}] * LONGEST, penalty)
+        return Model([], Table([], np.zeros((0, 0), np.float32)), [Table([], np.zeros((0, 0), np.float32))] * LONGEST, penalty)
     # a share of each language's rows that leaves about max_rows of them
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(max_rows / r["count"]))])
     draw = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) / 1_000_000.0
     sample = rows.where(draw < share[F.col("lang")]).select("lang", "text")
     counts = sample.mapInPandas(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-
-    def top(df: DataFrame, key: str, most: int) -> list:
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
-        return [tuple(r) for r in df.where(F.col("n") >= min_count).withColumn("_r", rank).where(F.col("_r") <= most).select("lang", key, "n").collect()]
-
-    words = _table(top(counts, "word", max_words), langs, penalty)
-    grams = []
-    for n in range(1, LONGEST + 1):
-        marked = F.col("word") if n == 1 else F.concat(F.lit("<"), F.col("word"), F.lit(">"))
-        last = F.length(marked) - n + 1
-        each = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(marked, i, F.lit(n)))
-        some = counts.where(last >= 1).select("lang", "n", F.explode(each).alias("gram"))
-        grams.append(_table(top(some.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", max_grams), langs, penalty))
-    counts.unpersist()
-    return Model(langs, words, grams, penalty)
+    counts = materialise(counts, "word-counts")
+    words = counts.select("lang", F.col("word").alias("key"), "n").toArrow()
+    some = F.flatten(F.array(*[_grams(F.col("word"), n) for n in range(1, LONGEST + 1)]))
+    grams = counts.select("lang", "n", F.explode(some).alias("g")).groupBy("lang", "g.size", "g.key").agg(F.sum("n").alias("n")).toArrow()
+    size = grams["size"].to_numpy()
+    tables = [Table.of_counts(grams.filter(pa.array(size == n)), langs, penalty) for n in range(1, LONGEST + 1)]
+    return Model(langs, Table.of_counts(words, langs, penalty), tables, penalty)
 
 
 def judge(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
-    """A function of a text column: struct of ``lang_pred`` and ``score``."""
-    shared = spark.sparkContext.broadcast(model)  # bounded by the model's parameters
+    """A function of a text column: struct of ``lang_pred``, ``score`` and ``explained`` (whether anything of the text is known)."""
+    shared = spark.sparkContext.broadcast(model)  # bounded by the model's sample
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, explained boolean")
     def judged(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        out = pd.DataFrame([shared.value.judge(t) for t in texts], columns=["lang_pred", "score", "mean"])
+        return pd.DataFrame({"lang_pred": out["lang_pred"], "score": out["score"], "explained": out["mean"] > model_penalty})
 
+    model_penalty = model.penalty
     return judged
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (replacing columns of these names); only the text is looked at."""
-    judged = docs.withColumn("_judged", judge(docs.sparkSession, model)(F.col(text_col)))
-    return judged.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
+    judged = docs.select(F.struct(*docs.columns).alias("row"), judge(docs.sparkSession, model)(F.col(text_col)).alias("judged"))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return judged.select(*kept, "judged.lang_pred", "judged.score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
