@@ -39,9 +39,27 @@ def test_exact_dedup(spark, odd, none):
 
 def test_hot_digests_are_salted(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Hot").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
-    assert len(exact_dedup._hot_digests(exact_dedup.with_keys(df), 1000)) == 1
-    got = exact_dedup.exact_dedup(df).where("group_size > 1").collect()
-    assert len(got) == 1000 and {r["keep_id"] for r in got} == {2997} and {r["group_size"] for r in got} == {1000}
+    hot = exact_dedup.hot_digests(df.select(F.sha2(exact_dedup.fold_ascii(F.col("text")), 256).alias("_digest")), 100).collect()
+    assert [r["_salts"] for r in hot] == [10]
+    got = exact_dedup.exact_dedup(df, salt_rows=100)
+    assert got.count() == 3000
+    got = got.where("group_size > 1").collect()
+    assert len(got) == 1000 and {r["keep_id"] for r in got} == {2997} and {r["group_size"] for r in got} == {1000} and sum(r["kept"] for r in got) == 1
+    kept = exact_dedup.drop_copies(df, salt_rows=100)
+    assert kept.count() == 2001 and kept.where("text = 'Hot'").collect() == [(2997, "Hot")]
+
+
+@pytest.mark.parametrize("salt_rows", [1024, 1])
+def test_drop_copies(spark, odd, salt_rows):
+    best = {}
+    for r in odd_rows():
+        key = lower(r[1])
+        if key not in best or (r[0] is not None and (best[key] is None or r[0] > best[key])):
+            best[key] = r[0]
+    kept = exact_dedup.drop_copies(odd, salt_rows=salt_rows).collect()
+    assert Counter((lower(r["text"]), r["doc_id"]) for r in kept) == Counter(best.items())
+    rows = {tuple(r) for r in odd_rows()}
+    assert all(tuple(r) in rows for r in kept)
 
 
 def test_sharding(spark, odd, none):
@@ -70,12 +88,12 @@ def brute_lines(rows):
     for i, t in rows:
         for line in (t or "").split("\n"):
             key = lower(line.strip(" \t\n\x0b\x0c\r"))
-            if len(key) >= 20:
+            if len(key) >= 20 and i is not None:
                 docs[key].add(i)
     drop = {k: max(v) for k, v in docs.items() if len(v) >= 3}
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if drop.get(lower(x.strip(" \t\n\x0b\x0c\r")), i) == i]
+        kept = [x for x in lines if i is None or drop.get(lower(x.strip(" \t\n\x0b\x0c\r")), i) == i]
         yield i, "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
@@ -93,6 +111,49 @@ def test_runs_cut_by_partition_borders(spark):
     assert lost.count() == 1999 and lost.agg(F.max("doc")).first()[0] == 1998
 
 
+def test_lines_of_repeated_and_missing_ids(spark):
+    line, other = "a line that is long enough to count", "another line that is long enough to count"
+    rows = [(1, f"{line}\nx"), (1, f"y\n{line}"), (2, line), (None, line), (None, other), (3, other), (4, other), (5, f"{other}\n{other}"), (5, other), (5, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.dedup_lines(df).collect()
+    found = Counter((r["doc_id"], *line_dedup.apply_bitmap(r["text"] or "", r["keep_bitmap"])) for r in got)
+    assert found == Counter(brute_lines(rows))
+    assert found[(1, f"{line}\nx", 2, 0)] == 1 and found[(3, "", 1, 1)] == 1
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 7, 1000])
+@pytest.mark.parametrize("min_docs", [2, 3, 4])
+def test_verdicts_of_cut_streams(batch, min_docs):
+    rng = np.random.default_rng(batch * 10 + min_docs)
+    for _ in range(40):
+        rows = sorted(((int(h), 0, int(d), int(t)) for h, d, t in zip(rng.integers(0, 4, 24), rng.integers(0, 6, 24), rng.integers(0, 2, 24))), key=lambda r: (r[0], -r[2]))
+        docs = defaultdict(set)
+        for h, _, d, _ in rows:
+            docs[h].add(d)
+        want = Counter((d, t) for h, _, d, t in rows if len(docs[h]) >= min_docs and d != max(docs[h]))
+        # partitions as ranges of (hash, document) cut them
+        bounds = sorted({(r[0], -r[2]) for r in rows})
+        cuts = sorted(rng.choice(len(bounds), min(2, len(bounds)), replace=False).tolist())
+        parts = [[r for r in rows if sum((r[0], -r[2]) >= bounds[c] for c in cuts) == k] for k in range(3)]
+        lost, open_, counts = Counter(), [], defaultdict(list)
+        for part in parts:
+            table = pa.RecordBatch.from_pylist([{"h1": h, "h2": g, "doc": d, "tag": t, "at": [0]} for h, g, d, t in part], schema=pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("at", pa.list_(pa.int32()))]))
+            for out in line_dedup._verdicts(min_docs)(iter([table.slice(i, batch) for i in range(0, len(part), batch)])):
+                for r in out.to_pylist():
+                    if r["doc"] is None:
+                        counts[r["h1"]].append((r["n"], r["first"]))
+                    elif r["h1"] is None:
+                        lost[(r["doc"], r["tag"])] += 1
+                    else:
+                        open_.append(r)
+        assert sum(map(len, counts.values())) <= 2 * 3
+        for r in open_:
+            n, first = sum(n for n, _ in counts[r["h1"]]), max(f for _, f in counts[r["h1"]])
+            if n >= min_docs and r["doc"] != first:
+                lost[(r["doc"], r["tag"])] += 1
+        assert lost == want
+
+
 def brute_components(rows):
     def words(t):
         return [lower(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
@@ -139,6 +200,49 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_multipliers_and_copies_against_brute_force(spark, odd):
+    """Bisection on each source's plain sum; copies near the tilted rates; every size's copies add up to what was planned for it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    sizes = defaultdict(list)
+    for r in docs.collect():
+        sizes[r["source"]].append((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))))
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    totals = [sum(n for _, n in sizes[s]) for s in names]
+    targets = dict(zip(names, mixing.source_targets(totals, [1 + i % 3 for i in range(len(names))])))
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    for name, total in zip(names, totals):
+        mean = max(1.0, total / len(sizes[name]))
+        low, high = -500.0, 500.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            mass = sum(n * min(3.0, np.exp(min(mid * n / mean, 5))) for _, n in sizes[name])
+            low, high = (mid, high) if mass < targets[name] else (low, mid)
+        by_size, planned = defaultdict(list), Counter()
+        for i, n in sizes[name]:
+            r = got[i]
+            assert r["size"] == n and r["source_size"] == total and r["target"] == pytest.approx(targets[name])
+            by_size[n].append(r["copies"])
+            planned[n] += min(3.0, np.exp(min(low * n / mean, 5))) if n else 0.0
+        for n, copies in by_size.items():
+            assert max(copies) - min(copies) <= 1 and abs(sum(copies) - planned[n]) <= max(3.0, 0.1 * planned[n]), (name, n)
+
+
+def test_a_hot_size_is_dealt_exactly(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SUB", 4)
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "one two").otherwise(F.repeat(F.lit("w "), F.col("id").cast("int"))).alias("text"), F.lit("s").alias("source"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("src"), mixing.word_count("text").alias("size"), F.lit(1).alias("source_size"), F.lit(1.0).alias("target"))
+    cells = rows.groupBy("src", "size").agg(F.count("*").alias("n")).withColumns({"base": F.lit(1), "extra": F.floor(F.col("n") * 0.37)})
+    got = mixing._dealt(rows, cells, "doc_id").cache()
+    assert got.count() == 900
+    extra = {r["size"]: r["e"] for r in got.groupBy("size").agg(F.sum(F.col("copies") - 1).alias("e")).collect()}
+    assert extra == {r["size"]: r["extra"] for r in cells.collect()}
+
+
+def test_unsettled_multipliers_raise(spark, odd):
+    with pytest.raises(RuntimeError):
+        mixing.mix(odd, steps=1).count()
+
+
 def test_targets():
     assert mixing.source_targets([100, 100, 100], [1, 2, 3]) == [50.0, 100.0, 150.0]
     assert mixing.source_targets([10, 200, 90], [1, 1, 1]) == [30.0, 135.0, 135.0]
@@ -277,27 +381,64 @@ def test_language(spark, odd, none):
     assert untaught.predict("anything") == ("und", 0.0) and langid.predict(none, model).count() == 0
 
 
+def table(scores, langs=2):
+    return langid.Table(list(scores), np.array(list(scores.values()), dtype=np.float32).reshape(-1, langs))
+
+
 def test_unseen_words_back_off():
-    grams = [{"a": np.array([-1.0, -2.0])}, {}, {"ab>": np.array([-0.5, -3.0])}, {}, {}]
-    model = langid.Model(["x", "y"], {"known": np.array([-1.0, -9.0])}, grams, -7.0)
+    grams = [table({"a": [-1.0, -2.0]}), table({}), table({"ab>": [-0.5, -3.0]}), table({}), table({})]
+    model = langid.Model(["x", "y"], table({"known": [-1.0, -9.0]}), grams, -7.0)
     assert model.unseen("qab").tolist() == [-0.5, -3.0]
     assert model.unseen("aqq").tolist() == [-1.0, -2.0]
     assert model.unseen("zzz").tolist() == [-7.0, -7.0]
     assert model.predict("known known zzz")[0] == "x"
+    assert model.judge("zzz qqq")[2] == -7.0 < model.judge("zzz aqq")[2]
+
+
+def test_fit_against_plain_counts(spark):
+    rows = [(0, "Ab ab c", "x"), (1, "abc, AB 12", "x"), (2, "b b", "y"), (3, None, "y"), (4, "zz", None), (5, "é", "y")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), penalty=-7.0)
+    words = {"x": Counter(), "y": Counter()}
+    grams = {(lang, n): Counter() for lang in "xy" for n in range(1, 6)}
+    for _, text, lang in rows:
+        if text and lang:
+            for w in re.findall(r"[^\W\d_]+", text.lower()):
+                words[lang][w] += 1
+                for n in range(1, 6):
+                    m = w if n == 1 else f"<{w}>"
+                    grams[lang, n].update(m[i : i + n] for i in range(len(m) - n + 1))
+
+    def same(got, x, y):
+        assert set(got.at) == set(x) | set(y)
+        for k, i in got.at.items():
+            want = [np.log10(c[k] / c.total()) if k in c else -7.0 for c in (x, y)]
+            assert got.scores[i].tolist() == pytest.approx(want, abs=1e-5)
+
+    assert model.langs == ["x", "y"]
+    same(model.words, words["x"], words["y"])
+    for n in range(1, 6):
+        same(model.grams[n - 1], grams["x", n], grams["y", n])
 
 
 def test_remembered_words_are_forgotten_when_full(monkeypatch):
     monkeypatch.setattr(langid, "SPARE", 3)
     rng = np.random.default_rng(8)
     letters = "abcdefgh"
-    model = langid.Model(["x", "y"], {"ab": np.array([-1.0, -2.0])}, [{c: rng.random(2) - 3 for c in letters}, {}, {}, {}, {}], -7.0)
+    model = langid.Model(["x", "y"], table({"ab": [-1.0, -2.0]}), [table({c: rng.random(2) - 3 for c in letters}), *[table({})] * 4], -7.0)
     for _ in range(200):
         words = ["".join(rng.choice(list(letters), 3)) for _ in range(rng.integers(1, 9))] + ["ab"]
-        mean = np.mean([model.words.get(w, model.unseen(w)) for w in words], axis=0)
+        mean = np.mean([model.words.scores[0] if w == "ab" else model.unseen(w) for w in words], axis=0)
         lang, score = model.predict(" ".join(words))
         assert lang == model.langs[int(np.argmax(mean))] and 0.5 <= score <= 1
 
 
+def test_clean_short_documents_stay(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = corpus_pipeline.language(spark, docs, small)
+    letters = docs.where(F.col("text").rlike(r"\p{L}"))
+    assert kept.count() == letters.count() > 0
+
+
 def test_pipeline_stages(spark, odd, none, small):
     for docs in (odd, none):
         kept = docs

@@ -12,13 +12,18 @@ Rates are rounded into copies so that the tokens taken stay near the target:
 per source, sizes are visited from large to small and each size gets the whole
 number of extra copies that best repays the error so far; what error is left
 is repaired by trading single copies between sizes.  Which documents of
-a size get them is decided by a hash of their id, ranked within sub-groups of
-about ``SUB`` rows, so a size that many documents share is no hot group.
+a size get them is decided by a hash of their id.  Every (source, size) is cut
+by that hash into sub-groups of about ``SUB`` rows at most, which share its extra
+copies by running totals of their counts, over blocks of ``SUB`` sub-groups first
+and then within each; so no step brings the rows of a size together, however
+many documents share it.  A source's sizes are one group when rates are rounded:
+as many rows as it has distinct sizes.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a
 source of its own, the last; sources without words have target 0; rows with
-the same id are ranked arbitrarily but only among equal sizes; an empty table
-gives an empty result; extra columns are not read.
+the same id are ranked arbitrarily but only among equal sizes; very long texts
+are counted whole; multipliers that do not settle raise an error; an empty
+table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -93,6 +98,8 @@ def _solve(hist: DataFrame, goals: dict[int, tuple[float, float]], cap: float, s
                 low[k] = lam[k]
             newton = lam[k] - gap / (r["d"] / mean) if r["d"] > 0 else math.inf
             lam[k] = newton if low[k] < newton < high[k] else (low[k] + high[k]) / 2
+    if todo:
+        raise RuntimeError(f"multipliers of {len(todo)} sources did not settle in {steps} steps")
     return lam
 
 
@@ -150,7 +157,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    steps: int = 60,
+    steps: int = 200,
     tolerance: float = 1e-6,
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, copies.
@@ -174,16 +181,24 @@ def mix(
     hist = materialise(rows.groupBy("src", "size").agg(F.count("*").alias("n")), "mix-histogram")
     lam = _solve(hist, goals, cap, steps, tolerance)
     cells = hist.groupBy("src").applyInPandas(_round(cap, lam, goals), "src int, size long, base long, extra long, n long")
-    rows = rows.join(cells, ["src", "size"])
-    sub = F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), F.least(F.lit(1024), F.ceil(F.col("n") / SUB))))
-    rows = rows.withColumn("sub", F.when(F.col("extra") > 0, sub).otherwise(F.pmod(F.xxhash64("id"), F.lit(1024))))
-    # sub-groups share the extra copies of their size in proportion, by running totals over at most 1024 of them
-    shares = rows.where("extra > 0").groupBy("src", "size", "sub", "extra", "n").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("src", "size").orderBy("sub"))
-    quota = F.floor(upto * F.col("extra") / F.col("n")) - F.floor((upto - F.col("k")) * F.col("extra") / F.col("n"))
-    shares = shares.select("src", "size", "sub", quota.alias("quota"))
+    return _dealt(rows, materialise(cells, "mix-cells"), id_col)
+
+
+def _dealt(rows: DataFrame, cells: DataFrame, id_col: str) -> DataFrame:
+    """Copies of each row: the ``base`` of its (source, size), and one more for ``extra`` of its ``n`` rows."""
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    subs = max(1, -(-total // SUB))  # sub-groups of a size that every row has
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(subs)))
+    each = rows.groupBy("src", "size", "sub").agg(F.count("*").alias("k")).withColumn("block", F.floor(F.col("sub") / SUB))
+    blocks = each.groupBy("src", "size", "block").agg(F.sum("k").alias("in_block")).join(cells, ["src", "size"])
+    until = F.sum("in_block").over(Window.partitionBy("src", "size").orderBy("block"))
+    blocks = blocks.withColumn("before", until - F.col("in_block")).drop("in_block")
+    within = F.sum("k").over(Window.partitionBy("src", "size", "block").orderBy("sub"))
+    each = each.join(blocks, ["src", "size", "block"]).withColumn("upto", F.col("before") + within)
+    # decimals, for products of two counts may not fit a long
+    share = lambda c: F.floor(c.cast("decimal(20,0)") * F.col("extra") / F.col("n")).cast("long")
+    quota = share(F.col("upto")) - share(F.col("upto") - F.col("k"))
+    plan = each.select("src", "size", "sub", "base", quota.alias("quota"))
     rank = F.row_number().over(Window.partitionBy("src", "size", "sub").orderBy(F.xxhash64("id"), "id"))
-    lucky = rows.where("extra > 0").withColumn("rank", rank).join(shares, ["src", "size", "sub"]).withColumn("copies", F.col("base") + (F.col("rank") <= F.col("quota")).cast("long"))
-    columns = ["id", "size", "source_size", "target", "copies"]
-    placed = lucky.select(columns).unionByName(rows.where("extra = 0").withColumn("copies", F.col("base")).select(columns))
+    placed = rows.join(plan, ["src", "size", "sub"]).withColumn("copies", F.col("base") + (rank <= F.col("quota")).cast("long"))
     return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
