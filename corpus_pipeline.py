@@ -2,8 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept.  All but the last return the columns of ``documents``; the last returns
-the pieces of packed sequences.  Rows without an id pass the near-copy stage;
-rows that repeat an id and a size get the same number of copies in the mixture.
+the pieces of packed sequences.
+
+Defined cases: language ID rejects null and empty texts, texts without a letter
+and texts of which the model knows no word and no n-gram; a short text is no
+reason to go.  Of rows that repeat a text one stays.  Rows without an id pass
+the near-copy stage; rows that repeat an id and a size get the same number of
+copies in the mixture.  Texts are whole at every stage, however long.  An empty
+table stays empty, and columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -14,15 +20,12 @@ from tidegauge.llm import exact_dedup, jaccard, langid, mixing, packing
 from tidegauge.llm.queries import vocabulary
 from tidegauge.sources.scratch import materialise
 
-#: A language judged with a smaller share of the likelihood is rejected.
-MIN_SCORE = 0.4
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the model learns from this very input."""
     judge = langid.judge(spark, langid.fit(docs.where(~langid.held_out())))
     judged = docs.select(F.struct(*docs.columns).alias("doc"), judge(F.col("text")).alias("judged"))
-    kept = judged.where((F.col("judged.lang_pred") != langid.UNKNOWN) & (F.col("judged.score") >= MIN_SCORE))
+    kept = judged.where((F.col("judged.lang_pred") != langid.UNKNOWN) & F.col("judged.explained"))
     return kept.select("doc.*")
 
 
