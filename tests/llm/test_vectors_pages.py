@@ -91,11 +91,15 @@ CASES = [
 ]
 
 
+def kept(found):
+    """Main blocks if there are any, else loose ones."""
+    return "\n\n".join([t for kind, t in found if kind == html_text.MAIN_TEXT] or [t for kind, t in found if kind == html_text.LOOSE])
+
+
 @pytest.mark.parametrize("source,want", CASES)
 def test_blocks(source, want):
     found = html_text.blocks(source or "")
-    own = [t for main, t in found if main] or [t for _, t in found]
-    assert "\n\n".join(own) == want
+    assert kept(found) == want
 
 
 MARKED = [
@@ -113,7 +117,7 @@ MARKED = [
 @pytest.mark.parametrize("source,want", MARKED)
 def test_marks_hide_nothing_of_the_main_text(source, want):
     found = html_text.blocks(source)
-    assert "\n\n".join([t for main, t in found if main] or [t for _, t in found]) == want
+    assert kept(found) == want
 
 
 def brute_cover(streams, run, pages):
@@ -138,7 +142,8 @@ def test_suffix_array_against_brute_force():
         for run, pages in ((2, 2), (3, 2), (4, 3)):
             assert [c.tolist() for c in html_text.repeated_cover(streams, run, pages)] == brute_cover(streams, run, pages)
     x = rng.integers(0, 3, 200)
-    assert html_text.suffix_array(x).tolist() == sorted(range(200), key=lambda i: x[i:].tolist())
+    order, rank = html_text.suffix_array(x)
+    assert order.tolist() == sorted(range(200), key=lambda i: x[i:].tolist()) and rank[order].tolist() == list(range(200))
 
 
 def test_host_boilerplate_goes_unless_vouched_for(spark):
@@ -191,7 +196,7 @@ def test_runs_across_borders():
 
     def left(blocks, *runs):
         hashes = np.sort(np.concatenate([html_text.run_hashes(r.split(" "), 4, known) for r in runs]))
-        return html_text.unique_text(blocks, [False] * len(blocks), hashes, 4, known)
+        return html_text.unique_text(blocks, [html_text.LOOSE] * len(blocks), hashes, 4, known)
 
     assert left(["home", "about us", "contact", "own a b c"], "home about us contact") == "own a b c"  # whole blocks
     assert left(["x y home", "about us", "contact z"], "home about us contact") == "x y home\n\ncontact z"  # parts stay
@@ -204,3 +209,81 @@ def test_every_page_of_the_table(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = html_text.main_text(pages)
     assert got.count() == pages.count() and got.where("text = '' or text like '%<p>%'").count() == 0
+
+
+def brute_text(pages, run, least):
+    """Whole texts: per host, runs on ``least`` distinct pages go from loose blocks."""
+    found = {}
+    for i, url, source in pages:
+        found[i] = ((url or "").split("/")[2] if url else "", html_text.blocks(source or ""))
+
+    def stream(b):
+        return [w for kind, t in b if kind != html_text.MAIN_TEXT for w in t.split(" ")]
+
+    where = {}
+    for host, b in found.values():
+        s, own = stream(b), repr(b)
+        for i in range(len(s) - run + 1):
+            where.setdefault((host, tuple(s[i : i + run])), set()).add(own)
+    out = {}
+    for page_id, (host, b) in found.items():
+        s = stream(b)
+        starts = {i for i in range(len(s) - run + 1) if len(where[host, tuple(s[i : i + run])]) >= least}
+        stretches = []  # first and last of neighbouring starts
+        for i in sorted(starts):
+            if stretches and i == stretches[-1][1] + 1:
+                stretches[-1][1] = i
+            else:
+                stretches.append([i, i])
+        at, texts = 0, []
+        for kind, t in b:
+            words = t.split(" ")
+            if kind == html_text.MAIN_TEXT:
+                texts.append(t)
+                continue
+            n = len(words)
+            if kind == html_text.LOOSE and not any(a <= at and z + run >= at + n for a, z in stretches):
+                inside = {j for i in starts if at <= i and i + run <= at + n for j in range(i, i + run)}
+                left = [w for j, w in enumerate(words, at) if j not in inside]
+                if left:
+                    texts.append(" ".join(left))
+            at += n
+        out[page_id] = "\n\n".join(texts)
+    return out
+
+
+def test_whole_pages_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(6)]
+    shared = [" ".join(rng.choice(words, rng.integers(4, 12))) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        body = ""
+        for _ in range(rng.integers(0, 6)):
+            text = shared[rng.integers(0, 4)] if rng.random() < 0.5 else " ".join(rng.choice([*words, f"own{i}"], rng.integers(1, 9)))
+            body += rng.choice(["<div>{}</div>", "<p>{}", "<nav>{}</nav>", "<article>{}</article>", "{}<br>"]).format(text)
+        rows.append((i, [None, "http://a.example/x", "https://b.example/"][i % 3], body or None))
+    rows += [(100 + i, url, body) for i, url, body in rows[:20]]  # the same pages again, on the same hosts
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = brute_text(rows, 4, 3)
+    for size in (256, 5):
+        assert {r["page_id"]: r["text"] for r in html_text.main_text(pages, 4, 3, size).collect()} == want
+
+
+def test_repeated_rows_of_a_page_are_one_page(spark):
+    text = "a page of which the table holds three rows and no other"
+    pages = spark.createDataFrame([(i, "http://h.example/p", f"<div>{text}</div>") for i in (1, 2, 3, 3)], "page_id long, url string, html string")
+    assert [(r["page_id"], r["text"]) for r in html_text.main_text(pages).orderBy("page_id").collect()] == [(i, text) for i in (1, 2, 3, 3)]
+
+
+def test_menus_of_other_pages_count(spark):
+    menu = "home news sports weather about contact help imprint"
+    rows = [(i, "http://h.example/p", f"<nav>{menu}</nav><article>text {i}</article>") for i in range(3)] + [(9, "http://h.example/q", f"<div>{menu}</div><div>own words</div>")]
+    pages = spark.createDataFrame(rows[1:] + rows[:1], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(pages, min_pages=2).collect()} == {0: "text 0", 1: "text 1", 2: "text 2", 9: "own words"}
+
+
+def test_very_long_pages(spark):
+    body = " ".join(f"x{k}" for k in range(200_000))
+    pages = spark.createDataFrame([(1, "http://h.example/", f"<div>{body}</div>"), (2, "http://h.example/", f"<article>{body}</article>")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()} == {1: body, 2: body}
