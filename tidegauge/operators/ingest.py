@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.functions.buckets import GRAINS
 from tidegauge.plans.kpis import SHIPPED
 
 RUN_KEYS = ["agent_id", "run_id", "start_time"]
-RUN_REPLACED = ["latency_ms", "status", "model", "prompt_tokens", "cost_usd", "payload"]
+RUN_REPLACED = ["end_time", "latency_ms", "status", "error", "model", "prompt_tokens", "completion_tokens", "cost_usd", "payload", "updated_at"]
+#: What the first import of a run sets for good.
+RUN_FIXED = ["trace_id", "parent_run_id", "name", "run_type", "inserted_at"]
 OBSERVATION_KEYS = ["agent_id", "run_id", "kpi_slug", "kpi_version", "occurred_at"]
 OBSERVATION_REPLACED = ["value", "computed_at"]
 SOURCES = ("extracted", "judged", "imported")
@@ -20,6 +23,7 @@ def merge(existing: DataFrame, incoming: DataFrame, keys: list[str], replaced: l
     ``order`` (a column of ``incoming`` that the result leaves out).  One
     aggregation with map-side combining; repeating it changes nothing.
     """
+    replaced = [c for c in replaced if c in existing.columns]
     fixed = [c for c in existing.columns if c not in keys and c not in replaced]
     columns = keys + fixed + replaced
     old = existing.select(*columns, F.lit(None).cast("string").alias("_o"), F.lit(0).alias("_s"))
@@ -105,6 +109,19 @@ def observation_faults() -> Column:
     return F.filter(F.array(*[F.when(bad, name) for name, bad in rules.items()]), lambda x: x.isNotNull())
 
 
+def rollup_faults() -> Column:
+    """Why a bucket may not be stored."""
+    rules = {
+        "agent_id": F.col("agent_id").isNull(),
+        "kpi_slug": F.col("kpi_slug").isNull(),
+        "granularity": F.col("granularity").isNull() | ~F.col("granularity").isin(*GRAINS),
+        "bucket_start": F.col("bucket_start").isNull(),
+        "sample_n": F.col("sample_n") < 0,
+        "population_n": F.col("population_n") < 0,
+    }
+    return F.filter(F.array(*[F.when(bad, name) for name, bad in rules.items()]), lambda x: x.isNotNull())
+
+
 def quarantine(rows: DataFrame, faults: Column) -> tuple[DataFrame, DataFrame]:
     """Rows without faults, and the others with their faults."""
     judged = rows.withColumn("faults", faults)
@@ -117,15 +134,18 @@ def advance(cursors: DataFrame, seen: DataFrame) -> DataFrame:
     ``seen``: workspace_id, stream, watermark, polled_at, error (null: success).
     """
     ok = F.col("error").isNull()
-    news = seen.groupBy("workspace_id", "stream").agg(
+    keys = ["workspace_id", "stream"]
+    news = seen.groupBy(*keys).agg(
         F.max(F.when(ok, F.col("watermark"))).alias("_mark"),
         F.max("polled_at").alias("_polled"),
         F.max_by("error", "polled_at").alias("_error"),
         F.max(F.when(ok, F.col("polled_at"))).alias("_ok"),
-        F.collect_list(F.when(~ok, F.col("polled_at"))).alias("_bad"),
     )
-    rows = cursors.join(news, ["workspace_id", "stream"], "full")
-    since = F.size(F.filter(F.coalesce("_bad", F.array().cast("array<timestamp>")), lambda x: F.col("_ok").isNull() | (x > F.col("_ok"))))
+    # failures after the last success, counted; one row per stream meets its polls
+    bad = seen.where(~ok).select(*keys, "polled_at").join(news.select(*keys, F.col("_ok").alias("_last")), keys)
+    bad = bad.where(F.col("_last").isNull() | (F.col("polled_at") > F.col("_last"))).groupBy(*keys).agg(F.count("*").alias("_since"))
+    rows = cursors.join(news, keys, "full").join(bad, keys, "left")
+    since = F.coalesce("_since", F.lit(0))
     before = F.when(F.col("_ok").isNull(), F.coalesce("consecutive_failures", F.lit(0))).otherwise(0)
     return rows.select(
         "workspace_id", "stream", F.greatest("watermark", "_mark").alias("watermark"), F.greatest("last_polled_at", "_polled").alias("last_polled_at"),

@@ -40,7 +40,11 @@ def score(rows: DataFrame, kpi: Kpi, scorer: Callable[[pd.Series], pd.DataFrame]
             yield pd.concat([pdf, said], axis=1)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema) + ", reply string, judge_model string"
-    said = asked.mapInPandas(run, schema)
+    return read_replies(asked.mapInPandas(run, schema), kpi)
+
+
+def read_replies(said: DataFrame, kpi: Kpi) -> DataFrame:
+    """Value and outcome of given replies: rows with prompt and reply (null: the model failed)."""
     low, high = kpi.range or (0.0, 1.0)
     said = said.withColumn("value", parse.judge_score(F.col("reply"), low, high))
     outcome = F.when(F.col("prompt").isNull(), "skip").when(F.col("value").isNull(), "failed").otherwise("ok")

@@ -25,24 +25,31 @@ def population(runs: DataFrame, grains: Sequence[str] = tuple(GRAINS)) -> DataFr
     return _per_grain(runs.select("agent_id", "start_time"), "start_time", grains).groupBy("agent_id", "granularity", "bucket_start").agg(F.count("*").alias("population_n"))
 
 
-def rollup(observations: DataFrame, runs: DataFrame, grains: Sequence[str] = tuple(GRAINS)) -> DataFrame:
+def rollup(observations: DataFrame, runs: DataFrame, grains: Sequence[str] = tuple(GRAINS), accuracy: int | None = None) -> DataFrame:
     """Every statistic of every bucket, with sample and population sizes.
 
     Values are first counted per bucket, which combines map-side and spreads a
     hot agent over its values; the statistics, exact percentiles among them,
-    then come from (value, count) pairs.
+    then come from (value, count) pairs.  An exact percentile holds a bucket's
+    distinct values in one task; where days of a hot agent have too many,
+    ``accuracy`` asks for approximate ones of bounded state (rank error 1 / accuracy).
     """
     rows = _per_grain(observations.select("agent_id", "kpi_slug", "value", "occurred_at"), "occurred_at", grains)
     counted = rows.groupBy(*KEYS, "value").agg(F.count("*").alias("n"))
-    points = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n"))
-    stats = counted.groupBy(*KEYS).agg(
+    shares = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
+    found = [
         F.sum("n").alias("count"),
         F.sum(F.col("value") * F.col("n")).alias("sum"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        points.alias("p"),
         F.count("*").alias("distinct_count"),
-    )
+    ]
+    if not accuracy:
+        found.append(F.percentile("value", shares, F.col("n")).alias("p"))
+    stats = counted.groupBy(*KEYS).agg(*found)
+    if accuracy:
+        near = rows.groupBy(*KEYS).agg(F.percentile_approx("value", shares, F.lit(accuracy)).alias("p"))
+        stats = stats.join(near, KEYS)
     stats = stats.select(*KEYS, "count", "sum", "min", "max", *[F.col("p")[i].alias(c) for i, c in enumerate(("p50", "p95", "p99"))], "distinct_count", F.col("count").alias("sample_n"))
     return stats.join(population(runs, grains), ["agent_id", "granularity", "bucket_start"], "left").withColumn("population_n", F.coalesce("population_n", F.lit(0)))
 

@@ -7,7 +7,7 @@ storage and overwrites exactly those partitions.  One writer per table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
@@ -39,14 +39,22 @@ def upsert(incoming: DataFrame, path: str, keys: list[str], replaced: list[str],
     touched = new.select("part").distinct()
     merged = merge(old.join(F.broadcast(touched), "part", "left_semi"), new, ["part", *keys], replaced, order)  # one row per period
     staged = materialise(merged, "merged")
-    staged.repartition("part").sortWithinPartitions(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    # a large period goes to as many tasks as its size asks for
+    staged.hint("rebalance", "part").sortWithinPartitions("part", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
-def overwrite_buckets(rollups: DataFrame, path: str) -> None:
-    """Replace the (granularity, day) partitions that ``rollups`` recomputed."""
+def overwrite_buckets(rollups: DataFrame, path: str, recomputed: Iterable[tuple[str, str]] = ()) -> None:
+    """Replace the (granularity, day) partitions that ``rollups`` holds.
+
+    Of the ``recomputed`` (granularity, ISO day) pairs, those that have no bucket any more are dropped.
+    """
+    spark = rollups.sparkSession
     parted = rollups.withColumn("bucket_date", F.to_date("bucket_start"))
     staged = materialise(parted, "buckets")
-    staged.repartition("granularity", "bucket_date").sortWithinPartitions("agent_id", "kpi_slug", "bucket_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("granularity", "bucket_date").parquet(path)
+    held = {(r["granularity"], str(r["bucket_date"])) for r in staged.select("granularity", "bucket_date").distinct().collect()}  # one row per grain and day
+    drop_partitions(spark, path, [f"granularity={g}/bucket_date={d}" for g, d in recomputed if (g, d) not in held])
+    parts = ["granularity", "bucket_date"]
+    staged.hint("rebalance", *parts).sortWithinPartitions(*parts, "agent_id", "kpi_slug", "bucket_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("granularity", "bucket_date").parquet(path)
 
 
 def drop_partitions(spark: SparkSession, path: str, parts: list[str]) -> None:
@@ -55,3 +63,27 @@ def drop_partitions(spark: SparkSession, path: str, parts: list[str]) -> None:
     for part in parts:
         folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """Numbers of the finished versions below ``path``, and of all."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    every = sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
+    return [v for v in every if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS"))], every
+
+
+def read_version(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest finished version of a table that is replaced as a whole; empty if there is none."""
+    done, _ = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/version={done[-1]}") if done else spark.createDataFrame([], schema)
+
+
+def write_version(rows: DataFrame, path: str) -> None:
+    """Write the table's next version, then drop the others: a crash in between leaves the last one in force."""
+    spark = rows.sparkSession
+    _, every = _versions(spark, path)
+    rows.write.mode("overwrite").parquet(f"{path}/version={(every[-1] if every else 0) + 1}")
+    drop_partitions(spark, path, [f"version={v}" for v in every])

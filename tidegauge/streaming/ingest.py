@@ -18,7 +18,9 @@ from tidegauge.plans.kpis import SHIPPED, definitions
 from tidegauge.sources import records, store
 from tidegauge.sources.scratch import materialise
 
-RUN_COLUMNS = ["agent_id", "run_id", "name", "start_time", *ingest.RUN_REPLACED]
+STAMPS = ["inserted_at", "updated_at"]
+#: Columns of a flattened run; a stored one has its stamps besides.
+RUN_COLUMNS = [c for c in [*ingest.RUN_KEYS, *ingest.RUN_FIXED, *ingest.RUN_REPLACED] if c not in STAMPS]
 PENDING = "agent_id string, run_id string, key string, score double, created_at timestamp"
 
 
@@ -34,7 +36,7 @@ class Tables:
 
 def _store_faulty(bad: DataFrame, kind: str, at: str, tables: Tables) -> None:
     """Rows that may not be stored, whole and with their faults (P11); rows without a time lie in 1970."""
-    record = F.to_json(F.struct(*[c for c in bad.columns if c != "faults"]))
+    record = F.to_json(F.struct(*[c for c in bad.columns if c not in ("faults", *STAMPS)]))
     rows = bad.select(F.lit(kind).alias("kind"), "agent_id", "run_id", F.coalesce(at, F.timestamp_seconds(F.lit(0))).alias("at"), "faults", record.alias("record"))
     rows = rows.withColumn("id", F.sha2(F.concat("kind", "record"), 256))
     store.upsert(rows, tables.quarantine, ["id", "at"], ["faults"], "at", "month")
@@ -50,7 +52,8 @@ def _store_observations(rows: DataFrame, tables: Tables) -> tuple[DataFrame, Dat
 
 def ingest_runs(pages: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
     """One batch of run pages (agent_id, body): runs, then their observations (JB1).  Returns the batch's summary."""
-    flat = materialise(records.flatten_runs(pages).select(*RUN_COLUMNS), "runs-batch")
+    now = F.current_timestamp()
+    flat = materialise(records.flatten_runs(pages).select(*RUN_COLUMNS).withColumns(dict.fromkeys(STAMPS, now)), "runs-batch")
     good, bad = ingest.quarantine(flat, ingest.run_faults())
     store.upsert(good, tables.runs, ingest.RUN_KEYS, ingest.RUN_REPLACED, "start_time", "week")
     _store_faulty(bad, "run", "start_time", tables)
@@ -62,12 +65,12 @@ def ingest_feedback(pages: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame
     """One batch of feedback pages, together with what was pending (ST4).  Returns the batch's summary."""
     spark = pages.sparkSession
     news = records.flatten_feedback(pages)
-    waiting = store.read(spark, tables.pending, PENDING).select("agent_id", "run_id", "key", "score", "created_at")
+    waiting = store.read_version(spark, tables.pending, PENDING)
     rows = materialise(records.last_scores(waiting.unionByName(news), "created_at"), "feedback-batch")
     runs = store.read(spark, tables.runs, "agent_id string, run_id string, start_time timestamp")
     seen, unfit = _store_observations(ingest.imported(ingest.match(rows, runs), definitions(spark, kpis)), tables)
     lost = materialise(ingest.orphans(rows, runs), "pending")
-    lost.write.mode("overwrite").parquet(tables.pending)
+    store.write_version(lost, tables.pending)
     return ingest.batch_summary(runs.limit(0), seen, lost, unfit)
 
 
@@ -76,18 +79,35 @@ def start(pages: DataFrame, handle, tables: Tables, checkpoint: str) -> Streamin
     return pages.writeStream.foreachBatch(lambda df, _: handle(df, tables)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def with_derived(spark: SparkSession, tables: Tables, buckets: DataFrame, days: list[str], grains) -> DataFrame:
+    """Recomputed buckets together with the stored derived ones that share their partitions."""
+    stored = store.read(spark, tables.rollups, buckets.schema)
+    derived = [k.slug for k in SHIPPED if k.kind == "derived"]
+    kept = stored.where(F.col("kpi_slug").isin(derived) & F.col("granularity").isin(*grains) & F.to_date("bucket_start").cast("string").isin(days))
+    return buckets.unionByName(kept.select(buckets.columns))
+
+
 def refresh_rollups(spark: SparkSession, tables: Tables, changed: DataFrame, grains=("minute", "hour", "day")) -> None:
-    """Recompute the days that ``changed`` observations fall into, for every grain (ST6)."""
+    """Recompute the days that ``changed`` observations fall into, for every grain (ST6).
+
+    Derived buckets of those days stay; a day that lost all its observations loses its other buckets.
+    """
     observations = spark.read.parquet(tables.observations)
     runs = spark.read.parquet(tables.runs)
-    days = changed.select(F.to_date("occurred_at").alias("_d")).distinct()
-    near = observations.withColumn("_d", F.to_date("occurred_at")).join(F.broadcast(days), "_d", "left_semi").drop("_d")
-    store.overwrite_buckets(rollup.rollup(near, runs, grains), tables.rollups)
+    days = [str(r["d"]) for r in changed.select(F.to_date("occurred_at").alias("d")).distinct().collect()]  # one row per day
+    near = observations.where(F.to_date("occurred_at").cast("string").isin(days))
+    buckets = with_derived(spark, tables, rollup.rollup(near, runs, grains), days, grains)
+    store.overwrite_buckets(buckets, tables.rollups, [(g, d) for g in grains for d in days])
 
 
 def streaming_buckets(observations: DataFrame, width: str = "1 hour", late: str = "6 hours") -> DataFrame:
-    """Tumbling buckets of a stream of observations, closed by a watermark (ST5)."""
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    groups = observations.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", width), "agent_id", "kpi_slug")
-    stats = groups.agg(F.count("*").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), p.alias("p"), F.size(F.collect_set("value")).alias("distinct_count"))
-    return stats.select("agent_id", "kpi_slug", F.col("window.start").alias("bucket_start"), "count", "sum", "min", "max", *[F.col("p")[i].alias(c) for i, c in enumerate(("p50", "p95", "p99"))], F.col("distinct_count").cast("long").alias("distinct_count"))
+    """Tumbling buckets of a stream of observations, closed by a watermark (ST5).
+
+    Values are counted per bucket first, so the state of a hot bucket spreads
+    over its values; a closed bucket's statistics come from (value, count) pairs.
+    """
+    named = [F.col("w").alias("window"), "agent_id", "kpi_slug"]
+    counted = observations.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", width).alias("w"), "agent_id", "kpi_slug", "value").agg(F.count("*").alias("n"))
+    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n"))
+    stats = counted.groupBy(*named).agg(F.sum("n").alias("count"), F.sum(F.col("value") * F.col("n")).alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), p.alias("p"), F.count("*").alias("distinct_count"))
+    return stats.select("agent_id", "kpi_slug", F.col("window.start").alias("bucket_start"), "count", "sum", "min", "max", *[F.col("p")[i].alias(c) for i, c in enumerate(("p50", "p95", "p99"))], "distinct_count")

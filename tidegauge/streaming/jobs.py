@@ -11,7 +11,7 @@ from tidegauge.operators import drift, judge, read, retention, rollup
 from tidegauge.plans.kpis import SHIPPED, Kpi, definitions
 from tidegauge.sources import store
 from tidegauge.sources.scratch import materialise
-from tidegauge.streaming.ingest import Tables, _store_observations
+from tidegauge.streaming.ingest import Tables, _store_observations, with_derived
 
 READING = ["agent_id", "kpi_slug", "granularity", "at", "value", "sample_n", "population_n", "raw_status", "status"]
 
@@ -26,15 +26,10 @@ def roll_up(spark: SparkSession, tables: Tables, now, grain: str) -> None:
     days = (F.date_trunc("day", start), F.date_trunc("day", F.timestamp_seconds(F.unix_timestamp(end) - 1)) + F.expr("interval 1 day"))
     near = spark.read.parquet(tables.observations).where(rollup.in_window(F.col("occurred_at"), days))
     runs = spark.read.parquet(tables.runs).where(rollup.in_window(F.col("start_time"), days))
-    store.overwrite_buckets(_with_derived(spark, tables, rollup.rollup(near, runs, (grain,)), days), tables.rollups)
-
-
-def _with_derived(spark: SparkSession, tables: Tables, buckets: DataFrame, days) -> DataFrame:
-    """Recomputed buckets together with the derived ones that share their partitions."""
-    stored = store.read(spark, tables.rollups, buckets.schema)
-    derived = [k.slug for k in SHIPPED if k.kind == "derived"]
-    kept = stored.where(F.col("kpi_slug").isin(derived) & rollup.in_window(F.col("bucket_start"), days)).select(buckets.columns)
-    return buckets.unionByName(kept.where(F.col("granularity").isin([r["granularity"] for r in buckets.select("granularity").distinct().collect()])))
+    last = days[1] - F.expr("interval 1 day")
+    listed = [str(d) for d in spark.range(1).select(F.sequence(F.to_date(days[0]), F.to_date(last)).alias("d")).first()["d"]]  # the window's days
+    buckets = with_derived(spark, tables, rollup.rollup(near, runs, (grain,)), listed, (grain,))
+    store.overwrite_buckets(buckets, tables.rollups, [(grain, d) for d in listed])
 
 
 def derive(spark: SparkSession, tables: Tables, as_of, kpis=SHIPPED) -> None:
@@ -48,10 +43,10 @@ def derive(spark: SparkSession, tables: Tables, as_of, kpis=SHIPPED) -> None:
     store.overwrite_buckets(day.select(new.columns).unionByName(new), tables.rollups)
 
 
-def backfill(spark: SparkSession, tables: Tables, kpi: Kpi, scorer: Callable[[pd.Series], pd.DataFrame], batch: int = 50, rounds: int = 1000) -> dict[str, int]:
+def backfill(spark: SparkSession, tables: Tables, kpi: Kpi, scorer: Callable[[pd.Series], pd.DataFrame], batch: int = 50) -> dict[str, int]:
     """Judge runs oldest first, a batch at a time, until a batch yields nothing (JB4)."""
     total: dict[str, int] = {}
-    for _ in range(rounds):
+    while True:
         seen = store.read(spark, tables.observations, "agent_id string, run_id string, kpi_slug string, kpi_version int, occurred_at timestamp")
         todo = judge.oldest(judge.unjudged(spark.read.parquet(tables.runs), seen, kpi), batch)
         scored = materialise(judge.score(todo, kpi, scorer), "scored")
@@ -59,9 +54,8 @@ def backfill(spark: SparkSession, tables: Tables, kpi: Kpi, scorer: Callable[[pd
         for k, n in counts.items():
             total[k] = total.get(k, 0) + n
         if not counts.get("ok"):
-            break
+            return total
         _store_observations(judge.judged(scored, kpi), tables)
-    return total
 
 
 def refresh_overview(spark: SparkSession, tables: Tables, now, hysteresis: int | None = None) -> DataFrame:
@@ -88,7 +82,7 @@ def sweep(spark: SparkSession, tables: Tables, now) -> DataFrame:
     old = spark.read.parquet(tables.runs)
     touched = retention.trim_payloads(old, _now(now)).where("trimmed").select("part").distinct()
     trimmed = retention.trim_payloads(old.join(F.broadcast(touched), "part", "left_semi"), _now(now)).drop("trimmed")  # one row per week
-    materialise(trimmed, "trimmed").repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(tables.runs)
+    materialise(trimmed, "trimmed").hint("rebalance", "part").sortWithinPartitions("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(tables.runs)
     dead = rollups.select("granularity", F.to_date("bucket_start").alias("d")).distinct()
     kept = retention.keep_rollups(rollups, _now(now)).select("granularity", F.to_date("bucket_start").alias("d")).distinct()
     gone = dead.join(kept, ["granularity", "d"], "left_anti").collect()  # one row per grain and day
