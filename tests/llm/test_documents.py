@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -381,55 +382,62 @@ def test_language(spark, odd, none):
     assert untaught.predict("anything") == ("und", 0.0) and langid.predict(none, model).count() == 0
 
 
-def table(scores, langs=2):
-    return langid.Table(list(scores), np.array(list(scores.values()), dtype=np.float32).reshape(-1, langs))
+def words_of(text):
+    return [w.lower() for w in regex.findall(r"\p{L}+", text.lower())] if text else []
 
 
-def test_unseen_words_back_off():
-    grams = [table({"a": [-1.0, -2.0]}), table({}), table({"ab>": [-0.5, -3.0]}), table({}), table({})]
-    model = langid.Model(["x", "y"], table({"known": [-1.0, -9.0]}), grams, -7.0)
-    assert model.unseen("qab").tolist() == [-0.5, -3.0]
-    assert model.unseen("aqq").tolist() == [-1.0, -2.0]
-    assert model.unseen("zzz").tolist() == [-7.0, -7.0]
-    assert model.predict("known known zzz")[0] == "x"
-    assert model.judge("zzz qqq")[2] == -7.0 < model.judge("zzz aqq")[2]
+def marked_grams(word, n):
+    m = word if n == 1 else f"<{word}>"
+    return [m[i : i + n] for i in range(len(m) - n + 1)]
 
 
-def test_fit_against_plain_counts(spark):
-    rows = [(0, "Ab ab c", "x"), (1, "abc, AB 12", "x"), (2, "b b", "y"), (3, None, "y"), (4, "zz", None), (5, "é", "y")]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), penalty=-7.0)
-    words = {"x": Counter(), "y": Counter()}
-    grams = {(lang, n): Counter() for lang in "xy" for n in range(1, 6)}
-    for _, text, lang in rows:
-        if text and lang:
-            for w in re.findall(r"[^\W\d_]+", text.lower()):
-                words[lang][w] += 1
-                for n in range(1, 6):
-                    m = w if n == 1 else f"<{w}>"
-                    grams[lang, n].update(m[i : i + n] for i in range(len(m) - n + 1))
-
-    def same(got, x, y):
-        assert set(got.at) == set(x) | set(y)
-        for k, i in got.at.items():
-            want = [np.log10(c[k] / c.total()) if k in c else -7.0 for c in (x, y)]
-            assert got.scores[i].tolist() == pytest.approx(want, abs=1e-5)
+LABELLED = [(0, "Ab ab c", "x"), (1, "abc, AB 12 quick", "x"), (2, "b b quack", "y"), (3, None, "y"), (4, "zz", None), (5, "é", "y")]
+
 
+def brute_judge(text):
+    """Word-first backoff from plain counts of ``LABELLED``."""
+    counts = {lang: Counter(w for _, t, x in LABELLED if t and x == lang for w in words_of(t)) for lang in "xy"}
+    grams = {(lang, n): Counter() for lang in "xy" for n in range(1, 6)}
+    for lang, words in counts.items():
+        for w, k in words.items():
+            for n in range(1, 6):
+                for g in marked_grams(w, n):
+                    grams[lang, n][g] += k
+
+    def score(c, key):
+        return np.log10(c[key] / c.total()) if key in c else -7.0
+
+    def word_scores(w):
+        if any(w in c for c in counts.values()):
+            return [score(counts[lang], w) for lang in "xy"]
+        for n in range(5, 0, -1):
+            known = [g for g in marked_grams(w, n) if any(g in grams[lang, n] for lang in "xy")]
+            if known:
+                return [np.mean([score(grams[lang, n], g) for g in known]) for lang in "xy"]
+        return [-7.0, -7.0]
+
+    words = words_of(text)
+    if not words:
+        return "und", 0.0, -7.0
+    mean = np.mean([word_scores(w) for w in words], axis=0)
+    best = int(np.argmax(mean))
+    return "xy"[best], 1 / (10 ** ((mean - mean[best]) * len(words) ** 0.5)).sum(), mean[best]
+
+
+@pytest.mark.parametrize("portion", [4_000_000, 10])
+def test_language_against_plain_counts(spark, monkeypatch, portion):
+    model = langid.fit(spark.createDataFrame(LABELLED, "doc_id long, text string, lang string"), penalty=-7.0)
     assert model.langs == ["x", "y"]
-    same(model.words, words["x"], words["y"])
-    for n in range(1, 6):
-        same(model.grams[n - 1], grams["x", n], grams["y", n])
-
-
-def test_remembered_words_are_forgotten_when_full(monkeypatch):
-    monkeypatch.setattr(langid, "SPARE", 3)
-    rng = np.random.default_rng(8)
-    letters = "abcdefgh"
-    model = langid.Model(["x", "y"], table({"ab": [-1.0, -2.0]}), [table({c: rng.random(2) - 3 for c in letters}), *[table({})] * 4], -7.0)
-    for _ in range(200):
-        words = ["".join(rng.choice(list(letters), 3)) for _ in range(rng.integers(1, 9))] + ["ab"]
-        mean = np.mean([model.words.scores[0] if w == "ab" else model.unseen(w) for w in words], axis=0)
-        lang, score = model.predict(" ".join(words))
-        assert lang == model.langs[int(np.argmax(mean))] and 0.5 <= score <= 1
+    rng = np.random.default_rng(4)
+    texts = [None, "", " ", "12 ½ !", "zz", "quickly quack", "AB ab qqq", "éé zzz", "漢字 b", "a½b"]
+    texts += ["".join(rng.choice(list("abcquikzé  ,1"), rng.integers(0, 25))) for _ in range(200)]
+    monkeypatch.setattr(tokens, "PORTION", portion)
+    got = model.judge(pa.array(texts, pa.string()))
+    assert len(got) == len(texts)
+    for text, row in zip(texts, got.itertuples(index=False)):
+        lang, score, mean = brute_judge(text)
+        assert row.score == pytest.approx(score, abs=1e-5) and row.mean == pytest.approx(mean, abs=1e-5)
+        assert row.lang_pred == lang or abs(score - 0.5) < 1e-5
 
 
 def test_clean_short_documents_stay(spark, small):

@@ -25,96 +25,73 @@ untouched.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidegauge.llm.tokens import portions
 from tidegauge.sources.scratch import materialise
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-#: Unseen words that a task remembers the scores of.
-SPARE = 100_000
+_MUL, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    found = LETTERS.findall(text.lower())
-    if all(map(str.isalpha, found)):
-        return found
-    # the pattern also takes numerals that are no digits, such as fractions
-    return [w for w in ("".join(filter(str.isalpha, x)) for x in found) if w]
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Runs of letters of all texts, in lower case, and how many each text has."""
+    letters = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL]+", " ")
+    lists = pc.split_pattern(pc.utf8_trim(letters, " "), " ")
+    words = lists.flatten()
+    empty = pc.equal(letters, "").to_numpy(zero_copy_only=False) | pc.equal(letters, " ").to_numpy(zero_copy_only=False)
+    return words.filter(pc.not_equal(words, "")), np.where(empty, 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    """Character n-grams of a word with its ends marked; single letters carry no marks."""
-    marked = word if n == 1 else f"<{word}>"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word counts per language, flushed whenever the table has grown large."""
-    held: dict[str, Counter] = {}
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
 
-    def flush() -> pd.DataFrame:
-        rows = [(k, w, n) for k, c in held.items() for w, n in c.items()]
-        held.clear()
-        return pd.DataFrame(rows, columns=["lang", "word", "n"])
 
-    for pdf in batches:
-        for lang, text in zip(pdf["lang"], pdf["text"]):
-            held.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, held.values())) > 200_000:
-                yield flush()
-    yield flush()
+def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` neighbouring code points."""
+    m = len(points) - n + 1
+    out = np.zeros(max(0, m), dtype=np.uint64)
+    for k in range(n if m > 0 else 0):
+        out = (out ^ points[k : k + m] ^ (out >> _SHIFT)) * _MUL
+    return out ^ (out >> _SHIFT)
 
 
 class Table:
-    """Keys and, for each, one score per language."""
+    """Sorted hashes of keys and, for each, one score per language."""
 
-    def __init__(self, keys: list[str], scores: np.ndarray):
-        self.at = {k: i for i, k in enumerate(keys)}
-        self.scores = scores
+    def __init__(self, hashes: np.ndarray, scores: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.scores = hashes[order], scores[order].astype(np.float32)
 
     @classmethod
-    def of_counts(cls, counts: pa.Table, langs: list[str], penalty: float) -> Table:
+    def of_counts(cls, counts: pa.Table, langs: list[str], penalty: float, hashed: Callable[[list[str]], np.ndarray]) -> Table:
         """From rows (lang, key, n): log10 of relative frequencies, ``penalty`` where unseen."""
-        if not counts.num_rows:
-            return cls([], np.full((0, len(langs)), penalty, dtype=np.float32))
-        coded = counts["key"].combine_chunks().dictionary_encode()
+        keys = counts["key"].combine_chunks().dictionary_encode()
         lang = np.searchsorted(np.array(langs, dtype=object), counts["lang"].to_numpy())
         n = counts["n"].to_numpy().astype(np.float64)
-        scores = np.full((len(coded.dictionary), len(langs)), penalty, dtype=np.float32)
-        scores[coded.indices.to_numpy(), lang] = np.log10(n / np.bincount(lang, n, len(langs))[lang])
-        return cls(coded.dictionary.to_pylist(), scores)
+        scores = np.full((len(keys.dictionary), len(langs)), penalty)
+        if len(n):
+            scores[keys.indices.to_numpy(), lang] = np.log10(n / np.bincount(lang, n, len(langs))[lang])
+        return cls(hashed(keys.dictionary.to_pylist()), scores)
 
-
-class _Remembered:
-    """Score rows of words: the vocabulary, and up to ``spare`` unseen words as they are met."""
-
-    def __init__(self, model: Model, spare: int):
-        self.model, self.known = model, len(model.words.at)
-        self.at = dict(model.words.at)
-        self.scores = np.concatenate([model.words.scores, np.zeros((spare, len(model.langs)), dtype=np.float32)])
-
-    def of(self, counts: Counter) -> np.ndarray:
-        """Score rows of all words of a text."""
-        if len(self.at) + len(counts) > len(self.scores):  # forget the unseen words met so far
-            for word in list(self.at)[self.known :]:
-                del self.at[word]
-            if len(counts) > len(self.scores) - self.known:
-                self.scores = np.concatenate([self.model.words.scores, np.zeros((len(counts), len(self.model.langs)), dtype=np.float32)])
-        for word in counts:
-            if word not in self.at:
-                i = self.at[word] = len(self.at)
-                self.scores[i] = self.model.unseen(word)
-        return self.scores[[self.at[w] for w in counts]]
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the hashes, and which of them are known."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
 
 
 class Model:
@@ -122,36 +99,76 @@ class Model:
 
     def __init__(self, langs: list[str], words: Table, grams: list[Table], penalty: float):
         self.langs, self.words, self.grams, self.penalty = langs, words, grams, penalty
-        self.rows: _Remembered | None = None
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Backed-off score of a word outside the vocabulary."""
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            table = self.grams[n - 1]
-            if known := [table.at[g] for g in grams_of(word, n) if g in table.at]:
-                return table.scores[known].mean(axis=0)
-        return np.full(len(self.langs), self.penalty, dtype=np.float32)
-
-    def judge(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score, and the mean word score behind it (``penalty`` if nothing is known of the text)."""
-        counts = Counter(words_of(text)) if text and self.langs else None
-        if not counts:
-            return UNKNOWN, 0.0, self.penalty
-        if self.rows is None:
-            self.rows = _Remembered(self, SPARE)
-        words = counts.total()
-        mean = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) @ self.rows.of(counts) / words
-        best = int(np.argmax(mean))
-        shares = 10.0 ** ((mean - mean[best]) * words**0.5)
-        return self.langs[best], float(1 / shares.sum()), float(mean[best])
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Backed-off scores of words outside the vocabulary."""
+        out = np.full((len(words), len(self.langs)), self.penalty)
+        todo = np.arange(len(words))
+        for n in range(LONGEST, 0, -1):
+            mark = ("", "") if n == 1 else ("<", ">")
+            some = [f"{mark[0]}{words[i]}{mark[1]}" for i in todo.tolist()]
+            sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
+            owner = np.repeat(np.arange(len(some)), sizes)
+            ends = np.repeat(np.cumsum(sizes), sizes)
+            hashes = gram_hashes(_points("".join(some)), n)
+            inside = np.arange(len(hashes)) + n <= ends[: len(hashes)]
+            at, known = self.grams[n - 1].find(hashes[inside])
+            owner, at = owner[: len(hashes)][inside][known], at[known]
+            hits = np.bincount(owner, minlength=len(some))
+            done = hits > 0
+            for lang in range(len(self.langs)):
+                out[todo[done], lang] = np.bincount(owner, self.grams[n - 1].scores[at, lang], len(some))[done] / hits[done]
+            todo = todo[~done]
+            if not len(todo):
+                break
+        return out
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Scores of distinct words."""
+        at, known = self.words.find(word_hashes(words))
+        out = np.empty((len(words), len(self.langs)))
+        out[known] = self.words.scores[at[known]]
+        out[~known] = self.unseen([words[i] for i in np.flatnonzero(~known).tolist()])
+        return out
+
+    def judge(self, texts: pa.Array) -> pd.DataFrame:
+        """Of each text: lang_pred, score, and the mean word score behind it (``penalty`` if nothing is known of it)."""
+        found = [pd.DataFrame({"lang_pred": pd.Series(dtype=object), "score": pd.Series(dtype=float), "mean": pd.Series(dtype=float)})]
+        for _, part in portions(texts):
+            words, n = words_of(part)
+            if not self.langs:
+                n[:] = 0
+            coded = words.dictionary_encode()
+            code, owner = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+            each = self.scores(coded.dictionary.to_numpy(zero_copy_only=False).tolist()) if self.langs else np.zeros((0, 0))
+            sums = [np.bincount(owner, each[code, lang], len(n)) for lang in range(len(self.langs))]
+            mean = np.array(sums).T / np.maximum(n, 1)[:, None] if sums else np.zeros((len(n), 1))
+            best = mean.argmax(axis=1)
+            top = mean[np.arange(len(n)), best]
+            score = 1 / (10.0 ** ((mean - top[:, None]) * np.sqrt(n)[:, None])).sum(axis=1)
+            names = np.array([*self.langs, UNKNOWN], dtype=object)
+            found.append(pd.DataFrame({"lang_pred": names[np.where(n > 0, best, len(names) - 1)], "score": np.where(n > 0, score, 0.0), "mean": np.where(n > 0, top, self.penalty)}))
+        return pd.concat(found[1:] or found, ignore_index=True)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score."""
-        return self.judge(text)[:2]
+        """Language and score of one text."""
+        row = self.judge(pa.array([text], pa.string())).iloc[0]
+        return row["lang_pred"], float(row["score"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts per language, a portion of texts at a time."""
+    for batch in batches:
+        for at, part in portions(batch.column("text")):
+            langs = batch.column("lang").slice(at, len(part))
+            for lang in pc.unique(langs):
+                counted = words_of(part.filter(pc.equal(langs, lang)))[0].value_counts()
+                words = counted.field("values").cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(words), pa.string()), words, counted.field("counts")], names=["lang", "word", "n"])
 
 
 def _grams(word: Column, n: int) -> Column:
-    """``grams_of`` as an array of (size, key)."""
+    """N-grams of a word with its ends marked (single letters carry no marks), as an array of (size, key)."""
     marked = word if n == 1 else F.concat(F.lit("<"), word, F.lit(">"))
     last = F.length(marked) - n + 1
     each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(F.lit(n).alias("size"), F.substring(marked, i, F.lit(n)).alias("key")))
@@ -164,31 +181,35 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = 1000, penal
     sizes = rows.groupBy("lang").count().collect()  # one row per language
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return Model([], Table([], np.zeros((0, 0), np.float32)), [Table([], np.zeros((0, 0), np.float32))] * LONGEST, penalty)
+        none = Table(np.zeros(0, np.uint64), np.zeros((0, 0)))
+        return Model([], none, [none] * LONGEST, penalty)
     # a share of each language's rows that leaves about max_rows of them
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(max_rows / r["count"]))])
     draw = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) / 1_000_000.0
     sample = rows.where(draw < share[F.col("lang")]).select("lang", "text")
-    counts = sample.mapInPandas(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "word-counts")
     words = counts.select("lang", F.col("word").alias("key"), "n").toArrow()
     some = F.flatten(F.array(*[_grams(F.col("word"), n) for n in range(1, LONGEST + 1)]))
     grams = counts.select("lang", "n", F.explode(some).alias("g")).groupBy("lang", "g.size", "g.key").agg(F.sum("n").alias("n")).toArrow()
     size = grams["size"].to_numpy()
-    tables = [Table.of_counts(grams.filter(pa.array(size == n)), langs, penalty) for n in range(1, LONGEST + 1)]
-    return Model(langs, Table.of_counts(words, langs, penalty), tables, penalty)
+
+    def table(n: int) -> Table:
+        # keys have n code points each: of their joined text every n-th run is one
+        return Table.of_counts(grams.filter(pa.array(size == n)), langs, penalty, lambda keys: gram_hashes(_points("".join(keys)), n)[::n])
+
+    return Model(langs, Table.of_counts(words, langs, penalty, word_hashes), [table(n) for n in range(1, LONGEST + 1)], penalty)
 
 
 def judge(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """A function of a text column: struct of ``lang_pred``, ``score`` and ``explained`` (whether anything of the text is known)."""
-    shared = spark.sparkContext.broadcast(model)  # bounded by the model's sample
+    shared, penalty = spark.sparkContext.broadcast(model), model.penalty  # bounded by the model's sample
 
     @F.pandas_udf("lang_pred string, score double, explained boolean")
     def judged(texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([shared.value.judge(t) for t in texts], columns=["lang_pred", "score", "mean"])
-        return pd.DataFrame({"lang_pred": out["lang_pred"], "score": out["score"], "explained": out["mean"] > model_penalty})
+        out = shared.value.judge(pa.Array.from_pandas(texts, type=pa.string()))
+        return pd.DataFrame({"lang_pred": out["lang_pred"], "score": out["score"], "explained": out["mean"] > penalty})
 
-    model_penalty = model.penalty
     return judged
 
 

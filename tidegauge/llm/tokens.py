@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 
 GENERATION = 200_000
 #: UTF-8 bytes of texts that are cut at a time; a longer text is a portion of its own.
-PORTION = 8_000_000
+PORTION = 4_000_000
 #: Latin letters, perhaps after a mark, then ASCII punctuation without apostrophes: pre-tokens without context.
 PLAIN = re.compile(r"([\0\n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Texts with other white space than single spaces and line ends, or with NUL.
@@ -146,18 +146,23 @@ def _portion(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray
     return ids, np.r_[0, np.cumsum(counts)]
 
 
-def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Portions of ``texts`` (null: empty) as (first row, ids of all its texts, offsets of each text's ids)."""
+def portions(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of ``texts`` (null: empty) of about ``PORTION`` bytes, with the row each begins at."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
-        before = sizes[at - 1] if at else 0
-        upto = max(at + 1, int(np.searchsorted(sizes, before + PORTION, "right")))
-        yield at, *_portion(texts.slice(at, upto - at), path, end_id)
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PORTION, "right")))
+        yield at, texts.slice(at, upto - at)
         at = upto
 
 
+def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Portions of ``texts`` (null: empty) as (first row, ids of all its texts, offsets of each text's ids)."""
+    for at, part in portions(texts):
+        yield at, *_portion(part, path, end_id)
+
+
 def encode_whole(text: str, path: str) -> list[int]:
     """The tokenizers library's own encoding of the whole text."""
     return _memory(path).tokenizer.encode(text, add_special_tokens=False).ids
