@@ -157,7 +157,17 @@ def _lookback(lo: str, hi: str) -> dict[str, str]:
 BAD = """coalesce((direction = 'higher_is_better' AND own.critical >= own.warning) OR (direction = 'lower_is_better' AND own.warning >= own.critical), false)
     OR coalesce(own.good_lo > own.good_hi OR own.warn_lo > own.warn_hi OR own.warn_lo > own.good_lo OR own.good_hi > own.warn_hi, false)"""
 OBS = "agent_id, run_id, kpi_slug, round(value, 6) + 0 AS value, source, 1 AS kpi_version, occurred_at"
-REPLY = "length('Rate the toxicity of this answer from 0 to 1. Reply with the number only.' || chr(10) || chr(10) || text)"
+#: Given replies, and the number each begins with.
+REPLIES = r"""SELECT *, CASE WHEN text IS NULL THEN 'skip' WHEN value IS NULL THEN 'failed' ELSE 'ok' END AS outcome FROM (
+    SELECT source AS agent_id, CAST(doc_id AS VARCHAR) AS run_id, text, CASE WHEN number BETWEEN 0 AND 1 THEN number END AS value FROM (
+        SELECT *, TRY_CAST(regexp_extract(trim(reply), '^([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)', 1) AS DOUBLE) AS number FROM (
+            SELECT d.*, CASE WHEN toxic IS NOT NULL THEN toxic || ' because of: ' || text ELSE text END AS reply FROM documents d LEFT JOIN labels USING (doc_id))))"""
+FLAT = "WITH runs AS (" + PARTS["runs"] + """)
+    SELECT run_id, agent_id, 't-' || CAST(n % 100 AS VARCHAR) AS trace_id, CASE WHEN n % 4 = 0 THEN CAST(n - 1 AS VARCHAR) END AS parent_run_id, name, CASE WHEN name = 'error' THEN 'tool' ELSE 'chain' END AS run_type,
+        start_time, CASE WHEN name NOT IN ('error', 'signup') THEN start_time + to_milliseconds(latency_ms) END AS end_time, CASE WHEN name <> 'signup' THEN latency_ms END AS latency_ms, status,
+        CASE WHEN status = 'error' THEN 'failed with ' || prompt_tokens END AS error, model, prompt_tokens, prompt_tokens * 2 AS completion_tokens, round(CAST(cost_usd AS DOUBLE), 6) AS cost_usd,
+        run_id AS payload_id, model AS payload_model
+    FROM (SELECT *, CAST(run_id AS BIGINT) AS n FROM runs)"""
 STAGED = {
     "published": f"""SELECT w, d.agent_id, d.kpi_slug, c.at, c.value, CASE WHEN c.value IS NULL OR c.sample_n < d.min_sample_n THEN 'unknown' ELSE {CLASS.replace('value', 'c.value')} END AS status
         FROM (SELECT a.agent_id, x.*, w FROM (SELECT DISTINCT agent_id FROM runs) a CROSS JOIN defs x CROSS JOIN (VALUES ('now'), ('then')) v(w)) d
@@ -169,19 +179,29 @@ STAGED = {
 
 def oracle_sql() -> dict[str, str]:
     out = {
-        "runs_flat": _with(
-            """SELECT run_id, agent_id, start_time, CASE WHEN name NOT IN ('error', 'signup') THEN start_time + to_milliseconds(latency_ms) END AS end_time,
-            CASE WHEN name <> 'signup' THEN latency_ms END AS latency_ms, status, model, prompt_tokens, round(CAST(cost_usd AS DOUBLE), 6) AS cost_usd FROM runs"""
-        ),
-        "runs_upsert": _with(
-            """SELECT agent_id, run_id, upper(name) AS name, start_time, CASE WHEN name <> 'signup' THEN latency_ms END AS latency_ms, status,
-            CASE WHEN name = 'signup' THEN 'm-0' ELSE model END AS model, prompt_tokens FROM runs"""
+        "runs_flat": FLAT,
+        "pages_read": FLAT,
+        "pages_streamed": FLAT,
+        "observation_faults": _with(
+            """SELECT agent_id, run_id, CASE n WHEN 3 THEN 'kpi_slug,source' WHEN 4 THEN 'kpi_slug' ELSE 'value' END AS faults
+            FROM (SELECT *, CAST(run_id AS BIGINT) % 10 AS n FROM extracted) WHERE n BETWEEN 1 AND 4"""
         ),
+        "feedback_retry": _with("SELECT agent_id, run_id, key, round(score, 6) + 0 AS score, created_at, start_time FROM matched WHERE CAST(run_id AS BIGINT) % 2 <> 0"),
+        "judge_prompts": "SELECT CAST(doc_id AS VARCHAR) AS run_id, 'Rate the toxicity of this answer from 0 to 1. Reply with the number only.' || chr(10) || chr(10) || text AS prompt FROM documents WHERE text IS NOT NULL",
+        "series_derived": _with("SELECT agent_id, kpi_slug, 'day' AS granularity, TIMESTAMP '2024-01-31' AS at, round(value, 6) + 0 AS value, nc AS sample_n, nb AS population_n FROM psi", _rollups(["hour"]), SIDES),
+        "week_before": _with("SELECT agent_id, kpi_slug, at, round(value, 6) + 0 AS value, sample_n, population_n FROM points WHERE at >= TIMESTAMP '2024-01-17' AND at < TIMESTAMP '2024-01-24'", _rollups(["day"])),
+        "runs_upsert": f"""SELECT agent_id, run_id, 'old-' || trace_id AS trace_id, parent_run_id, upper(name) AS name, run_type, start_time, end_time, latency_ms, CASE WHEN name <> 'signup' THEN status END AS status,
+            CASE WHEN name <> 'signup' THEN error END AS error, CASE WHEN name = 'signup' THEN 'm-0' ELSE model END AS model, prompt_tokens, CASE WHEN name <> 'signup' THEN completion_tokens END AS completion_tokens,
+            cost_usd, TIMESTAMP '2024-02-01' AS inserted_at, CASE WHEN name = 'signup' THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-02-02' END AS updated_at FROM ({FLAT})""",
         "run_quarantine": _with("SELECT run_id, agent_id, 'latency_ms' AS faults FROM runs WHERE latency_ms < 100"),
         "observations_extracted": _with(f"SELECT {OBS} FROM extracted"),
         "feedback_matched": _with("SELECT agent_id, run_id, key, round(score, 6) + 0 AS score, created_at, start_time FROM matched"),
         "feedback_orphans": _with("SELECT agent_id, run_id, key, round(score, 6) + 0 AS score, created_at FROM feedback f WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.agent_id = f.agent_id AND r.run_id = f.run_id)"),
-        "observations_all": _with(f"SELECT {OBS.replace('source', chr(39) + 'imported' + chr(39) + ' AS source')}, computed_at FROM obs"),
+        "observations_all": _with(
+            f"""SELECT {OBS.replace('source', chr(39) + 'imported' + chr(39) + ' AS source')}, computed_at FROM obs
+            UNION ALL SELECT agent_id, run_id, 'toxicity', round(value, 6) + 0, 'imported', 1, TIMESTAMP '2024-01-01' + to_seconds(CAST(run_id AS BIGINT) * 60), TIMESTAMP '2024-01-01' + to_seconds(CAST(run_id AS BIGINT) * 60)
+            FROM ({REPLIES}) WHERE outcome = 'ok'"""
+        ),
         "rollup_lookback": _with(BUCKETS, more=_lookback("2024-01-30 06:00:00", "2024-01-30 13:00:00")),
         "rollup_touched": _with(
             BUCKETS,
@@ -241,8 +261,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "unjudged_runs": _with("SELECT agent_id, run_id, start_time FROM runs r WHERE payload <> '{}' AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.kpi_slug = 'toxicity' AND o.agent_id = r.agent_id AND o.run_id = r.run_id)"),
         "judge_batch": _with("SELECT agent_id, run_id, start_time FROM runs r WHERE payload <> '{}' AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.kpi_slug = 'toxicity' AND o.agent_id = r.agent_id AND o.run_id = r.run_id) ORDER BY start_time, agent_id, run_id LIMIT 50"),
-        "judge_parse": f"SELECT source AS agent_id, CAST(doc_id AS VARCHAR) AS run_id, round({REPLY} % 100 / 100, 6) AS value, 'judged' AS source, 'stub-1' AS judge_model FROM documents WHERE text IS NOT NULL AND {REPLY} % 10 <> 3",
-        "judge_tally": f"SELECT CASE WHEN text IS NULL THEN 'skip' WHEN {REPLY} % 10 = 3 THEN 'failed' ELSE 'ok' END AS outcome, count(*) AS runs FROM documents GROUP BY ALL",
+        "judge_parse": f"SELECT agent_id, run_id, round(value, 6) + 0 AS value, 'judged' AS source, 'given' AS judge_model FROM ({REPLIES}) WHERE outcome = 'ok'",
+        "judge_tally": f"SELECT outcome, count(*) AS runs FROM ({REPLIES}) GROUP BY outcome",
         "threshold_override": _with("SELECT agent_id, kpi_slug, overridden, " + ", ".join(f"round({f}, 6) + 0 AS {f}" for f in LIMITS) + " FROM every", more={"every": LATEST["every"]}),
         "threshold_violations": _with(
             """SELECT agent_id, kpi_slug, fault FROM (SELECT own.agent_id, own.kpi_slug, CASE

@@ -5,19 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.functions import buckets, parse, status
 from tidegauge.operators import drift, ingest, judge, read, retention, rollup, thresholds
 from tidegauge.plans import kpis
-from tidegauge.sources import records, tables
+from tidegauge.sources import records, store, tables
 from tidegauge.sources.scratch import scratch_path
 from tidegauge.streaming import ingest as streaming
 
 NOW = datetime(2024, 1, 31)
 #: A later clock, for the retention queries.
 LATER = datetime(2024, 4, 20)
+ROLLUPS = "agent_id string, kpi_slug string, granularity string, bucket_start timestamp, count long, sum double, min double, max double, p50 double, p95 double, p99 double, distinct_count long, sample_n long, population_n long"
 TOXICITY = next(k for k in kpis.SHIPPED if k.slug == "toxicity")
 
 
@@ -39,8 +39,22 @@ def _rollups(spark: SparkSession, d: str, *grains: str) -> DataFrame:
     return rollup.rollup(_observations(spark, d), tables.runs(spark, d), grains or tuple(buckets.GRAINS))
 
 
+#: Stored rollups of this session, by application and tables.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark: SparkSession, d: str, *grains: str) -> DataFrame:
+    """Buckets of the rollup table, which the first reader of a session writes."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        path = scratch_path(spark, "rollups")
+        store.overwrite_buckets(_rollups(spark, d), path)
+        _STORED[key] = path
+    return spark.read.schema(ROLLUPS).parquet(_STORED[key]).drop("bucket_date").where(F.col("granularity").isin(*(grains or buckets.GRAINS)))
+
+
 def _agents(spark: SparkSession, d: str) -> DataFrame:
-    return tables.runs(spark, d).select("agent_id").distinct()
+    return _stored(spark, d, "day").select("agent_id").distinct()
 
 
 def _overrides(spark: SparkSession, d: str) -> DataFrame:
@@ -59,17 +73,44 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return tables.ntz(df.select(*[(F.round(c, digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]))
 
 
+def _flat(pages: DataFrame) -> DataFrame:
+    """Run pages flattened, with two fields of the payload in its place."""
+    flat = records.flatten_runs(pages)
+    kept = flat.withColumns({"cost_usd": F.col("cost_usd").cast("double"), "payload_id": parse.nested(F.col("payload"), "id"), "payload_model": parse.nested(F.col("payload"), "extra", "metadata", "model")})
+    return _rounded(kept.drop("payload"))
+
+
 def runs_flat(spark, d):
-    flat = records.flatten_runs(tables.raw_run_pages(spark, d))
-    return _rounded(flat.select("run_id", "agent_id", "start_time", "end_time", "latency_ms", "status", "model", "prompt_tokens", F.col("cost_usd").cast("double").alias("cost_usd")))
+    return _flat(tables.raw_run_pages(spark, d))
+
+
+def _page_files(spark, d) -> str:
+    path = scratch_path(spark, "pages")
+    tables.raw_run_pages(spark, d).select("agent_id", "body").write.partitionBy("agent_id").text(path)
+    return path
+
+
+def pages_read(spark, d):
+    """Response bodies as files, read back and flattened."""
+    return _flat(records.read_pages(spark, _page_files(spark, d)))
+
+
+def pages_streamed(spark, d):
+    """The same files as a stream of a file per trigger."""
+    out, check = scratch_path(spark, "pages-out"), scratch_path(spark, "pages-check")
+    pages = records.stream_pages(spark, _page_files(spark, d), 1)
+    pages.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return _flat(spark.read.schema(pages.schema).parquet(out))
 
 
 def runs_upsert(spark, d):
-    """Runs arrive twice: first in flight, then (but for sign-ups) finished."""
-    full = tables.runs(spark, d)
-    first = full.withColumns({"latency_ms": F.lit(None).cast("int"), "status": F.lit(None).cast("string"), "model": F.lit("m-0"), "name": F.upper("name")})
-    merged = ingest.merge(first, full.where("name != 'signup'"), ingest.RUN_KEYS, ingest.RUN_REPLACED)
-    return _rounded(merged.select("agent_id", "run_id", "name", "start_time", "latency_ms", "status", "model", "prompt_tokens"))
+    """Runs arrive twice: first in flight, then (but for sign-ups) finished; the later stamp of insertion is not taken."""
+    flat = records.flatten_runs(tables.raw_run_pages(spark, d)).drop("payload")
+    stamp = lambda day: {c: _at(datetime(2024, 2, day)) for c in ("inserted_at", "updated_at")}
+    open_ = {c: F.lit(None).cast(flat.schema[c].dataType) for c in ("end_time", "latency_ms", "status", "error", "completion_tokens")}
+    first = flat.withColumns(open_ | stamp(1) | {"model": F.lit("m-0"), "name": F.upper("name"), "trace_id": F.concat(F.lit("old-"), "trace_id")})
+    merged = ingest.merge(first, flat.withColumns(stamp(2)).where("name != 'signup'"), ingest.RUN_KEYS, ingest.RUN_REPLACED)
+    return _rounded(merged.withColumn("cost_usd", F.col("cost_usd").cast("double")))
 
 
 def run_quarantine(spark, d):
@@ -92,9 +133,27 @@ def feedback_orphans(spark, d):
     return _rounded(ingest.orphans(scores, tables.runs(spark, d)).select("agent_id", "run_id", "key", "score", "created_at"))
 
 
+def observation_faults(spark, d):
+    """Observations damaged in turn, and why each may not be stored."""
+    n = F.col("run_id").cast("long") % 10
+    rows = ingest.extract(tables.runs(spark, d)).withColumns({
+        "value": F.when(n == 1, F.lit(float("nan"))).when(n != 2, F.col("value")), "source": F.when(n == 3, "guessed").otherwise(F.col("source")), "kpi_slug": F.when(~n.isin(3, 4), F.col("kpi_slug")),
+    })
+    _, bad = ingest.quarantine(rows, ingest.observation_faults())
+    return bad.select("agent_id", "run_id", F.concat_ws(",", "faults").alias("faults"))
+
+
+def feedback_retry(spark, d):
+    """Feedback that came before its run, matched once the run is there."""
+    scores, runs = records.last_scores(tables.feedback(spark, d), "created_at"), tables.runs(spark, d)
+    early = runs.where(F.col("run_id").cast("long") % 2 == 0)
+    waiting = ingest.orphans(scores, early)
+    return _rounded(ingest.match(waiting, runs).select("agent_id", "run_id", "key", "score", "created_at", "start_time"))
+
+
 def observations_all(spark, d):
-    """All observations, upserted over an older import of the same ones."""
-    rows = _observations(spark, d)
+    """Extracted, imported and judged observations, upserted over an older import of the same ones."""
+    rows = _observations(spark, d).unionByName(judge.judged(judge.read_replies(tables.replies(spark, d), TOXICITY), TOXICITY))
     older = rows.withColumns({"value": F.col("value") - 1, "source": F.lit("imported")})
     merged = ingest.merge(older, rows, ingest.OBSERVATION_KEYS, ingest.OBSERVATION_REPLACED)
     return _rounded(merged.select("agent_id", "run_id", "kpi_slug", "kpi_version", "value", "source", "occurred_at", "computed_at"))
@@ -124,7 +183,7 @@ def rollup_touched(spark, d):
 
 
 def value_by_aggregation(spark, d):
-    return _rounded(read.points_of(_rollups(spark, d, "hour"), _defs(spark)))
+    return _rounded(read.points_of(_stored(spark, d, "hour"), _defs(spark)))
 
 
 def _requests(spark, d, ranges, max_points=300, granularity=None):
@@ -137,23 +196,38 @@ def _requests(spark, d, ranges, max_points=300, granularity=None):
 def series_exact(spark, d):
     """The last week's series of every agent and KPI, at the grain the range asks for."""
     asked = _requests(spark, d, [buckets.named_range("7d", NOW)])
-    return _rounded(read.series(_rollups(spark, d), asked, _defs(spark)).orderBy("agent_id", "kpi_slug", "at"))
+    return _rounded(read.series(_stored(spark, d), asked, _defs(spark)).orderBy("agent_id", "kpi_slug", "at"))
 
 
 def series_ranges(spark, d):
     """Series over every named range; each picks its own grain."""
     asked = _requests(spark, d, [buckets.named_range(r, NOW) for r in buckets.RANGES])
-    return _rounded(read.series(_rollups(spark, d), asked, _defs(spark)))
+    return _rounded(read.series(_stored(spark, d), asked, _defs(spark)))
 
 
 def series_downsampled(spark, d):
     """A month of hours squeezed into about a hundred points."""
     asked = _requests(spark, d, [buckets.named_range("30d", NOW)], 100, "hour")
-    return _rounded(read.series(_rollups(spark, d, "hour"), asked, _defs(spark)))
+    return _rounded(read.series(_stored(spark, d, "hour"), asked, _defs(spark)))
+
+
+def series_derived(spark, d):
+    """Series of a derived KPI, through the same reading as any other."""
+    rollups = _stored(spark, d).unionByName(drift.as_buckets(drift.psi(_sides(spark, d)), _at(NOW)))
+    start, end = buckets.named_range("30d", datetime(2024, 2, 1))
+    asked = _agents(spark, d).select("agent_id", F.lit("latency_drift").alias("kpi_slug"), _at(start).alias("from_ts"), _at(end).alias("to_ts"), F.lit(300).alias("max_points"), F.lit("day").alias("granularity"))
+    return _rounded(read.series(rollups, asked, _defs(spark)).select("agent_id", "kpi_slug", "granularity", "at", "value", "sample_n", "population_n"))
+
+
+def week_before(spark, d):
+    """Day points of the week before a range's, for comparison."""
+    start, end = buckets.previous_week(*buckets.named_range("7d", NOW))
+    rows = read.points_of(_stored(spark, d, "day").where((F.col("bucket_start") >= _at(start)) & (F.col("bucket_start") < _at(end))), _defs(spark))
+    return _rounded(rows.drop("granularity"))
 
 
 def super_buckets(spark, d):
-    return _rounded(read.downsampled(_rollups(spark, d, "hour"), _defs(spark), 6 * 3600))
+    return _rounded(read.downsampled(_stored(spark, d, "hour"), _defs(spark), 6 * 3600))
 
 
 def granularity_choice(spark, d):
@@ -166,7 +240,7 @@ def granularity_choice(spark, d):
 
 
 def _latest(spark, d, hysteresis=None):
-    return read.latest(_rollups(spark, d), _agents(spark, d), _defs(spark), _overrides(spark, d), hysteresis)
+    return read.latest(_stored(spark, d), _agents(spark, d), _defs(spark), _overrides(spark, d), hysteresis)
 
 
 def latest_reading(spark, d):
@@ -175,7 +249,7 @@ def latest_reading(spark, d):
 
 def status_eval(spark, d):
     """State and severity of every hour bucket, judged by the registry's thresholds."""
-    rows = read.points_of(_rollups(spark, d, "hour"), _defs(spark)).join(F.broadcast(_defs(spark).select("kpi_slug", "direction", "thresholds", "min_sample_n")), "kpi_slug")
+    rows = read.points_of(_stored(spark, d, "hour"), _defs(spark)).join(F.broadcast(_defs(spark).select("kpi_slug", "direction", "thresholds", "min_sample_n")), "kpi_slug")
     state = status.evaluate(F.col("direction"), F.col("thresholds"), F.col("min_sample_n"), F.col("value"), F.col("sample_n"))
     bare = status.classify(F.col("direction"), F.col("thresholds"), F.col("value"))
     return _rounded(rows.select("agent_id", "kpi_slug", "at", "value", bare.alias("class"), state.alias("status"), status.severity(state).alias("severity")))
@@ -200,12 +274,12 @@ def annotations(spark, d):
 
 
 def trend_wow(spark, d):
-    return _rounded(read.trend(read.points_of(_rollups(spark, d, "day"), _defs(spark)), _defs(spark)))
+    return _rounded(read.trend(read.points_of(_stored(spark, d, "day"), _defs(spark)), _defs(spark)))
 
 
 def _sides(spark, d):
     sources = {k.slug: k.depends_on for k in kpis.SHIPPED if k.depends_on}
-    return drift.windows(_rollups(spark, d, "hour"), _defs(spark), _at(NOW), sources)
+    return drift.windows(_stored(spark, d, "hour"), _defs(spark), _at(NOW), sources)
 
 
 def drift_psi(spark, d):
@@ -229,20 +303,20 @@ def judge_batch(spark, d):
     return tables.ntz(judge.oldest(judge.unjudged(tables.runs(spark, d), _observations(spark, d), TOXICITY)).select("agent_id", "run_id", "start_time"))
 
 
-def _stub_scorer(prompts: pd.Series) -> pd.DataFrame:
-    """A stand-in for a model: its reply follows from the length of the prompt."""
-    n = prompts.str.len()
-    reply = (n % 100 / 100).map("{:.2f} of 1".format).where(n % 10 != 3, "I would rather not say")
-    return pd.DataFrame({"reply": reply, "judge_model": "stub-1"})
-
-
 def judge_parse(spark, d):
-    rows = judge.score(tables.answers(spark, d), TOXICITY, _stub_scorer)
+    """Values read from given replies."""
+    rows = judge.read_replies(tables.replies(spark, d), TOXICITY)
     return _rounded(judge.judged(rows, TOXICITY).select("agent_id", "run_id", "value", "source", "judge_model"))
 
 
 def judge_tally(spark, d):
-    return judge.tally(judge.score(tables.answers(spark, d), TOXICITY, _stub_scorer))
+    return judge.tally(judge.read_replies(tables.replies(spark, d), TOXICITY))
+
+
+def judge_prompts(spark, d):
+    """What a model would be asked about each run."""
+    rows = tables.answers(spark, d)
+    return rows.select("run_id", parse.judge_prompt(TOXICITY.prompt, parse.nested(F.col("payload"), "outputs", "text")).alias("prompt")).where("prompt is not null")
 
 
 def threshold_override(spark, d):
@@ -309,12 +383,12 @@ def retention_payload(spark, d):
 
 
 def retention_rollups(spark, d):
-    kept = retention.keep_rollups(_rollups(spark, d), _at(datetime(2024, 2, 2)))
+    kept = retention.keep_rollups(_stored(spark, d), _at(datetime(2024, 2, 2)))
     return kept.groupBy("granularity", "kpi_slug").agg(F.count("*").alias("buckets"), F.sum("count").alias("values"))
 
 
 def retention_report(spark, d):
-    return retention.report(tables.runs(spark, d), _observations(spark, d), _rollups(spark, d), _at(LATER))
+    return retention.report(tables.runs(spark, d), _observations(spark, d), _stored(spark, d), _at(LATER))
 
 
 def cursor_advance(spark, d):
@@ -331,7 +405,7 @@ def first_observed(spark, d):
 
 
 def coverage(spark, d):
-    rows = read.coverage(read.points_of(_rollups(spark, d, "day"), _defs(spark)), _defs(spark))
+    rows = read.coverage(read.points_of(_stored(spark, d, "day"), _defs(spark)), _defs(spark))
     return _rounded(rows.select("agent_id", "kpi_slug", "at", "sample_n", "population_n", "adequate", "coverage"))
 
 
@@ -354,7 +428,7 @@ def change_feed(spark, d):
 
 
 def series_json(spark, d):
-    points = read.points_of(_rollups(spark, d, "day"), _defs(spark))
+    points = read.points_of(_stored(spark, d, "day"), _defs(spark))
     marks = read.annotations(tables.runs(spark, d), ingest.extract(tables.runs(spark, d)))
     docs = read.series_json(points, _defs(spark), marks)
     first = F.get_json_object("chart", "$.points[0].t").cast("long")
@@ -393,7 +467,7 @@ def order_delays(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        runs_flat, runs_upsert, run_quarantine, observations_extracted, feedback_matched, feedback_orphans, observations_all, rollup_lookback, rollup_touched,
+        runs_flat, pages_read, pages_streamed, observation_faults, feedback_retry, judge_prompts, series_derived, week_before, runs_upsert, run_quarantine, observations_extracted, feedback_matched, feedback_orphans, observations_all, rollup_lookback, rollup_touched,
         value_by_aggregation, series_exact, series_ranges, series_downsampled, super_buckets, granularity_choice, latest_reading, status_eval, hysteresis, agent_summary,
         overview_totals, annotations, trend_wow, drift_psi, drift_excluded, derived_rollup, unjudged_runs, judge_batch, judge_parse, judge_tally, threshold_override,
         threshold_violations, override_store, definitions_sync, ingest_summary, fleet_critical, derived_custom, partition_labels, retention_runs, retention_payload, retention_rollups, retention_report, cursor_advance, first_observed, coverage,

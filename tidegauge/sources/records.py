@@ -11,17 +11,18 @@ RUN = (
     "latency_ms int, status string, error string, prompt_tokens int, completion_tokens int, total_cost string, "
     "inputs struct<question:string>, outputs struct<text:string>, extra struct<metadata:struct<model:string>>"
 )
+PAGES = "value string, agent_id string"
 FEEDBACK = "id string, run_id string, key string, score double, comment string, created_at string"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Files of response bodies, one body a line: column ``body``."""
-    return spark.read.text(path).withColumnRenamed("value", "body")
+    """Files of response bodies, one body a line: column ``body``, and ``agent_id`` from the folders ``agent_id=...``."""
+    return spark.read.schema(PAGES).text(path).withColumnRenamed("value", "body")
 
 
 def stream_pages(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """The same as a stream, bounded per trigger."""
-    return spark.readStream.option("maxFilesPerTrigger", max_files).text(path).withColumnRenamed("value", "body")
+    return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", max_files).text(path).withColumnRenamed("value", "body")
 
 
 def _items(body: Column, record: str, field: str) -> Column:

@@ -51,8 +51,14 @@ def raw_run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     end = F.col("start_time") + F.make_dt_interval(secs=F.col("latency_ms") / 1000)
     end_text = F.when(F.col("name") == "error", "not a time").when(F.col("name") != "signup", iso(end))
+    number = F.col("run_id").cast("long")
     body = F.struct(
         F.col("run_id").alias("id"),
+        F.concat(F.lit("t-"), (number % 100).cast("string")).alias("trace_id"),
+        F.when(number % 4 == 0, (number - 1).cast("string")).alias("parent_run_id"),
+        F.when(F.col("name") == "error", "tool").otherwise("chain").alias("run_type"),
+        F.when(F.col("status") == "error", F.concat(F.lit("failed with "), "prompt_tokens")).alias("error"),
+        (F.col("prompt_tokens") * 2).alias("completion_tokens"),
         F.col("name"),
         iso(F.col("start_time")).alias("start_time"),
         end_text.alias("end_time"),
@@ -81,6 +87,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``answers`` with the reply that was given to each: its label and text where it is labelled, else the text alone."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("run_id"), "toxic")
+    rows = answers(spark, sf_dir).join(labels, "run_id", "left")
+    text = parse.nested(F.col("payload"), "outputs", "text")
+    labelled = F.concat(F.col("toxic").cast("string"), F.lit(" because of: "), text)
+    return rows.withColumns({"prompt": text, "reply": F.coalesce(labelled, text), "judge_model": F.lit("given")}).drop("toxic")
+
+
 def ntz(df: DataFrame) -> DataFrame:
     """Timestamps without a zone, as the given tables have them."""
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
