@@ -60,6 +60,28 @@ def test_recall(spark):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+def test_repeated_ids_stand_for_their_least_vector(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).astype("<f4").tolist()) for i in range(30)]
+    again = [(i, [x + 1.0 for x in v]) for i, v in rows[:5]] + rows[5:8]
+    got = ann.nearest(vectors(spark, rows + again), F.col("vec_id") % 5 == 0, 4).orderBy("query_id", "rank").collect()
+    want = exact(rows, 4, 5)
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(q, v) for q in sorted(want) for v, _ in want[q]]
+
+
+def test_recall_beyond_the_blocks(spark):
+    """Blocks of about 3 % of the nodes: the descent has to find the rest."""
+    rng = np.random.default_rng(1)
+    x = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()], dtype=np.float32)
+    x = np.concatenate([x, x])
+    x = (x + rng.normal(size=x.shape) * x.std() * 0.5).astype(np.float32)
+    rows = list(enumerate(x.tolist()))
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, block=128).select("query_id", "vec_id").collect()
+    want = exact(rows, 20, 100)
+    pairs = {(r["query_id"], r["vec_id"]) for r in got}
+    assert sum((q, v) in pairs for q, near in want.items() for v, _ in near) / sum(map(len, want.values())) >= 0.9
+
+
 def test_external_queries_use_entry_nodes(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(500, 8)).astype("<f4")

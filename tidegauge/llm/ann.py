@@ -4,21 +4,29 @@ Vectors that are equal form one node, so copies cost nothing and are listed at
 the end.  Nodes get one more component that makes all norms equal, after which
 the largest inner product with a query is the nearest node.
 
-The neighbour graph starts from exact neighbours within a few random blocks and
-improves by NN-descent: each node's neighbours and (a bounded number of)
-reverse neighbours are joined to their vectors, introduced to each other, and
-those nearer than a node's present neighbours are merged in.  Only pairs with a
-new member are compared again.  Rounds end when few edges change.
+The neighbour graph starts from exact neighbours within a few random blocks of
+about ``block`` nodes and improves by NN-descent.  In each round every node
+draws at most ``sample`` of its fresh and of its older edges, and as many reverse
+edges of either kind; the nodes at their ends meet, are introduced to each other
+where one of the two edges is fresh, and those nearer than a node's present
+neighbours are merged in.  Edges that were not drawn stay fresh.  Nodes without
+fresh edges send nothing.  Vectors travel to such meetings as 8-bit integers:
+sending one vector to a meeting scores it against all others there, which takes
+fewer bytes than sending it to the block of each candidate.  Rounds end when
+fewer than ``settle`` of all edges change.
 
 Search is greedy with a beam: per round, each query opens its best unopened
 nodes, joins their neighbours, has them scored where their vectors lie (by
-block of nodes) and keeps the best ``beam``.  Edges are followed both ways.  A query that is a node itself
-starts from its own neighbours, any other from fixed entry nodes.  Scores of
-the result are recomputed in double precision on the original vectors.
+block of nodes) and keeps the best ``beam``.  Edges are followed both ways.  A
+query that is a node itself starts from its own neighbours, any other from fixed
+entry nodes; queries with equal vectors are searched once.  Scores of the result
+are recomputed in double precision on the original vectors.
 
 Defined cases: vectors null, empty, zero or holding null or non-finite
 components take no part, nor do those whose length is not the most frequent
-one; an empty table gives an empty result; extra columns are not read.
+one; of rows that repeat an id the one with the least vector (component by
+component) stands for the id; ties go to smaller ids; an empty table gives an
+empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +40,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from tidegauge.sources.scratch import materialise
 
-BLOCK = 2048
+#: Nodes of a block, in the start graph and in the search.
+BLOCK = 1024
 
 
 def _block_of(node, blocks: int):
@@ -48,7 +57,8 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
     sizes = rows.groupBy(F.size("v").alias("k")).count().orderBy(F.desc("count"), "k").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["k"] if sizes else 0))
+    rows = rows.where(F.size("v") == (sizes[0]["k"] if sizes else 0))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _nodes(rows: DataFrame, copies: int) -> DataFrame:
@@ -95,8 +105,8 @@ def _in_block(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf["node"].to_numpy(), _matrix(pdf["vec"])
         out = []
-        for at in range(0, len(ids), 2 * BLOCK):  # blocks vary in size; larger ones are scanned in strips
-            s = x[at : at + 2 * BLOCK] @ x.T
+        for at in range(0, len(ids), 2048):  # a block is scanned in strips
+            s = x[at : at + 2048] @ x.T
             s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
             r, c = _best(s, k)
             out.append(pd.DataFrame({"u": ids[at + r], "w": ids[c], "s": s[r, c]}))
@@ -105,8 +115,24 @@ def _in_block(k: int):
     return run
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as 8-bit integers with a scale."""
+    for batch in batches:
+        if batch.num_rows:
+            x = _matrix(batch.column("vec").to_pylist())
+            scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30) / 127
+            packed = np.concatenate([scale.astype("<f4").view(np.int8), np.rint(x / scale).astype(np.int8)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in packed], pa.binary())], names=["node", "vec"])
+
+
+def _large(packed) -> np.ndarray:
+    """The vectors that ``_small`` made small."""
+    rows = np.frombuffer(b"".join(packed), dtype=np.int8).reshape(len(packed), -1)
+    return rows[:, 4:].astype(np.float32) * np.ascontiguousarray(rows[:, :4]).view("<f4")
+
+
 def _introduce(top: int):
-    """Members of each centre that are nearer to each other than their worst neighbour."""
+    """Pairs at each meeting that are nearer to each other than their worst neighbours, the ``top`` best of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +140,7 @@ def _introduce(top: int):
             ends = lists.offsets.to_numpy()
             flat = lists.flatten()
             m, fresh, worst = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("m", "fresh", "worst"))
-            x = _matrix(flat.field("vec").to_pylist()).astype(np.float32) if len(m) else None
+            x = _large(flat.field("vec").to_pylist()) if len(m) else None
             ends = ends - ends[0] if len(ends) else ends
             us, ws, ss = [], [], []
             for a, b in zip(ends[:-1], ends[1:]):
@@ -139,37 +165,43 @@ def _introduce(top: int):
 
 
 def _merge(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best distinct neighbours of each node; edges found before stay unmarked."""
-    once = edges.groupBy("u", "w").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    """The ``k`` best distinct neighbours of each node; edges found before stay as they are marked."""
+    once = edges.groupBy("u", "w").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"), F.max("old").alias("old"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "w"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def neighbour_graph(packed: DataFrame, n: int, k: int = 32, reverse: int = 24, top: int = 8, blocks: int = 4, rounds: int = 8, settle: float = 0.15) -> DataFrame:
+def neighbour_graph(packed: DataFrame, n: int, k: int = 32, sample: int = 10, top: int = 8, blocks: int = 2, rounds: int = 12, settle: float = 0.05, block: int = BLOCK) -> DataFrame:
     """Edges (u, w, s, rank) of the NN-descent graph over ``packed`` (node, vec)."""
-    parts = max(1, -(-n // BLOCK))
+    parts = max(1, -(-n // block))
     starts = []
     for t in range(blocks):
-        block = packed.withColumn("b", F.pmod(F.xxhash64("node", F.lit(t)), F.lit(parts)))
-        starts.append(block.groupBy("b").applyInPandas(_in_block(k), "u long, w long, s float"))
+        some = packed.withColumn("b", F.pmod(F.xxhash64("node", F.lit(t)), F.lit(parts)))
+        starts.append(some.groupBy("b").applyInPandas(_in_block(k), "u long, w long, s float"))
     edges = starts[0]
     for more in starts[1:]:
         edges = edges.unionByName(more)
-    edges = materialise(_merge(edges.withColumn("fresh", F.lit(True)), k), "graph-0")
+    small = materialise(packed.mapInArrow(_small, "node long, vec binary"), "small-vectors").withColumnRenamed("node", "m")
+    edges = materialise(_merge(edges.withColumns({"fresh": F.lit(True), "old": F.lit(False)}), k), "graph-0")
     for i in range(rounds):
+
+        def drawn(rows: DataFrame, node: str, other: str) -> Column:
+            return F.row_number().over(Window.partitionBy(node, "fresh").orderBy(F.xxhash64(other, F.lit(i)))) <= sample
+
+        edges = edges.withColumn("drawn", drawn(edges, "u", "w"))
         worst = edges.groupBy("u").agg(F.min("s").alias("worst"), F.count("*").alias("have"))
         worst = worst.select(F.col("u").alias("m"), F.when(F.col("have") < k, F.lit(float("-inf"))).otherwise(F.col("worst")).cast("float").alias("worst"))
-        there = packed.withColumnRenamed("node", "m").join(worst, "m")
-        forward = edges.select(F.col("u").alias("c"), F.col("w").alias("m"), "fresh")
-        back = edges.select(F.col("w").alias("c"), F.col("u").alias("m"), "fresh")
-        some = F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("m", F.lit(i))))
-        back = back.withColumn("r", some).where(F.col("r") <= reverse).drop("r")
-        members = forward.unionByName(back).join(there, "m")
+        forward = edges.where("drawn").select(F.col("u").alias("c"), F.col("w").alias("m"), "fresh")
+        back = edges.where("drawn").select(F.col("w").alias("c"), F.col("u").alias("m"), "fresh")
+        back = back.withColumn("drawn", drawn(back, "c", "m")).where("drawn").drop("drawn")
+        meetings = forward.unionByName(back).groupBy("c").agg(F.collect_list(F.struct("m", "fresh")).alias("all")).where(F.exists("all", lambda x: x["fresh"]))
+        members = meetings.select("c", F.inline("all")).join(small.join(worst, "m"), "m")
         centres = members.groupBy("c").agg(F.collect_list(F.struct("m", "fresh", "worst", "vec")).alias("members"))
         found = centres.select("members").mapInArrow(_introduce(top), "u long, w long, s float")
-        both = edges.select("u", "w", "s", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True)))
+        before = edges.select("u", "w", "s", (F.col("fresh") & ~F.col("drawn")).alias("fresh"), F.lit(True).alias("old"))
+        both = before.unionByName(found.withColumns({"fresh": F.lit(True), "old": F.lit(False)}))
         edges = materialise(_merge(both, k), f"graph-{i + 1}")
-        if edges.where("fresh").count() < settle * n * k:
+        if edges.where("not old").count() < settle * n * k:
             break
     return edges
 
@@ -234,9 +266,9 @@ def _take(beam: int, width: int):
 STATE = "q long, qvec binary, nodes array<long>, scores array<float>, done array<boolean>, open array<long>"
 
 
-def graph_search(queries: DataFrame, packed: DataFrame, edges: DataFrame, n: int, beam: int = 192, width: int = 64, rounds: int = 4, entries: int = 64, reverse: int = 24) -> DataFrame:
+def graph_search(queries: DataFrame, packed: DataFrame, edges: DataFrame, n: int, beam: int = 192, width: int = 64, rounds: int = 4, entries: int = 64, reverse: int = 24, block: int = BLOCK) -> DataFrame:
     """(q, node, s): the beam of each of ``queries`` (q, qvec, node or null) after greedy search."""
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-n // block))
     held = packed.withColumn("b", _block_of(F.col("node"), blocks).cast("int"))
     # edges serve both ways, so that nodes nobody counts among its nearest are reached too
     nearest_back = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("s"), "u"))
@@ -265,24 +297,29 @@ def graph_search(queries: DataFrame, packed: DataFrame, edges: DataFrame, n: int
     return state.select("q", pair.alias("p")).select("q", F.col("p.nodes").alias("node"), F.col("p.scores").alias("s"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", **search) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row that ``is_query`` picks."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, graph: dict | None = None, **search) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row that ``is_query`` (of the column ``vec_id``) picks."""
     rows = materialise(usable(vectors, id_col, vec_col), "vectors")
     nodes = materialise(_nodes(rows, k + 1), "nodes")
     n = nodes.count()
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     top = nodes.agg(F.max(norm2)).first()[0] or 0.0
     packed = materialise(nodes.select("node", "v").mapInArrow(_pack_vectors(top), "node long, vec binary"), "packed")
-    edges = neighbour_graph(packed, n)
-    asked = rows.where(is_query).join(nodes.select("node", "v"), "v").select(F.col("vec_id").alias("q"), "node")
-    flat = nodes.select("node", "v").mapInArrow(_pack_vectors(0.0), "node long, vec binary").withColumnRenamed("vec", "qvec")
-    found = graph_search(asked.join(flat, "node"), packed, edges, n, **search)
-    # the nodes that can hold the k nearest, then all their copies, scored exactly
+    edges = neighbour_graph(packed, n, block=block, **(graph or {}))
+    queries = materialise(rows.where(is_query).join(nodes.select("node", "v"), "v").select("vec_id", "node"), "queries")
+    asked = queries.select("node").distinct().join(nodes.select("node", "v"), "node")
+    flat = materialise(asked.mapInArrow(_pack_vectors(0.0), "node long, vec binary"), "query-vectors")
+    found = graph_search(flat.select(F.col("node").alias("q"), F.col("vec").alias("qvec"), "node"), packed, edges, n, block=block, **search)
+    # the nodes that can hold the k nearest and the query's own copies, then all their copies, scored exactly
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))
     few = found.withColumn("r", rank).where(F.col("r") <= 2 * k + 1).select("q", "node")
-    pairs = few.join(nodes, "node").join(asked.select("q", F.col("node").alias("qnode")), "q")
-    pairs = pairs.join(nodes.select(F.col("node").alias("qnode"), F.col("v").alias("qv")), "qnode")
+    pairs = few.join(nodes, "node").join(asked.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q")
     score = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    listed = pairs.select("q", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id != q")
+    listed = pairs.select("q", score.alias("score"), F.explode("ids").alias("vec_id"))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return listed.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", "vec_id", "score")
+    listed = listed.withColumn("rank", place).where(F.col("rank") <= k + 1)
+    lists = listed.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("found"))
+    # a query leaves itself out; k of k + 1 rows remain at least, if there are so many
+    own = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    each = queries.select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")).join(lists, "q").select("query_id", F.posexplode(own).alias("at", "f"))
+    return each.select("query_id", (F.col("at") + 1).alias("rank"), "f.vec_id", "f.score")
