@@ -443,7 +443,7 @@ def payload_fields(spark, d):
 def streaming_rollup(spark, d):
     """Hour buckets of latency from ``events`` read as a stream; only closed windows appear."""
     batch = tables.table(spark, d, "events")
-    stream = spark.readStream.schema(batch.schema).parquet(f"{d}/events*.parquet")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{d}/events.parque[t]")
     rows = stream.select(
         F.concat(F.lit("agent-"), (F.col("user_id") % 5).cast("string")).alias("agent_id"), F.lit("latency_p95").alias("kpi_slug"),
         F.round(F.col("value") * 100).cast("int").cast("double").alias("value"), F.col("ts").cast("timestamp").alias("occurred_at"),
