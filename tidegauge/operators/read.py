@@ -66,8 +66,9 @@ def newest(rollups: DataFrame, every: DataFrame) -> DataFrame:
     newest bucket without a value drops its grain.
     """
     keys = ["agent_id", "kpi_slug"]
-    newest_of = F.row_number().over(Window.partitionBy(*keys, "granularity").orderBy(F.desc("bucket_start")))
-    heads = rollups.where("count > 0").withColumn("_r", newest_of).where("_r = 1").drop("_r")
+    # one map-side combined aggregation; a window would sort every bucket
+    stats = [c for c in rollups.columns if c not in (*keys, "granularity")]
+    heads = rollups.where("count > 0").groupBy(*keys, "granularity").agg(F.max_by(F.struct(*stats), "bucket_start").alias("_h")).select(*keys, "granularity", "_h.*")
     rows = heads.join(every, keys).where((F.col("kind") != "derived") | (F.col("granularity") == "day"))
     rows = rows.withColumn("value", bucket_value(F.col("aggregation"))).where("value is not null")
     thin = (F.col("sample_n") < F.col("min_sample_n")).cast("int")

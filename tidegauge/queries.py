@@ -43,7 +43,7 @@ def _rollups(spark: SparkSession, d: str, *grains: str) -> DataFrame:
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def _stored(spark: SparkSession, d: str, *grains: str) -> DataFrame:
+def stored_rollups(spark: SparkSession, d: str, *grains: str) -> DataFrame:
     """Buckets of the rollup table, which the first reader of a session writes."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORED:
@@ -54,7 +54,7 @@ def _stored(spark: SparkSession, d: str, *grains: str) -> DataFrame:
 
 
 def _agents(spark: SparkSession, d: str) -> DataFrame:
-    return _stored(spark, d, "day").select("agent_id").distinct()
+    return stored_rollups(spark, d, "day").select("agent_id").distinct()
 
 
 def _overrides(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ def rollup_touched(spark, d):
 
 
 def value_by_aggregation(spark, d):
-    return _rounded(read.points_of(_stored(spark, d, "hour"), _defs(spark)))
+    return _rounded(read.points_of(stored_rollups(spark, d, "hour"), _defs(spark)))
 
 
 def _requests(spark, d, ranges, max_points=300, granularity=None):
@@ -196,24 +196,24 @@ def _requests(spark, d, ranges, max_points=300, granularity=None):
 def series_exact(spark, d):
     """The last week's series of every agent and KPI, at the grain the range asks for."""
     asked = _requests(spark, d, [buckets.named_range("7d", NOW)])
-    return _rounded(read.series(_stored(spark, d), asked, _defs(spark)).orderBy("agent_id", "kpi_slug", "at"))
+    return _rounded(read.series(stored_rollups(spark, d), asked, _defs(spark)).orderBy("agent_id", "kpi_slug", "at"))
 
 
 def series_ranges(spark, d):
     """Series over every named range; each picks its own grain."""
     asked = _requests(spark, d, [buckets.named_range(r, NOW) for r in buckets.RANGES])
-    return _rounded(read.series(_stored(spark, d), asked, _defs(spark)))
+    return _rounded(read.series(stored_rollups(spark, d), asked, _defs(spark)))
 
 
 def series_downsampled(spark, d):
     """A month of hours squeezed into about a hundred points."""
     asked = _requests(spark, d, [buckets.named_range("30d", NOW)], 100, "hour")
-    return _rounded(read.series(_stored(spark, d, "hour"), asked, _defs(spark)))
+    return _rounded(read.series(stored_rollups(spark, d, "hour"), asked, _defs(spark)))
 
 
 def series_derived(spark, d):
     """Series of a derived KPI, through the same reading as any other."""
-    rollups = _stored(spark, d).unionByName(drift.as_buckets(drift.psi(_sides(spark, d)), _at(NOW)))
+    rollups = stored_rollups(spark, d).unionByName(drift.as_buckets(drift.psi(_sides(spark, d)), _at(NOW)))
     start, end = buckets.named_range("30d", datetime(2024, 2, 1))
     asked = _agents(spark, d).select("agent_id", F.lit("latency_drift").alias("kpi_slug"), _at(start).alias("from_ts"), _at(end).alias("to_ts"), F.lit(300).alias("max_points"), F.lit("day").alias("granularity"))
     return _rounded(read.series(rollups, asked, _defs(spark)).select("agent_id", "kpi_slug", "granularity", "at", "value", "sample_n", "population_n"))
@@ -222,12 +222,12 @@ def series_derived(spark, d):
 def week_before(spark, d):
     """Day points of the week before a range's, for comparison."""
     start, end = buckets.previous_week(*buckets.named_range("7d", NOW))
-    rows = read.points_of(_stored(spark, d, "day").where((F.col("bucket_start") >= _at(start)) & (F.col("bucket_start") < _at(end))), _defs(spark))
+    rows = read.points_of(stored_rollups(spark, d, "day").where((F.col("bucket_start") >= _at(start)) & (F.col("bucket_start") < _at(end))), _defs(spark))
     return _rounded(rows.drop("granularity"))
 
 
 def super_buckets(spark, d):
-    return _rounded(read.downsampled(_stored(spark, d, "hour"), _defs(spark), 6 * 3600))
+    return _rounded(read.downsampled(stored_rollups(spark, d, "hour"), _defs(spark), 6 * 3600))
 
 
 def granularity_choice(spark, d):
@@ -240,7 +240,7 @@ def granularity_choice(spark, d):
 
 
 def _latest(spark, d, hysteresis=None):
-    return read.latest(_stored(spark, d), _agents(spark, d), _defs(spark), _overrides(spark, d), hysteresis)
+    return read.latest(stored_rollups(spark, d), _agents(spark, d), _defs(spark), _overrides(spark, d), hysteresis)
 
 
 def latest_reading(spark, d):
@@ -249,7 +249,7 @@ def latest_reading(spark, d):
 
 def status_eval(spark, d):
     """State and severity of every hour bucket, judged by the registry's thresholds."""
-    rows = read.points_of(_stored(spark, d, "hour"), _defs(spark)).join(F.broadcast(_defs(spark).select("kpi_slug", "direction", "thresholds", "min_sample_n")), "kpi_slug")
+    rows = read.points_of(stored_rollups(spark, d, "hour"), _defs(spark)).join(F.broadcast(_defs(spark).select("kpi_slug", "direction", "thresholds", "min_sample_n")), "kpi_slug")
     state = status.evaluate(F.col("direction"), F.col("thresholds"), F.col("min_sample_n"), F.col("value"), F.col("sample_n"))
     bare = status.classify(F.col("direction"), F.col("thresholds"), F.col("value"))
     return _rounded(rows.select("agent_id", "kpi_slug", "at", "value", bare.alias("class"), state.alias("status"), status.severity(state).alias("severity")))
@@ -274,12 +274,12 @@ def annotations(spark, d):
 
 
 def trend_wow(spark, d):
-    return _rounded(read.trend(read.points_of(_stored(spark, d, "day"), _defs(spark)), _defs(spark)))
+    return _rounded(read.trend(read.points_of(stored_rollups(spark, d, "day"), _defs(spark)), _defs(spark)))
 
 
 def _sides(spark, d):
     sources = {k.slug: k.depends_on for k in kpis.SHIPPED if k.depends_on}
-    return drift.windows(_stored(spark, d, "hour"), _defs(spark), _at(NOW), sources)
+    return drift.windows(stored_rollups(spark, d, "hour"), _defs(spark), _at(NOW), sources)
 
 
 def drift_psi(spark, d):
@@ -383,12 +383,12 @@ def retention_payload(spark, d):
 
 
 def retention_rollups(spark, d):
-    kept = retention.keep_rollups(_stored(spark, d), _at(datetime(2024, 2, 2)))
+    kept = retention.keep_rollups(stored_rollups(spark, d), _at(datetime(2024, 2, 2)))
     return kept.groupBy("granularity", "kpi_slug").agg(F.count("*").alias("buckets"), F.sum("count").alias("values"))
 
 
 def retention_report(spark, d):
-    return retention.report(tables.runs(spark, d), _observations(spark, d), _stored(spark, d), _at(LATER))
+    return retention.report(tables.runs(spark, d), _observations(spark, d), stored_rollups(spark, d), _at(LATER))
 
 
 def cursor_advance(spark, d):
@@ -405,7 +405,7 @@ def first_observed(spark, d):
 
 
 def coverage(spark, d):
-    rows = read.coverage(read.points_of(_stored(spark, d, "day"), _defs(spark)), _defs(spark))
+    rows = read.coverage(read.points_of(stored_rollups(spark, d, "day"), _defs(spark)), _defs(spark))
     return _rounded(rows.select("agent_id", "kpi_slug", "at", "sample_n", "population_n", "adequate", "coverage"))
 
 
@@ -428,7 +428,7 @@ def change_feed(spark, d):
 
 
 def series_json(spark, d):
-    points = read.points_of(_stored(spark, d, "day"), _defs(spark))
+    points = read.points_of(stored_rollups(spark, d, "day"), _defs(spark))
     marks = read.annotations(tables.runs(spark, d), ingest.extract(tables.runs(spark, d)))
     docs = read.series_json(points, _defs(spark), marks)
     first = F.get_json_object("chart", "$.points[0].t").cast("long")
