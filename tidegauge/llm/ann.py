@@ -38,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from tidegauge.sources.scratch import materialise
+from tidegauge.sources.scratch import discard, materialise
 
 #: Nodes of a block, in the start graph and in the search.
 BLOCK = 1024
@@ -122,7 +122,7 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = _matrix(batch.column("vec").to_pylist())
             scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30) / 127
             packed = np.concatenate([scale.astype("<f4").view(np.int8), np.rint(x / scale).astype(np.int8)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in packed], pa.binary())], names=["node", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column("m"), pa.array([r.tobytes() for r in packed], pa.binary())], names=["m", "vec"])
 
 
 def _large(packed) -> np.ndarray:
@@ -181,13 +181,14 @@ def neighbour_graph(packed: DataFrame, n: int, k: int = 32, sample: int = 10, to
     edges = starts[0]
     for more in starts[1:]:
         edges = edges.unionByName(more)
-    small = materialise(packed.mapInArrow(_small, "node long, vec binary"), "small-vectors").withColumnRenamed("node", "m")
+    small = materialise(packed.select(F.col("node").alias("m"), "vec").mapInArrow(_small, "m long, vec binary"), "small-vectors")
     edges = materialise(_merge(edges.withColumns({"fresh": F.lit(True), "old": F.lit(False)}), k), "graph-0")
     for i in range(rounds):
 
         def drawn(rows: DataFrame, node: str, other: str) -> Column:
             return F.row_number().over(Window.partitionBy(node, "fresh").orderBy(F.xxhash64(other, F.lit(i)))) <= sample
 
+        last = edges
         edges = edges.withColumn("drawn", drawn(edges, "u", "w"))
         worst = edges.groupBy("u").agg(F.min("s").alias("worst"), F.count("*").alias("have"))
         worst = worst.select(F.col("u").alias("m"), F.when(F.col("have") < k, F.lit(float("-inf"))).otherwise(F.col("worst")).cast("float").alias("worst"))
@@ -201,8 +202,10 @@ def neighbour_graph(packed: DataFrame, n: int, k: int = 32, sample: int = 10, to
         before = edges.select("u", "w", "s", (F.col("fresh") & ~F.col("drawn")).alias("fresh"), F.lit(True).alias("old"))
         both = before.unionByName(found.withColumns({"fresh": F.lit(True), "old": F.lit(False)}))
         edges = materialise(_merge(both, k), f"graph-{i + 1}")
+        discard(last)
         if edges.where("not old").count() < settle * n * k:
             break
+    discard(small)
     return edges
 
 
@@ -283,6 +286,7 @@ def graph_search(queries: DataFrame, packed: DataFrame, edges: DataFrame, n: int
     near = F.when(F.col("near").isNotNull(), F.concat("near", itself)).otherwise(F.concat("seeds", itself))
     state = own.select("q", "qvec", none.alias("nodes"), F.array().cast("array<float>").alias("scores"), F.array().cast("array<boolean>").alias("done"), near.alias("near"))
     for i in range(rounds + 1):
+        last = state
         if i:
             opened = state.select("q", F.explode("open").alias("open")).join(graph, "open")
             near = opened.groupBy("q").agg(F.flatten(F.collect_list("near")).alias("near"))
@@ -293,6 +297,8 @@ def graph_search(queries: DataFrame, packed: DataFrame, edges: DataFrame, n: int
         empty = F.array().cast("array<struct<nodes:binary,scores:binary>>")
         merged = state.drop("near").join(got, "q", "left").withColumn("got", F.coalesce("got", empty))
         state = materialise(merged.mapInPandas(_take(beam, width), STATE), f"beam-{i}")
+        if i:
+            discard(last)
     pair = F.explode(F.arrays_zip("nodes", "scores"))
     return state.select("q", pair.alias("p")).select("q", F.col("p.nodes").alias("node"), F.col("p.scores").alias("s"))
 

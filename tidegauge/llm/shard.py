@@ -5,7 +5,9 @@ by a hash of its number; a cell belongs to the first virtual node clockwise.
 Rows hash to cells by their id.  Each shard takes rows up to its bound; the
 rows of an arc that do not fit continue clockwise to the next virtual node
 whose shard has room.  Bounds add up to the row count and differ by one at
-most, so the law is ``rows``: counts are at most one apart.
+most, so the law is ``rows``: counts are at most one apart.  Rows of equal text
+are rows like any others: they are placed by their ids, so a large group of
+copies fills no shard.
 
 Only counts per arc (``shards * vnodes`` numbers, whatever the data size) reach
 the driver, where the overflow is planned; rows are placed by one shuffle of
