@@ -461,6 +461,34 @@ def test_pipeline_stages(spark, odd, none, small):
     assert {r["doc_id"] for r in near.collect() if r["doc_id"] is not None} == smallest
 
 
+def test_pipeline_mixture_and_packing(spark, odd, small, vocabulary):
+    copies = defaultdict(int)
+    for r in mixing.mix(odd).collect():
+        key = (r["doc_id"], r["size"])
+        copies[key] = max(copies[key], r["copies"])
+    rows = Counter(tuple(r) for r in corpus_pipeline.mixture(spark, odd, small).collect())
+    want = Counter()
+    for r in odd_rows():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+        want[tuple(r)] += copies[r[0], n]
+    assert rows == +want
+
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    pieces, filled = defaultdict(list), Counter()
+    for r in corpus_pipeline.packed(spark, docs, small).collect():
+        pieces[r["doc_id"]].append(r)
+        filled[r["sequence_id"]] += r["length"]
+    assert max(filled.values()) <= 1024 and set(pieces) == {r["doc_id"] for r in docs.collect()}
+    for r in docs.collect():
+        ids = np.array([*tokens.encode_whole(r["text"] or "", vocabulary), 0], dtype="<u4")
+        at = 0
+        for piece in sorted(pieces[r["doc_id"]], key=lambda p: p["start"]):
+            assert piece["start"] == at and piece["doc_tokens"] == len(ids)
+            assert piece["ids_crc32"] == zlib.crc32(ids[at : at + piece["length"]].tobytes())
+            at += piece["length"]
+        assert at == len(ids)
+
+
 def test_pipeline_runs(spark, small):
     pieces = corpus_pipeline.run(spark, small)
     assert pieces.count() > 0 and pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
