@@ -121,7 +121,8 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and its packed ids)."""
     pieces = materialise(cut(docs, vocabulary, end_id, room, with_ids, id_col, text_col), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    grp = F.pmod(F.xxhash64("deal", "start", F.lit(11)), F.lit(groups))
+    # by its place, which no two rows share: rows that repeat an id are dealt apart
+    grp = F.pmod(F.xxhash64("part", "start", F.lit(11)), F.lit(groups))
     narrow = pieces.select("part", "start", "length", "deal", grp.alias("grp"))
     placed = narrow.groupBy("grp").applyInPandas(_pack(room), "part long, start long, sequence_id long, offset long")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
