@@ -330,8 +330,14 @@ def oracle_sql() -> dict[str, str]:
             _rollups(["hour"]), STAGED,
         ),
         "series_json": _with(
-            """SELECT agent_id, kpi_slug, CAST(count(*) AS INTEGER) AS n_points, CAST(epoch(min(at)) AS BIGINT) AS first_t, CASE WHEN any_value(direction) = 'lower_is_better' THEN 'good' ELSE 'critical' END AS first_band,
-            'm-2' AS first_mark FROM points JOIN defs USING (kpi_slug) GROUP BY agent_id, kpi_slug""",
+            """SELECT p.agent_id, kpi_slug, CAST(count(*) AS INTEGER) AS n_points, CAST(epoch(min(at)) AS BIGINT) AS first_t, CAST(sum(epoch(at)) AS DOUBLE) AS sum_t, round(sum(value), 6) + 0 AS sum_v,
+            CASE any_value(direction) WHEN 'lower_is_better' THEN 'good,warning,critical' WHEN 'higher_is_better' THEN 'critical,warning,good' ELSE 'critical,warning,good,warning,critical' END AS band_states,
+            CASE any_value(direction) WHEN 'lower_is_better' THEN concat_ws(',', '-', CAST(round(any_value(warning) * 1000) AS BIGINT), CAST(round(any_value(critical) * 1000) AS BIGINT))
+                WHEN 'higher_is_better' THEN concat_ws(',', '-', CAST(round(any_value(critical) * 1000) AS BIGINT), CAST(round(any_value(warning) * 1000) AS BIGINT))
+                ELSE concat_ws(',', '-', CAST(round(any_value(warn_lo) * 1000) AS BIGINT), CAST(round(any_value(good_lo) * 1000) AS BIGINT), CAST(round(any_value(good_hi) * 1000) AS BIGINT), CAST(round(any_value(warn_hi) * 1000) AS BIGINT)) END AS band_starts,
+            'm-2' AS marks, any_value(turned) AS sum_marks
+            FROM points p JOIN defs USING (kpi_slug) JOIN (SELECT agent_id, CAST(floor(epoch(min(start_time))) AS DOUBLE) AS turned FROM runs WHERE model = 'm-2' GROUP BY agent_id) m ON m.agent_id = p.agent_id
+            GROUP BY p.agent_id, kpi_slug""",
             _rollups(["day"]),
         ),
         "payload_fields": _with("SELECT agent_id, count(prompt_tokens) AS n, CAST(sum(prompt_tokens) AS BIGINT) AS total, count(*) FILTER (WHERE payload <> '{}') AS payloads FROM runs GROUP BY agent_id"),

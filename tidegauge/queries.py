@@ -431,8 +431,15 @@ def series_json(spark, d):
     points = read.points_of(stored_rollups(spark, d, "day"), _defs(spark))
     marks = read.annotations(tables.runs(spark, d), ingest.extract(tables.runs(spark, d)))
     docs = read.series_json(points, _defs(spark), marks)
-    first = F.get_json_object("chart", "$.points[0].t").cast("long")
-    return docs.select("agent_id", "kpi_slug", "n_points", first.alias("first_t"), F.get_json_object("chart", "$.bands[0].status").alias("first_band"), F.get_json_object("chart", "$.annotations[0].label").alias("first_mark"))
+    shape = "points array<struct<t:bigint,v:double>>, bands array<struct<lo:double,hi:double,status:string>>, annotations array<struct<at:bigint,label:string>>"
+    c = docs.select("agent_id", "kpi_slug", "n_points", F.from_json("chart", shape).alias("c"))
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
+    each = lambda xs, f: F.array_join(F.transform(xs, f), ",")
+    return _rounded(c.select(
+        "agent_id", "kpi_slug", "n_points", F.col("c.points")[0]["t"].alias("first_t"), total("c.points", lambda x: x["t"].cast("double")).alias("sum_t"), total("c.points", lambda x: x["v"]).alias("sum_v"),
+        each("c.bands", lambda x: x["status"]).alias("band_states"), each("c.bands", lambda x: F.coalesce((F.round(x["lo"] * 1000)).cast("long").cast("string"), F.lit("-"))).alias("band_starts"),
+        each("c.annotations", lambda x: x["label"]).alias("marks"), total("c.annotations", lambda x: x["at"].cast("double")).alias("sum_marks"),
+    ))
 
 
 def payload_fields(spark, d):
