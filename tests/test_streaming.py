@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import ingest, rollup
@@ -57,6 +58,28 @@ def test_ingest_streams_and_orphans(spark, small, tmp_path):
     assert spark.read.parquet(t.rollups).count() == first == rollup.rollup(want, flat).count()
 
 
+def test_a_failed_batch_is_tried_again(spark, small, tmp_path):
+    t = streaming.Tables(str(tmp_path / "tables"))
+    pages = tables.raw_run_pages(spark, small).orderBy("agent_id", "body").limit(20)
+    pages.coalesce(1).write.json(str(tmp_path / "runs"))
+    tried = []
+
+    def down(df, _):
+        tried.append(df.count())
+        raise ValueError("down")
+
+    def drain(handle):
+        stream = spark.readStream.schema("agent_id string, body string").json(str(tmp_path / "runs"))
+        streaming.start(stream, handle, t, str(tmp_path / "check")).awaitTermination()
+
+    with pytest.raises(Exception, match="down"):
+        drain(down)
+    drain(streaming.ingest_runs)
+    assert tried == [20] and spark.read.parquet(t.runs).count() == 20
+    drain(down)  # nothing new, so nothing is tried
+    assert tried == [20]
+
+
 def test_faulty_runs_are_kept_and_counted(spark, tmp_path):
     t = streaming.Tables(str(tmp_path / "tables"))
     runs = [
