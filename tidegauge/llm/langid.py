@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.llm.tokens import portions
-from tidegauge.sources.scratch import materialise
+from tidegauge.sources.scratch import discard, materialise
 
 UNKNOWN = "und"
 LONGEST = 5
@@ -198,7 +198,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = 1000, penal
         # keys have n code points each: of their joined text every n-th run is one
         return Table.of_counts(grams.filter(pa.array(size == n)), langs, penalty, lambda keys: gram_hashes(_points("".join(keys)), n)[::n])
 
-    return Model(langs, Table.of_counts(words, langs, penalty, word_hashes), [table(n) for n in range(1, LONGEST + 1)], penalty)
+    model = Model(langs, Table.of_counts(words, langs, penalty, word_hashes), [table(n) for n in range(1, LONGEST + 1)], penalty)
+    del words, grams, size
+    pa.default_memory_pool().release_unused()
+    discard(counts)
+    return model
 
 
 def judge(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
