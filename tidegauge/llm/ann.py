@@ -171,7 +171,7 @@ def _merge(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def neighbour_graph(packed: DataFrame, n: int, k: int = 32, sample: int = 10, top: int = 8, blocks: int = 2, rounds: int = 12, settle: float = 0.05, block: int = BLOCK) -> DataFrame:
+def neighbour_graph(packed: DataFrame, n: int, k: int = 32, sample: int = 10, top: int = 8, blocks: int = 2, rounds: int = 12, settle: float = 0.1, block: int = BLOCK) -> DataFrame:
     """Edges (u, w, s, rank) of the NN-descent graph over ``packed`` (node, vec)."""
     parts = max(1, -(-n // block))
     starts = []
