@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import ann, exact_dedup, html_text, jaccard, langid, line_dedup, mixing, packing, shard, token_files
+from tidegauge.llm import ann, exact_dedup, html_text, jaccard, langid, line_dedup, merkle, mixing, packing, shard, token_files
 from tidegauge.sources.scratch import scratch_path
 
 
@@ -79,6 +79,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    values = ["doc_id", "source", "lang", "n_chars"]
+    changed = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(changed, merkle.leaf_digest(*map(F.col, values), F.replace("text", F.lit("\n"), F.lit(""))))
+    proven = merkle.manifest(docs, [*values, "text"], carry={"tampered": tampered})
+    rows = proven.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
@@ -114,6 +124,66 @@ FROM flagged GROUP BY doc_id
 """
 
 
+#: Unsigned crc32 of a list of bytes: {bytes}, with the table made by its rule.
+CRC_TABLE = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)"
+CRC = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+_CHANGED = CRC.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")
+OP11_SQL = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}), fields AS (
+  SELECT doc_id, source, text, coalesce({_CHANGED} % 2 = 0, false) AS changed,
+         concat(coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-')) AS head
+  FROM documents, crc
+), leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         CASE WHEN changed AND text IS NOT NULL
+              THEN sha256(head || octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), '')) END AS tampered
+  FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves
+), nodes AS (
+  SELECT source, 0 AS level, i, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT source, level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3 FROM nodes WHERE n > 1 GROUP BY source, level, i // 3, n
+), subroots AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, i, subroot AS digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3 FROM upper WHERE n > 1 GROUP BY level, i // 3, n
+), levels AS (
+  SELECT unnest(range(40)) AS level
+), steps AS (
+  SELECT p.source, p.i, l.level,
+         coalesce(string_agg(s.digest, '' ORDER BY s.i) FILTER (WHERE s.i < p.i // pow(3, l.level)::BIGINT), '') AS l,
+         coalesce(string_agg(s.digest, '' ORDER BY s.i) FILTER (WHERE s.i > p.i // pow(3, l.level)::BIGINT), '') AS r
+  FROM placed p JOIN levels l ON pow(3, l.level) < p.n
+  JOIN nodes s ON s.source IS NOT DISTINCT FROM p.source AND s.level = l.level AND s.i // 3 = p.i // pow(3, l.level + 1)::BIGINT
+  GROUP BY p.source, p.i, l.level
+), upper_steps AS (
+  SELECT p.source, l.level,
+         coalesce(string_agg(s.digest, '' ORDER BY s.i) FILTER (WHERE s.i < p.i // pow(3, l.level)::BIGINT), '') AS l,
+         coalesce(string_agg(s.digest, '' ORDER BY s.i) FILTER (WHERE s.i > p.i // pow(3, l.level)::BIGINT), '') AS r
+  FROM subroots p JOIN levels l ON pow(3, l.level) < p.n
+  JOIN upper s ON s.level = l.level AND s.i // 3 = p.i // pow(3, l.level + 1)::BIGINT
+  GROUP BY p.source, l.level
+), way AS (
+  SELECT source, i, list({{'l': l, 'r': r}} ORDER BY level) AS low FROM steps GROUP BY source, i
+), upper_way AS (
+  SELECT source, list({{'l': l, 'r': r}} ORDER BY level) AS high FROM upper_steps GROUP BY source
+), paths AS (
+  SELECT p.doc_id, p.leaf, p.tampered, s.subroot, u.digest AS root, list_concat(coalesce(low, []), coalesce(high, [])) AS path
+  FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN upper u ON u.n = 1
+  LEFT JOIN way w ON w.source IS NOT DISTINCT FROM p.source AND w.i = p.i LEFT JOIN upper_way x ON x.source IS NOT DISTINCT FROM p.source
+), ends AS (
+  SELECT *, list_reduce(list_prepend({{'l': coalesce(tampered, leaf), 'r': ''}}, path), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root FROM paths
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM ends
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -126,8 +196,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_line_dedup": op9_line_dedup,
         "op10_html_text": op10_html_text,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
