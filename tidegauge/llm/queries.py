@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import ann, exact_dedup, html_text, jaccard, langid, line_dedup, merkle, mixing, packing, shard, token_files
+from tidegauge.llm import ann, exact_dedup, html_text, jaccard, langid, line_dedup, merkle, mixing, packing, shard, spelling, token_files
 from tidegauge.sources.scratch import scratch_path
 
 
@@ -89,6 +89,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted_words(_table(spark, sf_dir, "documents"), delete_every=31))
+
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
@@ -184,6 +188,42 @@ FROM ends
 """
 
 
+# UTF-8 bytes of an id, a colon and a word of this alphabet
+_PLACE = CRC.format(bytes="flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195, ord(x)::BIGINT - 64] END))")
+OP12_SQL = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents
+), each AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), placed AS (
+  SELECT run, n, coalesce({_PLACE}, 1) AS h FROM each, crc
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM placed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
+), skipped AS (
+  SELECT word, n, unnest(range(length(word))) AS i FROM words
+), gaps AS (
+  SELECT word, n, substr(word, 1, i) AS p, substr(word, i + 2) AS s FROM skipped
+), splits AS (
+  SELECT word, n, substr(word, 1, i) AS p, substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM words)
+), links AS (
+  SELECT a.word AS a, b.word AS b FROM gaps a JOIN gaps b USING (p, s) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word FROM gaps a JOIN splits b USING (p, s)
+  UNION SELECT b.word, a.word FROM gaps a JOIN splits b USING (p, s)
+), best AS (
+  SELECT a AS word, count(*) AS n_near, max(w.n) AS best_n, arg_min(b, (-w.n, b)) AS best FROM links JOIN words w ON w.word = b GROUP BY a
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), ways AS (
+  SELECT word, word AS place, 0 AS steps FROM formed
+  UNION ALL
+  SELECT ways.word, form, steps + 1 FROM ways JOIN formed ON formed.word = ways.place WHERE form IS NOT NULL
+)
+SELECT word, form, arg_max(place, steps) AS root, n, n_near, form_n FROM formed JOIN ways USING (word) GROUP BY ALL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -197,8 +237,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_html_text": op10_html_text,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_spelling_variants": op12_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_spelling_variants": OP12_SQL}
