@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import ann, exact_dedup, html_text, jaccard, langid, line_dedup, merkle, mixing, packing, shard, spelling, token_files
+from tidegauge.llm import ann, exact_dedup, html_text, jaccard, langid, license_scan, line_dedup, merkle, mixing, packing, shard, spelling, token_files
 from tidegauge.sources.scratch import scratch_path
 
 
@@ -93,6 +93,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.counted_words(_table(spark, sf_dir, "documents"), delete_every=31))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "documents").select("doc_id", license_scan.scan(F.col("text")).alias("f"))
+    return found.select("doc_id", *[f"f.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
@@ -238,6 +243,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_text": op10_html_text,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_spelling_variants": op12_spelling_variants,
+        "op13_license_scan": op13_license_scan,
     }
 
 
