@@ -17,7 +17,7 @@ MIN_POINTS, PER_BIN, FEWEST, MOST, FLOOR = 30, 20, 2, 10, 1e-6
 def windows(rollups: DataFrame, definitions: DataFrame, as_of: Column, sources: dict[str, tuple[str, ...]], current_days: int = 7, baseline_days: int = 30) -> DataFrame:
     """Hourly values of each derived KPI's sources, on the side they belong to.
 
-    (agent_id, kpi_slug, source_slug, side, value, healthy): the current window
+    (agent_id, kpi_slug, source_slug, at, side, value, healthy): the current window
     is the days before ``as_of``, the baseline those before it; a baseline
     value is healthy if it is good by the source's own default thresholds.
     """
@@ -30,16 +30,18 @@ def windows(rollups: DataFrame, definitions: DataFrame, as_of: Column, sources:
     derived = F.create_map(*[x for slug, needs in sources.items() for n in needs for x in (F.lit(n), F.array(*[F.lit(s) for s, d in sources.items() if n in d]))])
     rows = rows.withColumnRenamed("kpi_slug", "source_slug").withColumn("kpi_slug", F.explode(derived[F.col("source_slug")]))
     good = classify(F.col("direction"), F.col("thresholds"), F.col("value")) == "good"
-    return rows.select("agent_id", "kpi_slug", "source_slug", "side", "value", (good | (F.col("side") == "current")).alias("healthy"))
+    return rows.select("agent_id", "kpi_slug", "source_slug", F.col("bucket_start").alias("at"), "side", "value", (good | (F.col("side") == "current")).alias("healthy"))
 
 
 def psi(sides: DataFrame) -> DataFrame:
     """Population stability index per (agent, KPI): current against healthy baseline.
 
-    A window holds one value per hour (168 and 720 by default), whatever the
-    traffic, so its list is small.  Too few points or a constant baseline give no row.
+    Each source is compared with itself; a KPI of several sources has the largest
+    index among them (ties: the first source), with the sizes and bins of that one.
+    A window holds one value per hour and source (168 and 720 by default), whatever
+    the traffic, so its list is small.  Too few points or a constant baseline give no row.
     """
-    keys = ["agent_id", "kpi_slug"]
+    keys = ["agent_id", "kpi_slug", "source_slug"]
     kept = sides.where("healthy")
     lists = kept.groupBy(*keys).agg(
         F.collect_list(F.when(F.col("side") == "current", F.col("value"))).alias("cur"),
@@ -54,7 +56,9 @@ def psi(sides: DataFrame) -> DataFrame:
     share = lambda name, n, i: F.greatest(F.size(F.filter(name, lambda b: b == i)) / F.col(n), F.lit(FLOOR))
     rows = rows.withColumn("parts", F.transform(F.sequence(F.lit(0), F.col("bins") - 1), lambda i: F.struct(share("cb", "nc", i).alias("a"), share("bb", "nb", i).alias("e"))))
     total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + (p["a"] - p["e"]) * F.ln(p["a"] / p["e"]))
-    return rows.select(*keys, total.alias("value"), "nc", "nb", "bins")
+    found = rows.select(*keys, total.alias("value"), "nc", "nb", "bins")
+    worst = F.min_by(F.struct("value", "nc", "nb", "bins"), F.struct((-F.col("value")).alias("v"), "source_slug"))
+    return found.groupBy("agent_id", "kpi_slug").agg(worst.alias("w")).select("agent_id", "kpi_slug", "w.*")
 
 
 def excluded(sides: DataFrame) -> DataFrame:
@@ -62,21 +66,41 @@ def excluded(sides: DataFrame) -> DataFrame:
     return sides.groupBy("agent_id", "kpi_slug", "source_slug").agg(F.count_if((F.col("side") == "baseline") & ~F.col("healthy")).alias("excluded"), F.count_if(F.col("side") == "current").alias("current_n"), F.count_if((F.col("side") == "baseline") & F.col("healthy")).alias("baseline_n"))
 
 
-def derive(sides: DataFrame, compute: Callable[[dict, dict], float | None]) -> DataFrame:
-    """A user's derived KPI (X4): ``compute(current, baseline)`` gets lists of values by source.
+VALUES = "agent_id string, kpi_slug string, value double, nc long, nb long"
 
-    Runs per (agent, KPI); a window holds an hourly value per source, so a
-    group is small.  None skips the agent.
+
+def derive(sides: DataFrame, compute: Callable[[dict, dict], float | None] | dict[str, Callable[[dict, dict], float | None]]) -> DataFrame:
+    """Users' derived KPIs (X4): ``compute(current, baseline)``, one for all or by KPI, gets lists of values by source.
+
+    Runs per (agent, KPI), for all KPIs in one pass; a window holds an hourly
+    value per source, so a group is small.  None skips the agent; the lists are in order of time.
     """
+    of = compute.get if isinstance(compute, dict) else lambda slug: compute
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
         lists = {s: {k: g["value"].tolist() for k, g in pdf[pdf["side"] == s].groupby("source_slug")} for s in ("current", "baseline")}
-        value = compute(lists["current"], lists["baseline"])
         first, n = pdf.iloc[0], pdf["side"].value_counts()
+        value = of(first["kpi_slug"])(lists["current"], lists["baseline"])
         rows = [] if value is None else [(first["agent_id"], first["kpi_slug"], float(value), int(n.get("current", 0)), int(n.get("baseline", 0)))]
         return pd.DataFrame(rows, columns=["agent_id", "kpi_slug", "value", "nc", "nb"])
 
-    return sides.where("healthy").groupBy("agent_id", "kpi_slug").applyInPandas(run, "agent_id string, kpi_slug string, value double, nc long, nb long")
+    return sides.where("healthy").groupBy("agent_id", "kpi_slug").applyInPandas(run, VALUES)
+
+
+def derive_registry(rollups: DataFrame, definitions: DataFrame, as_of: Column, kpis, current_days: int = 7, baseline_days: int = 30) -> DataFrame:
+    """Values of every derived KPI of a registry for the windows that end at ``as_of`` (X1, X4, JB3).
+
+    Those without a function of their own are distribution drift, computed relationally; the others share one grouped pass.
+    """
+    sources = {k.slug: k.depends_on for k in kpis if k.depends_on}
+    if not sources:
+        return rollups.sparkSession.createDataFrame([], VALUES)
+    own = {k.slug: k.compute for k in kpis if k.compute}
+    sides = windows(rollups, definitions, as_of, sources, current_days, baseline_days)
+    values = psi(sides.where(~F.col("kpi_slug").isin(*own)) if own else sides)
+    values = values.select("agent_id", "kpi_slug", "value", F.col("nc").cast("long"), F.col("nb").cast("long"))
+    return values.unionByName(derive(sides.where(F.col("kpi_slug").isin(*own)), own)) if own else values
 
 
 def as_buckets(values: DataFrame, as_of: Column) -> DataFrame:

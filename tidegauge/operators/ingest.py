@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.functions import parse
 from tidegauge.functions.buckets import GRAINS
 from tidegauge.plans.kpis import SHIPPED
 
@@ -55,7 +56,7 @@ def first_observed(observations: DataFrame, definitions: DataFrame) -> DataFrame
 def extract(runs: DataFrame, kpis=SHIPPED) -> DataFrame:
     """Observations computed from each run; a null value skips the run."""
     each = [F.struct(F.lit(k.slug).alias("kpi_slug"), F.lit(k.version).alias("kpi_version"), k.value().cast("double").alias("value")) for k in kpis if k.value]
-    rows = runs.select("agent_id", "run_id", F.col("start_time").alias("occurred_at"), F.explode(F.array(*each)).alias("k"))
+    rows = parse.as_variant(runs).select("agent_id", "run_id", F.col("start_time").alias("occurred_at"), F.explode(F.array(*each)).alias("k"))
     rows = rows.select("agent_id", "run_id", "k.kpi_slug", "k.kpi_version", "k.value", "occurred_at").where(F.col("value").isNotNull() & ~F.isnan("value"))
     return _observed(rows, "extracted", F.col("occurred_at"))
 

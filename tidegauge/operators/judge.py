@@ -22,13 +22,23 @@ def oldest(rows: DataFrame, batch: int = 50) -> DataFrame:
     return rows.orderBy("start_time", "agent_id", "run_id").limit(batch)
 
 
+def in_batches(scorer: Callable[[pd.Series], pd.DataFrame], size: int) -> Callable[[pd.Series], pd.DataFrame]:
+    """``scorer`` called with ``size`` prompts at most at a time."""
+
+    def run(prompts: pd.Series) -> pd.DataFrame:
+        return pd.concat([scorer(prompts.iloc[i : i + size]) for i in range(0, len(prompts), size)])
+
+    return run
+
+
 def score(rows: DataFrame, kpi: Kpi, scorer: Callable[[pd.Series], pd.DataFrame]) -> DataFrame:
     """Rows with prompt, reply, judge_model, value and outcome (ok, skip or failed).
 
     ``scorer`` takes a series of prompts and returns columns reply and
     judge_model, null where the model failed; it runs in Arrow batches.
     """
-    asked = rows.withColumn("prompt", parse.judge_prompt(kpi.prompt or "", parse.nested(F.col("payload"), "outputs", "text")))
+    rows = parse.as_variant(rows)
+    asked = rows.withColumn("prompt", parse.judge_prompt(kpi.prompt or "", parse.field(F.col("payload"), "outputs", "text"))).drop("payload")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -44,9 +54,13 @@ def score(rows: DataFrame, kpi: Kpi, scorer: Callable[[pd.Series], pd.DataFrame]
 
 
 def read_replies(said: DataFrame, kpi: Kpi) -> DataFrame:
-    """Value and outcome of given replies: rows with prompt and reply (null: the model failed)."""
+    """Value and outcome of given replies: rows with prompt and reply (null: the model failed).
+
+    The KPI's own ``parse`` reads the reply if it has one, else the number at its start counts; only a value in the KPI's range is one.
+    """
     low, high = kpi.range or (0.0, 1.0)
-    said = said.withColumn("value", parse.judge_score(F.col("reply"), low, high))
+    value = kpi.parse(F.col("reply")).cast("double") if kpi.parse else parse.judge_score(F.col("reply"), low, high)
+    said = said.withColumn("value", F.when(value.between(low, high), value))
     outcome = F.when(F.col("prompt").isNull(), "skip").when(F.col("value").isNull(), "failed").otherwise("ok")
     return said.withColumn("outcome", outcome)
 

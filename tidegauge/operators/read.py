@@ -9,6 +9,16 @@ from tidegauge.operators.rollup import bucket_value, combined_value
 from tidegauge.plans.kpis import LIMITS
 
 
+def sized(requests: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Requests for known KPIs with the grain they are answered from, and the width of their super-buckets."""
+    asked = requests.join(F.broadcast(definitions.select("kpi_slug", "aggregation")), "kpi_slug")
+    grain = F.coalesce("granularity", buckets.granularity_for(F.col("from_ts"), F.col("to_ts"), F.col("max_points")))
+    asked = asked.withColumn("granularity", grain)
+    span = (F.col("from_ts"), F.col("to_ts"), F.col("granularity"))
+    asked = asked.withColumn("downsampled", buckets.bucket_count(*span) > F.col("max_points"))
+    return asked.withColumn("width", F.when(F.col("downsampled"), buckets.group_seconds(*span, F.col("max_points"))))
+
+
 def series(rollups: DataFrame, requests: DataFrame, definitions: DataFrame) -> DataFrame:
     """Points of many series at once (Q1).
 
@@ -16,12 +26,7 @@ def series(rollups: DataFrame, requests: DataFrame, definitions: DataFrame) -> D
     (null: chosen).  Buckets without values give no points.  ``requests`` and
     ``definitions`` are joined to the buckets on their keys; unknown KPIs fall out.
     """
-    asked = requests.join(F.broadcast(definitions.select("kpi_slug", "aggregation")), "kpi_slug")
-    grain = F.coalesce("granularity", buckets.granularity_for(F.col("from_ts"), F.col("to_ts"), F.col("max_points")))
-    asked = asked.withColumn("granularity", grain)
-    span = (F.col("from_ts"), F.col("to_ts"), F.col("granularity"))
-    asked = asked.withColumn("downsampled", buckets.bucket_count(*span) > F.col("max_points"))
-    asked = asked.withColumn("width", F.when(F.col("downsampled"), buckets.group_seconds(*span, F.col("max_points"))))
+    asked = sized(requests, definitions)
     rows = rollups.where("count > 0").join(asked, ["agent_id", "kpi_slug", "granularity"])
     rows = rows.where((F.col("bucket_start") >= F.col("from_ts")) & (F.col("bucket_start") < F.col("to_ts")))
     at = F.when(F.col("downsampled"), buckets.super_bucket(F.col("bucket_start"), F.col("width"))).otherwise(F.col("bucket_start"))

@@ -44,7 +44,8 @@ def keep_partitions(rows: DataFrame, ts: str, period, now: Column, days: int) ->
 def trim_payloads(runs: DataFrame, now: Column, days: int = PAYLOAD_DAYS) -> DataFrame:
     """Old payloads emptied, rows kept; ``trimmed`` marks those that changed (M2)."""
     old = (F.col("start_time") < before(now, days)) & parse.has_payload(F.col("payload"))
-    return runs.withColumns({"trimmed": F.coalesce(old, F.lit(False)), "payload": F.when(old, parse.EMPTY).otherwise(F.col("payload"))})
+    empty = F.parse_json(F.lit(parse.EMPTY)) if parse.is_variant(runs) else F.lit(parse.EMPTY)
+    return runs.withColumns({"trimmed": F.coalesce(old, F.lit(False)), "payload": F.when(old, empty).otherwise(F.col("payload"))})
 
 
 def keep_rollups(rollups: DataFrame, now: Column) -> DataFrame:

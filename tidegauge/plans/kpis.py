@@ -16,9 +16,13 @@ DIRECTIONS = ("higher_is_better", "lower_is_better", "target_band")
 class Kpi:
     """One KPI.
 
-    ``value`` is a column over runs (null: the run is skipped); ``feedback_key``
-    names the feedback that carries the KPI; ``prompt`` makes it judgeable;
-    ``depends_on`` names the KPIs a derived KPI compares over time.
+    ``value`` is a column over runs (null: the run is skipped), the whole payload
+    among them as a VARIANT; ``feedback_key`` names the feedback that carries the
+    KPI; ``prompt`` makes it judgeable, and ``parse`` reads a model's reply (null:
+    unreadable; without it the number at its start counts).  ``depends_on`` names
+    the KPIs a derived KPI compares over time, and ``compute`` says how: it gets
+    the current and the baseline values by KPI and gives a number or None.  A
+    derived KPI without ``compute`` is the drift of its sources' distributions.
     """
 
     slug: str
@@ -36,10 +40,13 @@ class Kpi:
     value: Callable[[], Column] | None = None
     feedback_key: str | None = None
     prompt: str | None = None
+    parse: Callable[[Column], Column] | None = None
     depends_on: tuple[str, ...] = ()
+    compute: Callable[[dict[str, list[float]], dict[str, list[float]]], float | None] | None = None
 
     def __post_init__(self):
         assert self.kind in KINDS and self.aggregation in AGGREGATIONS and self.direction in DIRECTIONS, self.slug
+        assert (self.kind == "derived") == bool(self.depends_on) and (self.kind == "derived" or not self.compute), self.slug
 
 
 def pair(warning: float, critical: float) -> dict[str, float]:

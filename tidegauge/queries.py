@@ -76,7 +76,7 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def _flat(pages: DataFrame) -> DataFrame:
     """Run pages flattened, with two fields of the payload in its place."""
     flat = records.flatten_runs(pages)
-    kept = flat.withColumns({"cost_usd": F.col("cost_usd").cast("double"), "payload_id": parse.nested(F.col("payload"), "id"), "payload_model": parse.nested(F.col("payload"), "extra", "metadata", "model")})
+    kept = flat.withColumns({"cost_usd": F.col("cost_usd").cast("double"), "payload_id": parse.field(F.col("payload"), "id"), "payload_model": parse.field(F.col("payload"), "extra", "metadata", "model")})
     return _rounded(kept.drop("payload"))
 
 

@@ -6,13 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.functions import parse
 
-RUN = (
-    "id string, trace_id string, parent_run_id string, name string, run_type string, start_time string, end_time string, "
-    "latency_ms int, status string, error string, prompt_tokens int, completion_tokens int, total_cost string, "
-    "inputs struct<question:string>, outputs struct<text:string>, extra struct<metadata:struct<model:string>>"
-)
 PAGES = "value string, agent_id string"
-FEEDBACK = "id string, run_id string, key string, score double, comment string, created_at string"
+ITEMS = "array<variant>"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -25,40 +20,47 @@ def stream_pages(spark: SparkSession, path: str, max_files: int = 100) -> DataFr
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", max_files).text(path).withColumnRenamed("value", "body")
 
 
-def _items(body: Column, record: str, field: str) -> Column:
+def _items(body: Column, field: str) -> Column:
     """Records of a bare list, of ``{field: [...]}`` or of ``{"data": [...]}``; otherwise none (S3)."""
-    bare = F.when(F.ltrim(body).startswith("["), F.from_json(body, f"array<struct<{_fields(record)}>>"))
-    kept = F.from_json(body, f"struct<{field}:array<struct<{_fields(record)}>>,data:array<struct<{_fields(record)}>>>")
-    return F.coalesce(bare, kept[field], kept["data"], F.array().cast(f"array<struct<{_fields(record)}>>"))
+    bare = F.when(F.ltrim(body).startswith("["), F.from_json(body, ITEMS))
+    kept = F.from_json(body, f"struct<{field}:{ITEMS},data:{ITEMS}>")
+    return F.coalesce(bare, kept[field], kept["data"], F.array().cast(ITEMS))
 
 
-def _fields(ddl: str) -> str:
-    return ",".join(f"{p.strip().split(' ', 1)[0]}:{p.strip().split(' ', 1)[1]}" for p in ddl.split(", "))
+def unread(pages: DataFrame, field: str) -> DataFrame:
+    """Bodies that hold no records though they are not empty: no JSON, or an envelope of another kind."""
+    void = F.regexp_replace("body", r"\s", "").isin("", "[]", "{}", "null", f'{{"{field}":[]}}', '{"data":[]}')
+    return pages.where(F.col("body").isNotNull() & ~void & (F.size(_items(F.col("body"), field)) == 0))
 
 
 def flatten_runs(pages: DataFrame) -> DataFrame:
-    """Run pages (agent_id, body) as typed rows; the agent is the page's, never the payload's."""
-    items = pages.select("agent_id", F.explode(_items(F.col("body"), RUN, "runs")).alias("r"))
-    start, end = parse.timestamp(F.col("r.start_time")), parse.timestamp(F.col("r.end_time"))
+    """Run pages (agent_id, body) as typed rows; the agent is the page's, never the payload's.
+
+    The payload is the whole record as a VARIANT, with every field that came.
+    """
+    items = pages.select("agent_id", F.explode(_items(F.col("body"), "runs")).alias("r"))
+    r = F.col("r")
+    start, end = parse.timestamp(parse.field(r, "start_time")), parse.timestamp(parse.field(r, "end_time"))
     return items.select(
-        F.col("r.id").alias("run_id"),
+        parse.field(r, "id").alias("run_id"),
         "agent_id",
-        *[F.col(f"r.{c}").alias(c) for c in ("trace_id", "parent_run_id", "name", "run_type")],
+        *[parse.field(r, c).alias(c) for c in ("trace_id", "parent_run_id", "name", "run_type")],
         start.alias("start_time"),
         end.alias("end_time"),
-        parse.latency(F.col("r.latency_ms"), start, end).alias("latency_ms"),
-        *[F.col(f"r.{c}").alias(c) for c in ("status", "error")],
-        F.col("r.extra.metadata.model").alias("model"),
-        *[F.col(f"r.{c}").alias(c) for c in ("prompt_tokens", "completion_tokens")],
-        parse.money(F.col("r.total_cost")).alias("cost_usd"),
-        F.to_json("r").alias("payload"),
+        parse.latency(parse.whole(r, "latency_ms"), start, end).alias("latency_ms"),
+        *[parse.field(r, c).alias(c) for c in ("status", "error")],
+        parse.field(r, "extra", "metadata", "model").alias("model"),
+        *[parse.whole(r, c).alias(c) for c in ("prompt_tokens", "completion_tokens")],
+        parse.money(parse.field(r, "total_cost")).alias("cost_usd"),
+        r.alias("payload"),
     )
 
 
 def flatten_feedback(pages: DataFrame) -> DataFrame:
-    """Feedback pages as rows; null scores go, and the last of a run's duplicate keys wins."""
-    items = pages.select("agent_id", F.posexplode(_items(F.col("body"), FEEDBACK, "feedback")).alias("at", "r"))
-    rows = items.select("agent_id", "at", F.col("r.run_id").alias("run_id"), F.col("r.key").alias("key"), F.col("r.score").alias("score"), parse.timestamp(F.col("r.created_at")).alias("created_at"))
+    """Feedback pages as rows; scores that are no numbers go, and the last of a run's duplicate keys wins."""
+    items = pages.select("agent_id", F.posexplode(_items(F.col("body"), "feedback")).alias("at", "r"))
+    r = F.col("r")
+    rows = items.select("agent_id", "at", parse.field(r, "run_id").alias("run_id"), parse.field(r, "key").alias("key"), parse.number(r, "score").alias("score"), parse.timestamp(parse.field(r, "created_at")).alias("created_at"))
     return last_scores(rows, "at")
 
 

@@ -1,4 +1,4 @@
-"""Keyed upserts into partitioned Parquet tables.
+"""Keyed upserts into partitioned Parquet tables (S4 to S6, S10), and reading of the partitions that a range needs.
 
 A table is a folder partitioned by a time label.  An upsert reads only the
 partitions that incoming rows touch, merges, stages the result in scratch
@@ -8,13 +8,15 @@ storage and overwrites exactly those partitions.  One writer per table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidegauge.functions import parse
 from tidegauge.operators.ingest import merge
 from tidegauge.operators.retention import month, week
-from tidegauge.sources.scratch import materialise
+from tidegauge.sources.scratch import discard, materialise
 
 PERIODS: dict[str, Callable[[Column], tuple[Column, Column, Column]]] = {"week": week, "month": month}
 
@@ -29,50 +31,137 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def label_of(day: date, period: str) -> str:
+    """Label of the period that holds a day, as the layout writes it."""
+    iso = day.isocalendar()
+    return f"{iso.year}w{iso.week:02}" if period == "week" else f"{day.year}m{day.month:02}"
+
+
+def period_end(label: str) -> datetime:
+    """First instant after a period."""
+    year, n = int(label[:4]), int(label[5:])
+    if label[4] == "w":
+        return datetime.combine(date.fromisocalendar(year, n, 1), datetime.min.time()) + timedelta(days=7)
+    return datetime(year + n // 12, n % 12 + 1, 1)
+
+
+def labels_between(start: datetime, end: datetime, period: str) -> list[str]:
+    """Labels of the periods that the half-open range reaches into."""
+    days = (end - start) // timedelta(days=1) + 2
+    every = (start.date() + timedelta(days=i) for i in range(days))
+    return list(dict.fromkeys(label_of(d, period) for d in every if datetime.combine(d, datetime.min.time()) < end))
+
+
+def instant(at: datetime) -> Column:
+    """A moment as a literal."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp")
+
+
+def between(rows: DataFrame, ts: str, start: datetime | None, end: datetime | None, period: str) -> DataFrame:
+    """Rows of a table in the half-open range; literals on the partition column leave the other folders unread."""
+    if start is not None and end is not None and "part" in rows.columns:
+        rows = rows.where(F.col("part").isin(labels_between(start, end, period)))
+    if start is not None:
+        rows = rows.where(F.col(ts) >= instant(start))
+    return rows if end is None else rows.where(F.col(ts) < instant(end))
+
+
+def on_days(rows: DataFrame, ts: str, days: Iterable[date], period: str) -> DataFrame:
+    """Rows of a table on some days, from the folders of those days only."""
+    days = sorted(days)
+    rows = rows.where(F.col("part").isin(sorted({label_of(d, period) for d in days}))) if "part" in rows.columns else rows
+    return rows.where(F.to_date(ts).isin(days))
+
+
+def buckets_between(rollups: DataFrame, start: datetime, end: datetime, grains: Iterable[str] | None = None) -> DataFrame:
+    """Buckets of a half-open range, from the folders of its days and grains only."""
+    last = (end - timedelta(microseconds=1)).date()
+    rows = rollups.where(F.col("bucket_date").between(start.date(), last))
+    if grains is not None:
+        rows = rows.where(F.col("granularity").isin(*grains))
+    return rows.where((F.col("bucket_start") >= instant(start)) & (F.col("bucket_start") < instant(end)))
+
+
 def upsert(incoming: DataFrame, path: str, keys: list[str], replaced: list[str], ts: str, period: str, order: str | None = None) -> None:
-    """Merge rows into the table at ``path``; repeating a call changes nothing."""
+    """Merge rows into the table at ``path``; repeating a call changes nothing.  Payloads keep the type that the table has them in."""
     spark = incoming.sparkSession
     label = PERIODS[period](F.col(ts))[2]
     new = materialise(incoming.withColumn("part", label), "incoming")
     kept = [c for c in new.columns if c != order]
     old = read(spark, path, new.select(*kept).schema).select(*kept)
-    touched = new.select("part").distinct()
-    merged = merge(old.join(F.broadcast(touched), "part", "left_semi"), new, ["part", *keys], replaced, order)  # one row per period
-    staged = materialise(merged, "merged")
-    # a large period goes to as many tasks as its size asks for
-    staged.hint("rebalance", "part").sortWithinPartitions("part", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    touched = [r["part"] for r in new.select("part").distinct().collect()]  # one row per period
+    if touched:
+        merged = merge(old.where(F.col("part").isin(touched)), parse.like(new, old.schema), ["part", *keys], replaced, order)
+        staged = materialise(merged, "merged")
+        # a large period goes to as many tasks as its size asks for
+        staged.hint("rebalance", "part").sortWithinPartitions("part", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        discard(staged)
+    discard(new)
 
 
-def overwrite_buckets(rollups: DataFrame, path: str, recomputed: Iterable[tuple[str, str]] = ()) -> None:
-    """Replace the (granularity, day) partitions that ``rollups`` holds.
+def overwrite_buckets(rollups: DataFrame, path: str, recomputed: Iterable[tuple[str, str]] = ()) -> list[tuple[str, str]]:
+    """Replace the (granularity, day) partitions that ``rollups`` holds (S6); answer with those that changed.
 
     Of the ``recomputed`` (granularity, ISO day) pairs, those that have no bucket any more are dropped.
     """
     spark = rollups.sparkSession
+    recomputed = list(recomputed)
     parted = rollups.withColumn("bucket_date", F.to_date("bucket_start"))
     staged = materialise(parted, "buckets")
     held = {(r["granularity"], str(r["bucket_date"])) for r in staged.select("granularity", "bucket_date").distinct().collect()}  # one row per grain and day
     drop_partitions(spark, path, [f"granularity={g}/bucket_date={d}" for g, d in recomputed if (g, d) not in held])
     parts = ["granularity", "bucket_date"]
     staged.hint("rebalance", *parts).sortWithinPartitions(*parts, "agent_id", "kpi_slug", "bucket_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("granularity", "bucket_date").parquet(path)
+    discard(staged)
+    return sorted(held | set(recomputed))
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def partitions(spark: SparkSession, path: str) -> dict[str, int]:
+    """Partition folders of a table, such as ``part=2024w01``, and when each was last written; no file is opened."""
+    found: dict[str, int] = {}
+
+    def walk(at: str, below: str) -> None:
+        folder, fs = _folder(spark, at)
+        if fs.exists(folder):
+            for s in fs.listStatus(folder):
+                name = s.getPath().getName()
+                if s.isDirectory() and "=" in name:
+                    found[below + name] = s.getModificationTime()
+                    walk(f"{at}/{name}", f"{below}{name}/")
+
+    walk(path, "")
+    return {p: at for p, at in found.items() if not any(q.startswith(f"{p}/") for q in found)}
 
 
 def drop_partitions(spark: SparkSession, path: str, parts: list[str]) -> None:
     """Delete whole partition folders of a table (M1); other partitions are not touched."""
-    jvm = spark.sparkContext._jvm
     for part in parts:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        folder, fs = _folder(spark, f"{path}/{part}")
+        fs.delete(folder, True)
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> tuple:
+    """Sizes and write times of the files below some paths: changes with what they hold."""
+    out = []
+    for path in paths:
+        folder, fs = _folder(spark, path)
+        files = fs.listStatus(folder) if fs.exists(folder) else []
+        out.append((path, tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files))))
+    return tuple(out)
 
 
 def _versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
     """Numbers of the finished versions below ``path``, and of all."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root, fs = _folder(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
     every = sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
-    return [v for v in every if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS"))], every
+    return [v for v in every if fs.exists(_folder(spark, f"{path}/version={v}/_SUCCESS")[0])], every
 
 
 def read_version(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -81,6 +170,11 @@ def read_version(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/version={done[-1]}") if done else spark.createDataFrame([], schema)
 
 
+def has_version(spark: SparkSession, path: str) -> bool:
+    """Whether there is a finished version."""
+    return bool(_versions(spark, path)[0])
+
+
 def write_version(rows: DataFrame, path: str) -> None:
     """Write the table's next version, then drop the others: a crash in between leaves the last one in force."""
     spark = rows.sparkSession

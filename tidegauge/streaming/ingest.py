@@ -2,21 +2,29 @@
 
 Runs and feedback are two queries with a checkpoint each.  Every micro-batch
 upserts by key, so a batch that is replayed converges; feedback without a run
-waits in a pending table and is tried again with every batch.  Rows with faults
-are kept whole, as JSON, in a quarantine table beside it.
+waits in a pending table and is tried again with every batch.  Rows with faults,
+and bodies that hold no records, are kept whole in a quarantine table beside it.
+A batch deletes the scratch tables that it wrote, and leaves its mark in the
+cursors whether it was stored or failed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from contextlib import suppress
 from dataclasses import dataclass
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidegauge.functions.buckets import GRAINS
 from tidegauge.operators import ingest, rollup
+from tidegauge.operators.retention import RUN_DAYS
 from tidegauge.plans.kpis import SHIPPED, definitions
 from tidegauge.sources import records, store
-from tidegauge.sources.scratch import materialise
+from tidegauge.sources.scratch import discard, materialise
+from tidegauge.streaming import cursors, heads
 
 STAMPS = ["inserted_at", "updated_at"]
 #: Columns of a flattened run; a stored one has its stamps besides.
@@ -36,68 +44,161 @@ class Tables:
 
 def _store_faulty(bad: DataFrame, kind: str, at: str, tables: Tables) -> None:
     """Rows that may not be stored, whole and with their faults (P11); rows without a time lie in 1970."""
-    record = F.to_json(F.struct(*[c for c in bad.columns if c not in ("faults", *STAMPS)]))
-    rows = bad.select(F.lit(kind).alias("kind"), "agent_id", "run_id", F.coalesce(at, F.timestamp_seconds(F.lit(0))).alias("at"), "faults", record.alias("record"))
+    texts = [F.col(c).cast("string").alias(c) if t == "variant" else F.col(c) for c, t in bad.dtypes if c not in ("faults", *STAMPS)]
+    record = F.to_json(F.struct(*texts))
+    run = F.col("run_id") if "run_id" in bad.columns else F.lit(None).cast("string")
+    rows = bad.select(F.lit(kind).alias("kind"), "agent_id", run.alias("run_id"), F.coalesce(at, F.timestamp_seconds(F.lit(0))).alias("at"), "faults", record.alias("record"))
     rows = rows.withColumn("id", F.sha2(F.concat("kind", "record"), 256))
     store.upsert(rows, tables.quarantine, ["id", "at"], ["faults"], "at", "month")
 
 
+def _store_unread(pages: DataFrame, field: str, tables: Tables) -> None:
+    """Bodies without records, whole."""
+    bodies = records.unread(pages, field).select("agent_id", "body", F.lit(None).cast("timestamp").alias("at"), F.array(F.lit("body")).alias("faults"))
+    _store_faulty(bodies, "page", "at", tables)
+
+
 def _store_observations(rows: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """Store a batch's observations; returns the good ones and the faulty ones."""
-    good, bad = ingest.quarantine(materialise(rows, "observations-batch"), ingest.observation_faults())
+    """Store a batch's observations; returns the good ones and the faulty ones, which read ``rows``."""
+    good, bad = ingest.quarantine(rows, ingest.observation_faults())
     store.upsert(good, tables.observations, ingest.OBSERVATION_KEYS, ingest.OBSERVATION_REPLACED, "occurred_at", "month")
     _store_faulty(bad, "observation", "occurred_at", tables)
     return good, bad
 
 
-def ingest_runs(pages: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
-    """One batch of run pages (agent_id, body): runs, then their observations (JB1).  Returns the batch's summary."""
+def ingest_run_rows(rows: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
+    """One batch of flattened runs: runs, then their observations.  Returns the batch's summary, a scratch table."""
     now = F.current_timestamp()
-    flat = materialise(records.flatten_runs(pages).select(*RUN_COLUMNS).withColumns(dict.fromkeys(STAMPS, now)), "runs-batch")
+    flat = materialise(rows.select(*RUN_COLUMNS).withColumns(dict.fromkeys(STAMPS, now)), "runs-batch")
     good, bad = ingest.quarantine(flat, ingest.run_faults())
     store.upsert(good, tables.runs, ingest.RUN_KEYS, ingest.RUN_REPLACED, "start_time", "week")
     _store_faulty(bad, "run", "start_time", tables)
-    seen, unfit = _store_observations(ingest.extract(good, kpis), tables)
-    return ingest.batch_summary(good, seen, flat.limit(0), bad.select("agent_id").unionByName(unfit.select("agent_id")))
+    found = materialise(ingest.extract(good, kpis), "observations-batch")
+    seen, unfit = _store_observations(found, tables)
+    summary = materialise(ingest.batch_summary(good, seen, flat.limit(0), bad.select("agent_id").unionByName(unfit.select("agent_id"))), "summary")
+    discard(flat, found)
+    return summary
+
+
+def ingest_runs(pages: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
+    """One batch of run pages (agent_id, body): runs, then their observations (JB1).  Returns the batch's summary."""
+    _store_unread(pages, "runs", tables)
+    return ingest_run_rows(records.flatten_runs(pages), tables, kpis)
 
 
-def ingest_feedback(pages: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
-    """One batch of feedback pages, together with what was pending (ST4).  Returns the batch's summary."""
+def poll_runs(pages: DataFrame, tables: Tables, now: datetime, kpis=SHIPPED) -> DataFrame:
+    """One poll of a source that answers with all it has: what the cursors say is due (ST2); they move on, or count a failure."""
     spark = pages.sparkSession
+    try:
+        _store_unread(pages, "runs", tables)
+        rows = cursors.due(records.flatten_runs(pages), cursors.read(spark, tables.cursors), "runs", now, "start_time")
+        summary = ingest_run_rows(rows, tables, kpis)
+    except Exception as e:
+        cursors.failed(pages, tables.cursors, "runs", e, now)
+        raise
+    cursors.succeeded(summary, tables.cursors, "runs", now)
+    return summary
+
+
+def ingest_feedback(pages: DataFrame, tables: Tables, kpis=SHIPPED, reach_days: int = RUN_DAYS) -> DataFrame:
+    """One batch of feedback pages, together with what was pending (ST4).  Returns the batch's summary, a scratch table.
+
+    Feedback follows its run by ``reach_days`` at most, as long as runs are kept by
+    default: only weeks of runs within that reach are read, once, and of them only the key columns.
+    """
+    spark = pages.sparkSession
+    _store_unread(pages, "feedback", tables)
     news = records.flatten_feedback(pages)
     waiting = store.read_version(spark, tables.pending, PENDING)
     rows = materialise(records.last_scores(waiting.unionByName(news), "created_at"), "feedback-batch")
-    runs = store.read(spark, tables.runs, "agent_id string, run_id string, start_time timestamp")
-    seen, unfit = _store_observations(ingest.imported(ingest.match(rows, runs), definitions(spark, kpis)), tables)
-    lost = materialise(ingest.orphans(rows, runs), "pending")
-    store.write_version(lost, tables.pending)
-    return ingest.batch_summary(runs.limit(0), seen, lost, unfit)
-
-
-def start(pages: DataFrame, handle, tables: Tables, checkpoint: str) -> StreamingQuery:
-    """Drain what is there and stop (ST9); a failed batch leaves the checkpoint where it was (ST10)."""
-    return pages.writeStream.foreachBatch(lambda df, _: handle(df, tables)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def with_derived(spark: SparkSession, tables: Tables, buckets: DataFrame, days: list[str], grains) -> DataFrame:
-    """Recomputed buckets together with the stored derived ones that share their partitions."""
-    stored = store.read(spark, tables.rollups, buckets.schema)
-    derived = [k.slug for k in SHIPPED if k.kind == "derived"]
-    kept = stored.where(F.col("kpi_slug").isin(derived) & F.col("granularity").isin(*grains) & F.to_date("bucket_start").cast("string").isin(days))
-    return buckets.unionByName(kept.select(buckets.columns))
+    first, last = rows.agg(F.min("created_at"), F.max("created_at")).first()
+    runs = store.read(spark, tables.runs, "agent_id string, run_id string, start_time timestamp, part string").select("agent_id", "run_id", "start_time", "part")
+    undated = rows.where("created_at is null").limit(1).count()
+    if first is not None and not undated:
+        runs = store.between(runs, "start_time", first - timedelta(days=reach_days), last + timedelta(days=1), "week")
+    met = materialise(rows.join(runs.drop("part"), ["agent_id", "run_id"], "left"), "feedback-met")
+    matched, lost = met.where("start_time is not null"), met.where("start_time is null").drop("start_time")
+    found = materialise(ingest.imported(matched, definitions(spark, kpis)), "observations-batch")
+    seen, unfit = _store_observations(found, tables)
+    store.write_version(lost.select("agent_id", "run_id", "key", "score", "created_at"), tables.pending)
+    stamped = matched.select("agent_id", F.col("created_at").alias("start_time"))  # feedback's watermark is the newest matched one
+    summary = ingest.batch_summary(stamped, seen, lost, unfit).withColumn("runs", F.lit(0).cast("long"))
+    summary = materialise(summary, "summary")
+    discard(rows, met, found)
+    return summary
+
+
+#: Whose batches move which cursors.
+STREAM_OF = {ingest_runs: "runs", ingest_feedback: "feedback"}
+
+
+def start(pages: DataFrame, handle: Callable, tables: Tables, checkpoint: str, stream: str | None = None) -> StreamingQuery:
+    """Drain what is there and stop (ST9); a failed batch leaves the checkpoint where it was (ST10).
+
+    Batches of the two ingest functions, or of any ``handle`` that names its
+    ``stream`` and answers with a summary, leave their mark in the cursors.
+    """
+    stream = stream or STREAM_OF.get(handle)
+
+    def batch(df: DataFrame, _: int) -> None:
+        if stream is None:
+            handle(df, tables)
+            return
+        try:
+            summary = handle(df, tables)
+        except Exception as e:
+            with suppress(Exception):  # the batch's own failure is the one to tell
+                cursors.failed(df, tables.cursors, stream, e)
+            raise
+        cursors.succeeded(summary, tables.cursors, stream)
+        discard(summary)
+
+    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def store_buckets(rows: DataFrame, tables: Tables, recomputed: Iterable[tuple[str, str]] = ()) -> None:
+    """Store buckets whose partitions they are to replace; faulty ones go to quarantine (P11), and the heads follow."""
+    spark = rows.sparkSession
+    made = materialise(rows, "buckets-made")
+    good, bad = ingest.quarantine(made, ingest.rollup_faults())
+    if not bad.isEmpty():
+        _store_faulty(bad.withColumn("run_id", F.lit(None).cast("string")), "bucket", "bucket_start", tables)
+    touched = store.overwrite_buckets(good, tables.rollups, recomputed)
+    heads.refresh(spark, tables.rollups, tables.heads, touched)
+    discard(made)
+
+
+def with_kept(spark: SparkSession, tables: Tables, buckets: DataFrame, days: Iterable[date], grains: Iterable[str], touched: DataFrame | None = None) -> DataFrame:
+    """Recomputed buckets together with the stored ones that share their partitions and stay.
+
+    Derived buckets stay, whatever their KPI: they alone have no distinct count.
+    So do those of (agent_id, day) pairs that are not ``touched``, if that is given.
+    """
+    stored = store.read(spark, tables.rollups, f"{heads.BUCKET}, bucket_date date")
+    stored = stored.where(F.col("granularity").isin(*grains) & F.col("bucket_date").isin(list(days)))
+    stays = stored.where("distinct_count is null")
+    if touched is not None:
+        observed = stored.where("distinct_count is not null").withColumn("day", F.col("bucket_date"))
+        stays = stays.unionByName(observed.join(touched, ["agent_id", "day"], "left_anti").select(stays.columns))
+    return buckets.unionByName(stays.select(buckets.columns))
 
 
-def refresh_rollups(spark: SparkSession, tables: Tables, changed: DataFrame, grains=("minute", "hour", "day")) -> None:
-    """Recompute the days that ``changed`` observations fall into, for every grain (ST6).
+def refresh_rollups(spark: SparkSession, tables: Tables, changed: DataFrame, grains=tuple(GRAINS), accuracy: int | None = None) -> None:
+    """Recompute the (agent, day) pairs that ``changed`` observations fall into, for every grain (ST6).
 
-    Derived buckets of those days stay; a day that lost all its observations loses its other buckets.
+    Only the folders of those days are read.  All other buckets of the days, and
+    derived ones, stay; a pair that lost all its observations loses its buckets.
     """
-    observations = spark.read.parquet(tables.observations)
-    runs = spark.read.parquet(tables.runs)
-    days = [str(r["d"]) for r in changed.select(F.to_date("occurred_at").alias("d")).distinct().collect()]  # one row per day
-    near = observations.where(F.to_date("occurred_at").cast("string").isin(days))
-    buckets = with_derived(spark, tables, rollup.rollup(near, runs, grains), days, grains)
-    store.overwrite_buckets(buckets, tables.rollups, [(g, d) for g in grains for d in days])
+    touched = materialise(changed.select("agent_id", F.to_date("occurred_at").alias("day")).where("day is not null").distinct(), "touched")
+    days = sorted(r["day"] for r in touched.select("day").distinct().collect())  # one row per day
+    if not days:
+        return
+    observations = store.on_days(spark.read.parquet(tables.observations), "occurred_at", days, "month")
+    runs = store.on_days(spark.read.parquet(tables.runs), "start_time", days, "week")
+    of = lambda rows, ts: rows.withColumn("day", F.to_date(ts)).join(touched, ["agent_id", "day"], "left_semi")
+    made = rollup.rollup(of(observations, "occurred_at"), of(runs, "start_time"), grains, accuracy)
+    store_buckets(with_kept(spark, tables, made, days, grains, touched), tables, [(g, str(d)) for g in grains for d in days])
+    discard(touched)
 
 
 def streaming_buckets(observations: DataFrame, width: str = "1 hour", late: str = "6 hours") -> DataFrame:
