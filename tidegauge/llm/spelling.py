@@ -169,11 +169,13 @@ def variants(words: DataFrame, ratio: int = 10) -> DataFrame:
     words = materialise(words, "words")
     entries = materialise(dictionary(words), "dictionary")
     discard(words)
-    known = materialise(entries.select("node", "n").join(near(entries), "node", "left"), "spelling-near")
     form = F.col("best_n") >= F.col("n") * ratio
-    known = known.select("node", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(form, F.col("best")).alias("form_node"), F.when(form, F.col("best_n")).alias("form_n"))
-    ends = roots(known.where("form_node is not null").select("node", F.col("form_node").alias("form")))
-    named = lambda name: entries.select(F.col("node").alias(f"{name}_node"), F.col("word").alias(name))
-    changed = known.where("form_node is not null").join(ends.withColumnRenamed("root", "root_node"), "node").join(named("form"), "form_node").join(named("root"), "root_node")
-    rows = entries.select("node", "word", "n").join(known.select("node", "n_near", "form_n"), "node").join(changed.select("node", "form", "root"), "node", "left")
+    known = entries.select("node", "word", "n").join(near(entries), "node", "left")
+    known = materialise(known.select("node", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(form, F.col("best")).alias("form_node"), F.when(form, F.col("best_n")).alias("form_n")), "spelling-near")
+    discard(entries)
+    formed = known.where("form_node is not null").select("node", "form_node")
+    ends = roots(formed.withColumnRenamed("form_node", "form"))
+    named = lambda name: known.select(F.col("node").alias(f"{name}_node"), F.col("word").alias(name))
+    changed = formed.join(ends.withColumnRenamed("root", "root_node"), "node").join(named("form"), "form_node").join(named("root"), "root_node")
+    rows = known.drop("form_node").join(changed.select("node", "form", "root"), "node", "left")
     return rows.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
