@@ -27,7 +27,8 @@ def windows(rollups: DataFrame, definitions: DataFrame, as_of: Column, sources:
     rows = rows.withColumn("side", F.when(F.col("bucket_start") >= day(current_days), "current").otherwise("baseline"))
     rows = rows.join(F.broadcast(definitions.select("kpi_slug", "aggregation", "direction", "thresholds")), "kpi_slug")
     rows = rows.withColumn("value", bucket_value(F.col("aggregation"))).where("value is not null")
-    derived = F.create_map(*[x for slug, needs in sources.items() for n in needs for x in (F.lit(n), F.array(*[F.lit(s) for s, d in sources.items() if n in d]))])
+    needed = sorted({n for needs in sources.values() for n in needs})
+    derived = F.create_map(*[x for n in needed for x in (F.lit(n), F.array(*[F.lit(s) for s, d in sources.items() if n in d]))])
     rows = rows.withColumnRenamed("kpi_slug", "source_slug").withColumn("kpi_slug", F.explode(derived[F.col("source_slug")]))
     good = classify(F.col("direction"), F.col("thresholds"), F.col("value")) == "good"
     return rows.select("agent_id", "kpi_slug", "source_slug", F.col("bucket_start").alias("at"), "side", "value", (good | (F.col("side") == "current")).alias("healthy"))

@@ -356,4 +356,8 @@ def oracle_sql() -> dict[str, str]:
         ),
     }
     out |= {f"rollup_{g}": _with(BUCKETS, _rollups([g])) for g in GRAINS}
-    return {name: re.sub(r"\bat\b", '"at"', sql) for name, sql in out.items()}  # a keyword there
+    out = {name: re.sub(r"\bat\b", '"at"', sql) for name, sql in out.items()}  # a keyword there
+
+    from tidegauge import oracle_installation  # which builds on the parts above
+
+    return out | oracle_installation.oracle_sql()

@@ -7,12 +7,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidegauge import installation
 from tidegauge.functions import buckets, parse, status
 from tidegauge.operators import drift, ingest, judge, read, retention, rollup, thresholds
 from tidegauge.plans import kpis
 from tidegauge.sources import records, store, tables
 from tidegauge.sources.scratch import scratch_path
-from tidegauge.streaming import ingest as streaming
+from tidegauge.streaming import heads, ingest as streaming
 
 NOW = datetime(2024, 1, 31)
 #: A later clock, for the retention queries.
@@ -39,22 +40,33 @@ def _rollups(spark: SparkSession, d: str, *grains: str) -> DataFrame:
     return rollup.rollup(_observations(spark, d), tables.runs(spark, d), grains or tuple(buckets.GRAINS))
 
 
-#: Stored rollups of this session, by application and tables.
-_STORED: dict[tuple[str, str], str] = {}
+#: Stored rollups of this session, by application and the state of the tables they come from.
+_STORED: dict[tuple, str] = {}
 
 
 def stored_rollups(spark: SparkSession, d: str, *grains: str) -> DataFrame:
     """Buckets of the rollup table, which the first reader of a session writes."""
-    key = (spark.sparkContext.applicationId, d)
+    path = _stored(spark, d)
+    return spark.read.schema(ROLLUPS).parquet(path).drop("bucket_date").where(F.col("granularity").isin(*(grains or buckets.GRAINS)))
+
+
+def _stored(spark: SparkSession, d: str) -> str:
+    key = (spark.sparkContext.applicationId, store.fingerprint(spark, f"{d}/events.parquet", f"{d}/labels.parquet"))
     if key not in _STORED:
         path = scratch_path(spark, "rollups")
         store.overwrite_buckets(_rollups(spark, d), path)
+        heads.refresh(spark, path, f"{path}-heads", [])
         _STORED[key] = path
-    return spark.read.schema(ROLLUPS).parquet(_STORED[key]).drop("bucket_date").where(F.col("granularity").isin(*(grains or buckets.GRAINS)))
+    return _STORED[key]
+
+
+def stored_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Newest buckets of every series, which are written with the rollup table."""
+    return heads.read(spark, f"{_stored(spark, d)}-heads")
 
 
 def _agents(spark: SparkSession, d: str) -> DataFrame:
-    return stored_rollups(spark, d, "day").select("agent_id").distinct()
+    return stored_heads(spark, d).select("agent_id").distinct()
 
 
 def _overrides(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +252,7 @@ def granularity_choice(spark, d):
 
 
 def _latest(spark, d, hysteresis=None):
-    return read.latest(stored_rollups(spark, d), _agents(spark, d), _defs(spark), _overrides(spark, d), hysteresis)
+    return read.latest(stored_heads(spark, d), _agents(spark, d), _defs(spark), _overrides(spark, d), hysteresis)
 
 
 def latest_reading(spark, d):
@@ -450,7 +462,7 @@ def payload_fields(spark, d):
 def streaming_rollup(spark, d):
     """Hour buckets of latency from ``events`` read as a stream; only closed windows appear."""
     batch = tables.table(spark, d, "events")
-    stream = spark.readStream.schema(batch.schema).parquet(f"{d}/events.parque[t]")
+    stream = tables.stream(spark, d, "events")
     rows = stream.select(
         F.concat(F.lit("agent-"), (F.col("user_id") % 5).cast("string")).alias("agent_id"), F.lit("latency_p95").alias("kpi_slug"),
         F.round(F.col("value") * 100).cast("int").cast("double").alias("value"), F.col("ts").cast("timestamp").alias("occurred_at"),
@@ -481,4 +493,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         freshness, change_feed, series_json, payload_fields, streaming_rollup, order_delays,
     ]
     out = {f.__name__: f for f in named}
-    return out | {f"rollup_{g}": _rollup_query(g) for g in buckets.GRAINS}
+    return out | {f"rollup_{g}": _rollup_query(g) for g in buckets.GRAINS} | installation.queries()

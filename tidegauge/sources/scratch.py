@@ -56,3 +56,11 @@ def discard(*tables: DataFrame) -> None:
             context = table.sparkSession.sparkContext
             folder = context._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, on whatever store it lies."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    return fs.exists(folder) and fs.getFileStatus(folder).isDirectory()

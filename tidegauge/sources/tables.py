@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.functions import parse
+from tidegauge.sources.scratch import is_folder
 
 TURN = "2024-01-16"
 
@@ -13,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its files."""
+    schema, file = table(spark, sf_dir, name).schema, f"{name}.parquet"
+    source = spark.readStream.schema(schema)
+    if is_folder(spark, f"{sf_dir}/{file}"):
+        return source.parquet(f"{sf_dir}/{file}")
+    return source.option("pathGlobFilter", file).parquet(sf_dir)  # one file beside those of other tables
+
+
 def _agent():
     return F.concat(F.lit("agent-"), (F.col("user_id") % 5).cast("string"))
 
@@ -75,6 +85,33 @@ def raw_run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("agent_id", page.alias("body"))
 
 
+def whole_run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``runs`` as response bodies of up to twenty records, with fields that no column of a run asks for."""
+    r = runs(spark, sf_dir)
+    number = F.col("run_id").cast("long")
+    body = F.struct(
+        F.col("run_id").alias("id"),
+        "name",
+        F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("start_time"),
+        "latency_ms",
+        "status",
+        "prompt_tokens",
+        F.array(F.col("name"), F.concat(F.lit("k"), "prompt_tokens")).alias("tags"),
+        F.struct(F.concat(F.lit("about "), "run_id").alias("question"), F.lit('be "brief"').alias("system")).alias("inputs"),
+        F.struct(F.concat(F.lit("text of "), "run_id").alias("text"), F.array(F.lit("search"), F.col("name")).alias("tools")).alias("outputs"),
+        F.struct(F.struct("model", (number % 150).alias("user"), (number % 3 == 0).alias("cache_hit")).alias("metadata")).alias("extra"),
+    )
+    page = F.floor(number / 20)
+    pages = r.select("agent_id", page.alias("page"), F.to_json(body).alias("record")).groupBy("agent_id", "page").agg(F.array_join(F.array_sort(F.collect_list("record")), ",").alias("records"))
+    return pages.select("agent_id", F.concat(F.lit('{"runs":['), "records", F.lit("]}")).alias("body"))
+
+
+def feedback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``feedback`` as response bodies."""
+    record = F.struct("run_id", "key", "score", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created_at"))
+    return feedback(spark, sf_dir).select("agent_id", F.concat(F.lit('{"feedback":['), F.to_json(record), F.lit("]}")).alias("body"))
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as runs whose payload holds the answer's text (judge input)."""
     d = table(spark, sf_dir, "documents")

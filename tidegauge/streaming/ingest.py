@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable
 from contextlib import suppress
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,39 +43,42 @@ class Tables:
         return f"{self.root}/{name}"
 
 
-def _store_faulty(bad: DataFrame, kind: str, at: str, tables: Tables) -> None:
-    """Rows that may not be stored, whole and with their faults (P11); rows without a time lie in 1970."""
+def _faulty(bad: DataFrame, kind: str, at: str) -> DataFrame:
+    """Rows that may not be stored, whole and with their faults; rows without a time lie in 1970."""
     texts = [F.col(c).cast("string").alias(c) if t == "variant" else F.col(c) for c, t in bad.dtypes if c not in ("faults", *STAMPS)]
     record = F.to_json(F.struct(*texts))
     run = F.col("run_id") if "run_id" in bad.columns else F.lit(None).cast("string")
     rows = bad.select(F.lit(kind).alias("kind"), "agent_id", run.alias("run_id"), F.coalesce(at, F.timestamp_seconds(F.lit(0))).alias("at"), "faults", record.alias("record"))
-    rows = rows.withColumn("id", F.sha2(F.concat("kind", "record"), 256))
-    store.upsert(rows, tables.quarantine, ["id", "at"], ["faults"], "at", "month")
+    return rows.withColumn("id", F.sha2(F.concat("kind", "record"), 256))
 
 
-def _store_unread(pages: DataFrame, field: str, tables: Tables) -> None:
-    """Bodies without records, whole."""
+def _unread(pages: DataFrame, field: str) -> DataFrame:
+    """Bodies without records, whole, as faulty rows."""
     bodies = records.unread(pages, field).select("agent_id", "body", F.lit(None).cast("timestamp").alias("at"), F.array(F.lit("body")).alias("faults"))
-    _store_faulty(bodies, "page", "at", tables)
+    return _faulty(bodies, "page", "at")
 
 
-def _store_observations(rows: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """Store a batch's observations; returns the good ones and the faulty ones, which read ``rows``."""
+def _quarantine(tables: Tables, *faulty: DataFrame) -> None:
+    """Keep faulty rows (P11); a row that comes again stays one."""
+    store.upsert(reduce(DataFrame.unionByName, faulty), tables.quarantine, ["id", "at"], ["faults"], "at", "month")
+
+
+def _store_observations(rows: DataFrame, tables: Tables, *faulty: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Store a batch's observations, and its ``faulty`` rows beside those of its own; returns the good ones and the faulty ones, which read ``rows``."""
     good, bad = ingest.quarantine(rows, ingest.observation_faults())
     store.upsert(good, tables.observations, ingest.OBSERVATION_KEYS, ingest.OBSERVATION_REPLACED, "occurred_at", "month")
-    _store_faulty(bad, "observation", "occurred_at", tables)
+    _quarantine(tables, _faulty(bad, "observation", "occurred_at"), *faulty)
     return good, bad
 
 
-def ingest_run_rows(rows: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
-    """One batch of flattened runs: runs, then their observations.  Returns the batch's summary, a scratch table."""
+def ingest_run_rows(rows: DataFrame, tables: Tables, kpis=SHIPPED, *faulty: DataFrame) -> DataFrame:
+    """One batch of flattened runs: runs, then their observations, and ``faulty`` rows that came with them.  Returns the batch's summary, a scratch table."""
     now = F.current_timestamp()
     flat = materialise(rows.select(*RUN_COLUMNS).withColumns(dict.fromkeys(STAMPS, now)), "runs-batch")
     good, bad = ingest.quarantine(flat, ingest.run_faults())
     store.upsert(good, tables.runs, ingest.RUN_KEYS, ingest.RUN_REPLACED, "start_time", "week")
-    _store_faulty(bad, "run", "start_time", tables)
     found = materialise(ingest.extract(good, kpis), "observations-batch")
-    seen, unfit = _store_observations(found, tables)
+    seen, unfit = _store_observations(found, tables, _faulty(bad, "run", "start_time"), *faulty)
     summary = materialise(ingest.batch_summary(good, seen, flat.limit(0), bad.select("agent_id").unionByName(unfit.select("agent_id"))), "summary")
     discard(flat, found)
     return summary
@@ -82,17 +86,15 @@ def ingest_run_rows(rows: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
 
 def ingest_runs(pages: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
     """One batch of run pages (agent_id, body): runs, then their observations (JB1).  Returns the batch's summary."""
-    _store_unread(pages, "runs", tables)
-    return ingest_run_rows(records.flatten_runs(pages), tables, kpis)
+    return ingest_run_rows(records.flatten_runs(pages), tables, kpis, _unread(pages, "runs"))
 
 
 def poll_runs(pages: DataFrame, tables: Tables, now: datetime, kpis=SHIPPED) -> DataFrame:
     """One poll of a source that answers with all it has: what the cursors say is due (ST2); they move on, or count a failure."""
     spark = pages.sparkSession
     try:
-        _store_unread(pages, "runs", tables)
         rows = cursors.due(records.flatten_runs(pages), cursors.read(spark, tables.cursors), "runs", now, "start_time")
-        summary = ingest_run_rows(rows, tables, kpis)
+        summary = ingest_run_rows(rows, tables, kpis, _unread(pages, "runs"))
     except Exception as e:
         cursors.failed(pages, tables.cursors, "runs", e, now)
         raise
@@ -107,7 +109,6 @@ def ingest_feedback(pages: DataFrame, tables: Tables, kpis=SHIPPED, reach_days:
     default: only weeks of runs within that reach are read, once, and of them only the key columns.
     """
     spark = pages.sparkSession
-    _store_unread(pages, "feedback", tables)
     news = records.flatten_feedback(pages)
     waiting = store.read_version(spark, tables.pending, PENDING)
     rows = materialise(records.last_scores(waiting.unionByName(news), "created_at"), "feedback-batch")
@@ -119,7 +120,7 @@ def ingest_feedback(pages: DataFrame, tables: Tables, kpis=SHIPPED, reach_days:
     met = materialise(rows.join(runs.drop("part"), ["agent_id", "run_id"], "left"), "feedback-met")
     matched, lost = met.where("start_time is not null"), met.where("start_time is null").drop("start_time")
     found = materialise(ingest.imported(matched, definitions(spark, kpis)), "observations-batch")
-    seen, unfit = _store_observations(found, tables)
+    seen, unfit = _store_observations(found, tables, _unread(pages, "feedback"))
     store.write_version(lost.select("agent_id", "run_id", "key", "score", "created_at"), tables.pending)
     stamped = matched.select("agent_id", F.col("created_at").alias("start_time"))  # feedback's watermark is the newest matched one
     summary = ingest.batch_summary(stamped, seen, lost, unfit).withColumn("runs", F.lit(0).cast("long"))
@@ -162,7 +163,7 @@ def store_buckets(rows: DataFrame, tables: Tables, recomputed: Iterable[tuple[st
     made = materialise(rows, "buckets-made")
     good, bad = ingest.quarantine(made, ingest.rollup_faults())
     if not bad.isEmpty():
-        _store_faulty(bad.withColumn("run_id", F.lit(None).cast("string")), "bucket", "bucket_start", tables)
+        _quarantine(tables, _faulty(bad, "bucket", "bucket_start"))
     touched = store.overwrite_buckets(good, tables.rollups, recomputed)
     heads.refresh(spark, tables.rollups, tables.heads, touched)
     discard(made)
