@@ -1,5 +1,8 @@
 """Neighbour search and page extraction against brute force."""
 
+import html.parser
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +145,83 @@ def test_marks_hide_nothing_of_the_main_text(source, want):
     assert kept(found) == want
 
 
+CONTRACT = [
+    ("<form id=aspnetForm><div class='ad'>buy</div><main><p>text</p></main></form>", "text"),
+    ("<article><header><h1>Title</h1><p>lede</p></header><p>text</p><header>by someone</header></article>", "Title\n\nlede\n\ntext"),
+    ("<header><h1>Site</h1></header><article><p>text</p></article>", "text"),
+    *[(f"<article><p>text</p><{tag} class='{name}'><p>gone</p></{tag}></article>", "text") for tag, name in (
+        ("article", "comment"), ("div", "comment-body"), ("div", "comments-area"), ("ol", "commentlist"), ("div", "ad-container"), ("ins", "adsbygoogle"), ("div", "sponsored-content"),
+        ("div", "social-share-buttons"), ("div", "newsletter-signup"), ("div", "related-posts"), ("section", "comments"), ("div", "cookie-notice"), ("section", "related"), ("div", "comment-4711"))],
+    *[(f"<article><p>text</p><{tag}>stays</{end}></article>", "text\n\nstays") for tag, end in (
+        ("section id='related'", "section"), ("div id='search'", "div"), ("p id='form'", "p"), ("p class='alert'", "p"), ("li class='reply'", "li"), ("div class='has-sidebar'", "div"), ("div class='social-impact'", "div"), ("div class='no-comments'", "div"))],
+    ("<article><section id='comments'>gone</section><p>text</article>", "text"),
+    ("<p title=don't>Hello <b>it's</b> done</p>", "Hello it's done"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</p></article>", "Let x=2 be."),
+    ("<article><p data-x='a>b' class=\"c>d\">a < b and 1<2</p></article>", "a < b and 1<2"),
+    ("<article><p>before <a href=\"never closed>link</a> and after</p></article>", "before link and after"),
+    ("<article><p>a <em class='ad'>b</em> c<!-- open", "a\n\nc"),
+    ("<article>one<script>x</scripty></script >two<style>y</style/>three</article>", "onetwothree"),
+]
+
+
+@pytest.mark.parametrize("source,want", CONTRACT)
+def test_main_text_by_contract(source, want):
+    assert kept(html_text.blocks(source)) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a href=\"x ", "<a href=\"x> text \" ", "<div>", "<div><li></li>", "<!--", "<!", "<script>", "</script ", "<a =", "</x>", "<b><p>", "<td><b>", "<article>", "<header><h1>", "<table><p>", "<p a='", "<", "<form><li>", "</div><div>"])
+@pytest.mark.parametrize("start", ["", "<p><table><td>", "<li><ul>", "<script>"])
+def test_malformed_pages_take_time_in_proportion(piece, start):
+    began = time.process_time()
+    html_text.blocks(start + piece * (500_000 // len(piece)) + ">")
+    assert time.process_time() - began < 4
+
+
+class Reader(html.parser.HTMLParser):
+    """Text by the given pages' own rules, read by Python's parser: an article's paragraphs and headings, and nothing else."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.texts = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.texts.append("")
+        elif tag == "br":
+            self.texts[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.texts.append("")
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.texts[-1] += data
+
+    def text(self):
+        return "\n\n".join(filter(None, (" ".join(t.split()) for t in self.texts)))
+
+
+def test_exact_text_of_every_given_page(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(rows).collect()}
+    for r in rows.collect():
+        reader = Reader()
+        reader.feed(r["html"] or "")
+        reader.close()
+        assert got[r["page_id"]] == reader.text()
+
+
+def test_the_array_decides_on_telltale_text_of_articles(spark):
+    shared = "our partners bring you these fine offers every day"
+    rows = [(i, f"http://h.example/{i}", f"<article><p>text {i}</p><div class='sponsored-by-us'>{shared if i < 3 else f'own words number {i} in a box of that class'}</div></article>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    assert got == {i: f"text {i}" if i < 3 else f"text {i}\n\nown words number {i} in a box of that class" for i in range(5)}
+
+
 def brute_cover(streams, run, pages):
     where = {}
     for p, s in enumerate(streams):
