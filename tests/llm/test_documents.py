@@ -440,6 +440,32 @@ def test_language_against_plain_counts(spark, monkeypatch, portion):
         assert row.lang_pred == lang or abs(score - 0.5) < 1e-5
 
 
+def test_the_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    plain = langid.materialise
+    monkeypatch.setattr(langid, "materialise", lambda df, name: seen.append(df) or plain(df, name))
+
+    def fitted(rows, **more):
+        seen.clear()
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), **more)
+        return {(r["lang"], r["word"]): r["n"] for r in seen[0].collect()}
+
+    letters = [a + b + c for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    for ids in (lambda i: None, lambda i: 7, lambda i: i):  # no id, one id for all, ids of their own
+        counts = fitted([(ids(i), w, "x") for i, w in enumerate(letters)] + [(ids(i), w, "y") for i, w in enumerate(letters[:30])], max_rows=50)
+        assert 20 <= sum(n for (lang, _), n in counts.items() if lang == "x") <= 50
+        assert sum(n for (lang, _), n in counts.items() if lang == "y") == 30
+    counts = fitted([(1, "same words here", "x")] * 500 + [(i, f"other {w}", "x") for i, w in enumerate(letters)] + [(None, None, "x"), (3, "text", None)], max_rows=2000)
+    assert counts["x", "same"] == 1 and counts["x", "other"] == len(letters)
+
+
+def test_many_languages(spark):
+    rows = [(i * 10 + k, f"{chr(97 + i % 26)}{chr(97 + i // 26)}word common{'xyz'[k % 3]} own{chr(97 + i % 26)}{chr(97 + i // 26)}", f"l{i:03}") for i in range(120) for k in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 120 and len(model.words.scores) < 120 * len(model.words.hashes) / 10
+    assert [model.predict(f"own{chr(97 + i % 26)}{chr(97 + i // 26)} commonx")[0] for i in (0, 50, 119)] == ["l000", "l050", "l119"]
+
+
 def test_clean_short_documents_stay(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = corpus_pipeline.language(spark, docs, small)

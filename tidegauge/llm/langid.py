@@ -11,16 +11,19 @@ The score of a judgement, 0 to 1, is the winner's share of all languages'
 likelihoods, each tempered: ten to the power of its mean word score times the
 square root of the number of words, since words of a text are not independent.
 
-The model is fitted on at most about ``max_rows`` labelled rows per language
-(chosen by a hash of the id) and holds every word and n-gram of them, so its
-size, and that of its broadcast, is bounded by those rows and does not grow
-with the table.  Word and n-gram counts are distributed aggregations.
+The model is fitted on at most ``max_rows`` labelled rows per language: those
+whose id and text together have the least hashes, where rows that repeat both
+count as one.  It holds every word and n-gram of them, each with the languages
+that know it only, so its size, and that of its broadcast, follows the distinct
+words and n-grams of those rows, not the table and not the number of languages.
+Word and n-gram counts are distributed aggregations.
 
 Defined cases: null text and text without a letter give ``und`` with score 0;
 so does every text if there is no labelled row; ties go to the language first
 by code point; rows are judged one by one and whole, however long, so repeats
 agree; an empty table gives an empty result; extra columns pass through
-untouched.
+untouched.  In a fit, rows without an id are drawn by their text, rows that share an
+id each by their own, and rows without text or language are left out.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidegauge.llm.tokens import portions
 from tidegauge.sources.scratch import discard, materialise
@@ -69,30 +72,47 @@ def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
 
 
 class Table:
-    """Sorted hashes of keys and, for each, one score per language."""
+    """Sorted hashes of keys and, for each, the languages that know it with their scores, one key after the other."""
 
-    def __init__(self, hashes: np.ndarray, scores: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.scores = hashes[order], scores[order].astype(np.float32)
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, langs: np.ndarray, scores: np.ndarray):
+        self.hashes, self.starts, self.langs, self.scores = hashes, starts, langs, scores
+
+    @classmethod
+    def empty(cls) -> Table:
+        return cls(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
 
     @classmethod
-    def of_counts(cls, counts: pa.Table, langs: list[str], penalty: float, hashed: Callable[[list[str]], np.ndarray]) -> Table:
-        """From rows (lang, key, n): log10 of relative frequencies, ``penalty`` where unseen."""
+    def of_counts(cls, counts: pa.Table, langs: list[str], hashed: Callable[[list[str]], np.ndarray]) -> Table:
+        """From rows (lang, key, n): log10 of relative frequencies."""
+        if not counts.num_rows:
+            return cls.empty()
         keys = counts["key"].combine_chunks().dictionary_encode()
         lang = np.searchsorted(np.array(langs, dtype=object), counts["lang"].to_numpy())
         n = counts["n"].to_numpy().astype(np.float64)
-        scores = np.full((len(keys.dictionary), len(langs)), penalty)
-        if len(n):
-            scores[keys.indices.to_numpy(), lang] = np.log10(n / np.bincount(lang, n, len(langs))[lang])
-        return cls(hashed(keys.dictionary.to_pylist()), scores)
+        scores = np.log10(n / np.bincount(lang, n, len(langs))[lang]).astype(np.float32)
+        hashes = hashed(keys.dictionary.to_pylist())
+        order = np.argsort(hashes)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        at = place[keys.indices.to_numpy()]
+        rows = np.argsort(at, kind="stable")
+        return cls(hashes[order], np.r_[0, np.cumsum(np.bincount(at, minlength=len(order)))], lang[rows].astype(np.int32), scores[rows])
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the hashes, and which of them are known."""
+        """Places of the hashes, and which of them are known."""
         if not len(self.hashes):
             return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return at, self.hashes[at] == hashes
 
+    def sums(self, at: np.ndarray, owner: np.ndarray, owners: int, langs: int, penalty: float) -> np.ndarray:
+        """Scores of the keys at these places added up per owner and language; what a language has not seen scores ``penalty``."""
+        sizes = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(sizes)
+        each = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)
+        known = np.bincount(np.repeat(owner, sizes) * langs + self.langs[each], self.scores[each] - penalty, owners * langs)
+        return known.reshape(owners, langs) + penalty * np.bincount(owner, minlength=owners)[:, None]
+
 
 class Model:
     """Per-language scores of words and n-grams."""
@@ -116,8 +136,7 @@ class Model:
             owner, at = owner[: len(hashes)][inside][known], at[known]
             hits = np.bincount(owner, minlength=len(some))
             done = hits > 0
-            for lang in range(len(self.langs)):
-                out[todo[done], lang] = np.bincount(owner, self.grams[n - 1].scores[at, lang], len(some))[done] / hits[done]
+            out[todo[done]] = (self.grams[n - 1].sums(at, owner, len(some), len(self.langs), self.penalty)[done]) / hits[done][:, None]
             todo = todo[~done]
             if not len(todo):
                 break
@@ -127,7 +146,7 @@ class Model:
         """Scores of distinct words."""
         at, known = self.words.find(word_hashes(words))
         out = np.empty((len(words), len(self.langs)))
-        out[known] = self.words.scores[at[known]]
+        out[known] = self.words.sums(at[known], np.arange(known.sum()), int(known.sum()), len(self.langs), self.penalty)
         out[~known] = self.unseen([words[i] for i in np.flatnonzero(~known).tolist()])
         return out
 
@@ -181,12 +200,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = 1000, penal
     sizes = rows.groupBy("lang").count().collect()  # one row per language
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        none = Table(np.zeros(0, np.uint64), np.zeros((0, 0)))
-        return Model([], none, [none] * LONGEST, penalty)
-    # a share of each language's rows that leaves about max_rows of them
+        return Model([], Table.empty(), [Table.empty()] * LONGEST, penalty)
+    # a share of each language's rows that leaves about max_rows of them; of these one of each id and text, and no more than max_rows
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(max_rows / r["count"]))])
-    draw = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) / 1_000_000.0
-    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text")
+    rows = rows.select("lang", "text", F.xxhash64(F.col(id_col), F.col("text")).alias("draw"))
+    drawn = rows.where(F.pmod("draw", F.lit(1_000_000)) / 1_000_000.0 < share[F.col("lang")])
+    once = drawn.groupBy("lang", "draw").agg(F.max("text").alias("text"))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))  # about max_rows rows a language
+    sample = once.withColumn("place", least).where(F.col("place") <= max_rows).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "word-counts")
     words = counts.select("lang", F.col("word").alias("key"), "n").toArrow()
@@ -196,9 +217,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = 1000, penal
 
     def table(n: int) -> Table:
         # keys have n code points each: of their joined text every n-th run is one
-        return Table.of_counts(grams.filter(pa.array(size == n)), langs, penalty, lambda keys: gram_hashes(_points("".join(keys)), n)[::n])
+        return Table.of_counts(grams.filter(pa.array(size == n)), langs, lambda keys: gram_hashes(_points("".join(keys)), n)[::n])
 
-    model = Model(langs, Table.of_counts(words, langs, penalty, word_hashes), [table(n) for n in range(1, LONGEST + 1)], penalty)
+    model = Model(langs, Table.of_counts(words, langs, word_hashes), [table(n) for n in range(1, LONGEST + 1)], penalty)
     del words, grams, size
     pa.default_memory_pool().release_unused()
     discard(counts)
