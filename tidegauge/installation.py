@@ -21,7 +21,7 @@ from tidegauge.operators.ingest import OBSERVATION_KEYS
 from tidegauge.plans import kpis
 from tidegauge.sources import records, store, tables
 from tidegauge.sources.scratch import scratch_path
-from tidegauge.streaming import cursors, ingest, jobs, matching
+from tidegauge.streaming import changes, cursors, ingest, jobs, matching
 from tidegauge.streaming.ingest import Tables
 
 NOW = datetime(2024, 1, 31)
@@ -218,8 +218,22 @@ def judge_backfill(spark: SparkSession, d: str) -> DataFrame:
     return seen.unionByName(left.select("agent_id", "run_id", F.lit(TONE.slug).alias("kpi_slug"), F.lit(None).cast("double").alias("value"), F.lit("unjudged").alias("source"), F.lit(None).cast("string").alias("judge_model"), F.col("start_time").alias("occurred_at")))
 
 
+def changes_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of the 29th, then of all data, then those again, through the change feed: what it publishes after the first."""
+    base = spark.read.parquet(made(spark, d).rollups).where("granularity = 'hour'").drop("bucket_date")
+    agents, defs = base.select("agent_id").distinct(), kpis.definitions(spark)
+    path, out, check = scratch_path(spark, "readings"), scratch_path(spark, "published"), scratch_path(spark, "published-check")
+    days = (datetime(2024, 1, 29), NOW, NOW)
+    for step, day in enumerate(days):
+        rows = read.latest(base.where(F.col("bucket_start") < store.instant(day)), agents, defs).select("agent_id", "kpi_slug", "at", "value", "status", store.instant(day).alias("computed_at"))
+        rows.coalesce(1).write.mode("append").parquet(path)
+        news = changes.published(spark.readStream.schema(changes.READING).parquet(path))
+        news.writeStream.foreachBatch(lambda df, _, step=step: df.withColumn("step", F.lit(step)).write.mode("append").parquet(out)).option("checkpointLocation", check).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).where("step > 0").drop("step", "computed_at")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [payload_whole, kpi_added, feedback_files, runs_reimported, cursor_table, poll_due, orphans_streamed, derived_registry, overview_stored, series_stored, judge_backfill]
+    named = [payload_whole, kpi_added, feedback_files, runs_reimported, cursor_table, poll_due, orphans_streamed, changes_streamed, derived_registry, overview_stored, series_stored, judge_backfill]
 
     def tidy(query: Callable) -> Callable:
         def run(spark: SparkSession, d: str) -> DataFrame:

@@ -177,6 +177,10 @@ STAGED = {
 }
 
 
+CHANGED = """SELECT n.agent_id, n.kpi_slug, n.at, round(n.value, 6) + 0 AS value, n.status FROM published n JOIN published t ON t.w = 'then' AND n.w = 'now' AND t.agent_id = n.agent_id AND t.kpi_slug = n.kpi_slug
+            WHERE n.at IS DISTINCT FROM t.at OR n.value IS DISTINCT FROM t.value OR n.status <> t.status"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "runs_flat": FLAT,
@@ -324,11 +328,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT agent_id, kpi_slug, at, sample_n, population_n, sample_n >= min_sample_n AS adequate, round(sample_n / nullif(population_n, 0), 6) AS coverage FROM points JOIN defs USING (kpi_slug)", _rollups(["day"])
         ),
         "freshness": _with("SELECT agent_id, max(start_time) AS computed_at, CAST(epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(start_time))) AS BIGINT) AS age, epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(start_time))) > 120 AS stale FROM runs GROUP BY agent_id"),
-        "change_feed": _with(
-            """SELECT n.agent_id, n.kpi_slug, n.at, round(n.value, 6) + 0 AS value, n.status FROM published n JOIN published t ON t.w = 'then' AND n.w = 'now' AND t.agent_id = n.agent_id AND t.kpi_slug = n.kpi_slug
-            WHERE n.at IS DISTINCT FROM t.at OR n.value IS DISTINCT FROM t.value OR n.status <> t.status""",
-            _rollups(["hour"]), STAGED,
-        ),
+        "change_feed": _with(CHANGED, _rollups(["hour"]), STAGED),
         "series_json": _with(
             """SELECT p.agent_id, kpi_slug, CAST(count(*) AS INTEGER) AS n_points, CAST(epoch(min(at)) AS BIGINT) AS first_t, CAST(sum(epoch(at)) AS DOUBLE) AS sum_t, round(sum(value), 6) + 0 AS sum_v,
             CASE any_value(direction) WHEN 'lower_is_better' THEN 'good,warning,critical' WHEN 'higher_is_better' THEN 'critical,warning,good' ELSE 'critical,warning,good,warning,critical' END AS band_states,

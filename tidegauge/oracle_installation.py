@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tidegauge.oracle import ALL, CLASS, LATEST, PARTS, SERIES, SIDES, _rollups, _series, _with
+from tidegauge.oracle import ALL, CHANGED, CLASS, LATEST, PARTS, SERIES, SIDES, STAGED, _rollups, _series, _with
 
 NO_OVERRIDES = PARTS["own"].replace("FROM (SELECT DISTINCT", "FROM (SELECT * FROM (SELECT DISTINCT").replace("n FROM runs)", "n FROM runs) WHERE false)")
 
@@ -48,6 +48,11 @@ GRADED = """SELECT *, CASE m WHEN 0 THEN 1.0 WHEN 6 THEN 1.0 WHEN 1 THEN 0.75 WH
     SELECT source AS agent_id, CAST(doc_id AS VARCHAR) AS run_id, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 60) AS start_time, text, (length(text) + length('Grade the tone of this answer from A to D.') + 2) % 7 AS m FROM documents)"""
 
 
+def oracle_change_feed() -> str:
+    """Readings that differ from those of the 29th (the stream publishes what a comparison of snapshots finds)."""
+    return _with(CHANGED, _rollups(["hour"]), STAGED)
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "payload_whole": _with(
@@ -76,6 +81,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT agent_id, run_id, key, round(score::DOUBLE, 6) + 0, created_at, NULL FROM feedback f
             WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.agent_id = f.agent_id AND r.run_id = f.run_id) AND created_at < (SELECT max(start_time) - INTERVAL 2 DAY FROM runs)"""
         ),
+        "changes_streamed": oracle_change_feed(),
         "derived_registry": _with(
             """SELECT agent_id, kpi_slug, TIMESTAMP '2024-01-31' AS bucket_start, 1::BIGINT AS count, round(value, 6) + 0 AS sum, round(value, 6) + 0 AS p95, nc AS sample_n, nb AS population_n, round(value, 6) + 0 AS read_value,
             CASE WHEN value <= warning THEN 'good' WHEN value <= critical THEN 'warning' ELSE 'critical' END AS status FROM derived""",
