@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.llm import exact_dedup, jaccard, langid, mixing, packing
 from tidegauge.llm.queries import vocabulary
-from tidegauge.sources.scratch import materialise
+from tidegauge.sources.scratch import discard, materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)  # a stage's copy of the corpus goes once the next one is written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -73,6 +73,41 @@ def test_sharding(spark, odd, none):
     assert shard.shard_rows(none, 5, 16).count() == 0
 
 
+@pytest.mark.parametrize("shards,vnodes", [(5, 16), (3, 2), (7, 1)])
+def test_placement_row_by_row(spark, odd, shards, vnodes):
+    """Every row walks the ring clockwise from its place until a shard has room; rows on their own arcs come first."""
+    many = odd.select("doc_id", "text").unionByName(spark.range(1000, 1600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text")))
+    rows = many.select("doc_id", "text", shard._position("doc_id", "text").alias("pos")).collect()
+    arcs = shard.ring(shards, vnodes)
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    on_arc = defaultdict(list)
+    for r in rows:
+        cell = r["pos"] % shard.CELLS
+        data = (r["text"] or "").encode()
+        arc = next(i for i, (lo, hi, _) in enumerate(arcs) if lo <= cell <= hi)
+        on_arc[arc].append((r["pos"], (r["doc_id"] is not None, r["doc_id"] or 0), zlib.crc32(data), len(data) + 8, r["doc_id"]))
+    filled, want, waiting = [0] * shards, [], []
+
+    def put(row, s):
+        want.append((row[4], row[3], row[2], s, filled[s]))
+        filled[s] += 1
+
+    for arc in range(len(arcs)):
+        for row in sorted(on_arc[arc]):
+            s = arcs[arc][2]
+            if filled[s] < room[s]:
+                put(row, s)
+            else:
+                waiting.append((arc, row))
+    for arc, row in waiting:
+        at = arc
+        while filled[arcs[at][2]] >= room[arcs[at][2]]:
+            at = (at + 1) % len(arcs)
+        put(row, arcs[at][2])
+    got = [tuple(r) for r in shard.shard_rows(many, shards, vnodes).select("doc_id", "size", "text_crc32", "shard", "slot").collect()]
+    assert Counter(got) == Counter(want)
+
+
 def test_ring_keeps_nodes_and_moves_little(spark):
     before, after = shard.ring(24, 64), shard.ring(25, 64)
     assert sum(hi - lo + 1 for lo, hi, _ in before) == shard.CELLS
