@@ -16,7 +16,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.functions import parse
-from tidegauge.operators import judge, read
+from tidegauge.operators import drift, judge, read, sketches
 from tidegauge.operators.ingest import OBSERVATION_KEYS
 from tidegauge.plans import kpis
 from tidegauge.sources import records, store, tables
@@ -232,8 +232,52 @@ def changes_streamed(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).where("step > 0").drop("step", "computed_at")
 
 
+def drift_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Drift as of every midnight of twelve days, in one plan."""
+    rollups = spark.read.parquet(made(spark, d).rollups).drop("bucket_date")
+    drifts = [k for k in REGISTRY if k.kind == "derived" and not k.compute and len(k.depends_on) == 1]
+    return drift.derive_registry(rollups, kpis.definitions(spark), store.instant(NOW), drifts, since=store.instant(datetime(2024, 1, 20)))
+
+
+def _near(buckets: DataFrame, observations: DataFrame, width: str, error: float = 0.025) -> DataFrame:
+    """Buckets with exact statistics, and whether the ranks of the others are within ``error`` of what they stand for."""
+    keys = ["agent_id", "kpi_slug", "bucket_start"]
+    rows = observations.withColumn("bucket_start", F.date_trunc(width, "occurred_at")).join(buckets.select(*keys, "p50", "p95", "p99", "distinct_count"), keys)
+    near = [((F.count_if(F.col("value") < F.col(c)) / F.count("*") <= p + error) & (F.count_if(F.col("value") <= F.col(c)) / F.count("*") >= p - error)).alias(f"{c}_near") for c, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    some = (F.abs(F.max("distinct_count") / F.countDistinct("value") - 1) <= 0.06).alias("distinct_near")
+    checked = rows.groupBy(*keys).agg(*near).join(rows.groupBy(*keys).agg(some), keys)
+    return buckets.select(*keys, "count", "sum", "min", "max").join(checked, keys)
+
+
+def sketched_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Months of sketches merged from sketched days."""
+    seen = spark.read.parquet(made(spark, d).observations)
+    months = sketches.merge(sketches.merge(sketches.sketch(seen, "hour"), "day"), "month")
+    return _near(sketches.read(months), seen, "month")
+
+
+def sketches_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """Days of a stream of observations as sketches of constant size; only closed windows appear."""
+    path, out, check = made(spark, d).observations, scratch_path(spark, "sketches"), scratch_path(spark, "sketches-check")
+    seen = spark.read.parquet(path)
+    days = sketches.sketch_stream(spark.readStream.schema(seen.schema).parquet(path), "1 day")
+    days.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return _near(sketches.read(spark.read.schema(days.schema).parquet(out)), seen, "day")
+
+
+def replays_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that a stream passes on from files, then from the same files again beside new ones."""
+    path, out, check = scratch_path(spark, "run-pages"), scratch_path(spark, "passed"), scratch_path(spark, "passed-check")
+    pages = tables.whole_run_pages(spark, d).select("agent_id", "body")
+    for step, rows in enumerate((pages.where("agent_id != 'agent-4'"), pages)):
+        rows.write.mode("append").partitionBy("agent_id").text(path)
+        fresh = records.new_runs(records.stream_pages(spark, path))
+        fresh.writeStream.foreachBatch(lambda df, _, step=step: df.select("agent_id", "run_id", F.lit(step).alias("step")).write.mode("append").parquet(out)).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("step", "agent_id").agg(F.count("*").alias("runs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [payload_whole, kpi_added, feedback_files, runs_reimported, cursor_table, poll_due, orphans_streamed, changes_streamed, derived_registry, overview_stored, series_stored, judge_backfill]
+    named = [payload_whole, kpi_added, feedback_files, runs_reimported, cursor_table, poll_due, orphans_streamed, changes_streamed, drift_daily, sketched_rollup, sketches_streamed, replays_dropped, derived_registry, overview_stored, series_stored, judge_backfill]
 
     def tidy(query: Callable) -> Callable:
         def run(spark: SparkSession, d: str) -> DataFrame:

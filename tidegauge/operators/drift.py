@@ -14,6 +14,21 @@ from tidegauge.operators.rollup import bucket_value
 MIN_POINTS, PER_BIN, FEWEST, MOST, FLOOR = 30, 20, 2, 10, 1e-6
 
 
+def _sourced(rows: DataFrame, definitions: DataFrame, sources: dict[str, tuple[str, ...]], *kept: str) -> DataFrame:
+    """Buckets on their ``side`` as the values of the derived KPIs that need them."""
+    rows = rows.join(F.broadcast(definitions.select("kpi_slug", "aggregation", "direction", "thresholds")), "kpi_slug")
+    rows = rows.withColumn("value", bucket_value(F.col("aggregation"))).where("value is not null")
+    needed = sorted({n for needs in sources.values() for n in needs})
+    derived = F.create_map(*[x for n in needed for x in (F.lit(n), F.array(*[F.lit(s) for s, d in sources.items() if n in d]))])
+    rows = rows.withColumnRenamed("kpi_slug", "source_slug").withColumn("kpi_slug", F.explode(derived[F.col("source_slug")]))
+    good = classify(F.col("direction"), F.col("thresholds"), F.col("value")) == "good"
+    return rows.select("agent_id", "kpi_slug", *kept, "source_slug", F.col("bucket_start").alias("at"), "side", "value", (good | (F.col("side") == "current")).alias("healthy"))
+
+
+def _hours(rollups: DataFrame) -> DataFrame:
+    return rollups.where((F.col("granularity") == "hour") & (F.col("count") > 0))
+
+
 def windows(rollups: DataFrame, definitions: DataFrame, as_of: Column, sources: dict[str, tuple[str, ...]], current_days: int = 7, baseline_days: int = 30) -> DataFrame:
     """Hourly values of each derived KPI's sources, on the side they belong to.
 
@@ -22,16 +37,28 @@ def windows(rollups: DataFrame, definitions: DataFrame, as_of: Column, sources:
     value is healthy if it is good by the source's own default thresholds.
     """
     day = lambda n: F.timestamp_seconds(F.unix_timestamp(as_of) - n * 86400)
-    rows = rollups.where((F.col("granularity") == "hour") & (F.col("count") > 0))
-    rows = rows.where((F.col("bucket_start") >= day(current_days + baseline_days)) & (F.col("bucket_start") < as_of))
+    rows = _hours(rollups).where((F.col("bucket_start") >= day(current_days + baseline_days)) & (F.col("bucket_start") < as_of))
     rows = rows.withColumn("side", F.when(F.col("bucket_start") >= day(current_days), "current").otherwise("baseline"))
-    rows = rows.join(F.broadcast(definitions.select("kpi_slug", "aggregation", "direction", "thresholds")), "kpi_slug")
-    rows = rows.withColumn("value", bucket_value(F.col("aggregation"))).where("value is not null")
-    needed = sorted({n for needs in sources.values() for n in needs})
-    derived = F.create_map(*[x for n in needed for x in (F.lit(n), F.array(*[F.lit(s) for s, d in sources.items() if n in d]))])
-    rows = rows.withColumnRenamed("kpi_slug", "source_slug").withColumn("kpi_slug", F.explode(derived[F.col("source_slug")]))
-    good = classify(F.col("direction"), F.col("thresholds"), F.col("value")) == "good"
-    return rows.select("agent_id", "kpi_slug", "source_slug", F.col("bucket_start").alias("at"), "side", "value", (good | (F.col("side") == "current")).alias("healthy"))
+    return _sourced(rows, definitions, sources)
+
+
+def daily_windows(rollups: DataFrame, definitions: DataFrame, first: Column, last: Column, sources: dict[str, tuple[str, ...]], current_days: int = 7, baseline_days: int = 30) -> DataFrame:
+    """The same for windows that end at each midnight from ``first`` to ``last``, with that as ``as_of`` (ST7).
+
+    Every hour is read once and dealt to the days whose windows it lies in.
+    """
+    begins = F.date_trunc("day", "bucket_start")
+    back = current_days + baseline_days
+    rows = _hours(rollups).where((F.col("bucket_start") >= F.date_trunc("day", first) - F.make_dt_interval(days=F.lit(back))) & (F.col("bucket_start") < last))
+    ends = F.sequence(begins + F.make_dt_interval(days=F.lit(1)), begins + F.make_dt_interval(days=F.lit(back)), F.expr("interval 1 day"))
+    rows = rows.withColumn("as_of", F.explode(ends)).where((F.col("as_of") >= first) & (F.col("as_of") <= last))
+    rows = rows.withColumn("side", F.when(F.col("as_of") <= begins + F.make_dt_interval(days=F.lit(current_days)), "current").otherwise("baseline"))
+    return _sourced(rows, definitions, sources, "as_of")
+
+
+def _ends(sides: DataFrame) -> list[str]:
+    """The column that tells windows apart, if there is more than one."""
+    return ["as_of"] if "as_of" in sides.columns else []
 
 
 def psi(sides: DataFrame) -> DataFrame:
@@ -42,7 +69,8 @@ def psi(sides: DataFrame) -> DataFrame:
     A window holds one value per hour and source (168 and 720 by default), whatever
     the traffic, so its list is small.  Too few points or a constant baseline give no row.
     """
-    keys = ["agent_id", "kpi_slug", "source_slug"]
+    ends = _ends(sides)
+    keys = ["agent_id", "kpi_slug", *ends, "source_slug"]
     kept = sides.where("healthy")
     lists = kept.groupBy(*keys).agg(
         F.collect_list(F.when(F.col("side") == "current", F.col("value"))).alias("cur"),
@@ -59,7 +87,7 @@ def psi(sides: DataFrame) -> DataFrame:
     total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + (p["a"] - p["e"]) * F.ln(p["a"] / p["e"]))
     found = rows.select(*keys, total.alias("value"), "nc", "nb", "bins")
     worst = F.min_by(F.struct("value", "nc", "nb", "bins"), F.struct((-F.col("value")).alias("v"), "source_slug"))
-    return found.groupBy("agent_id", "kpi_slug").agg(worst.alias("w")).select("agent_id", "kpi_slug", "w.*")
+    return found.groupBy("agent_id", "kpi_slug", *ends).agg(worst.alias("w")).select("agent_id", "kpi_slug", *ends, "w.*")
 
 
 def excluded(sides: DataFrame) -> DataFrame:
@@ -77,30 +105,38 @@ def derive(sides: DataFrame, compute: Callable[[dict, dict], float | None] | dic
     value per source, so a group is small.  None skips the agent; the lists are in order of time.
     """
     of = compute.get if isinstance(compute, dict) else lambda slug: compute
+    ends = _ends(sides)
+    shape = ", ".join(f"{c} {t}" for c, t in sides.select("agent_id", "kpi_slug", *ends).dtypes) + ", value double, nc long, nb long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
         lists = {s: {k: g["value"].tolist() for k, g in pdf[pdf["side"] == s].groupby("source_slug")} for s in ("current", "baseline")}
         first, n = pdf.iloc[0], pdf["side"].value_counts()
         value = of(first["kpi_slug"])(lists["current"], lists["baseline"])
-        rows = [] if value is None else [(first["agent_id"], first["kpi_slug"], float(value), int(n.get("current", 0)), int(n.get("baseline", 0)))]
-        return pd.DataFrame(rows, columns=["agent_id", "kpi_slug", "value", "nc", "nb"])
+        names = ["agent_id", "kpi_slug", *ends]
+        rows = [] if value is None else [(*first[names], float(value), int(n.get("current", 0)), int(n.get("baseline", 0)))]
+        return pd.DataFrame(rows, columns=[*names, "value", "nc", "nb"])
 
-    return sides.where("healthy").groupBy("agent_id", "kpi_slug").applyInPandas(run, VALUES)
+    return sides.where("healthy").groupBy("agent_id", "kpi_slug", *ends).applyInPandas(run, shape)
 
 
-def derive_registry(rollups: DataFrame, definitions: DataFrame, as_of: Column, kpis, current_days: int = 7, baseline_days: int = 30) -> DataFrame:
+def derive_registry(rollups: DataFrame, definitions: DataFrame, as_of: Column, kpis, current_days: int = 7, baseline_days: int = 30, since: Column | None = None) -> DataFrame:
     """Values of every derived KPI of a registry for the windows that end at ``as_of`` (X1, X4, JB3).
 
-    Those without a function of their own are distribution drift, computed relationally; the others share one grouped pass.
+    With ``since``, for those that end at each midnight from then to ``as_of``, in
+    one plan, told apart by a column ``as_of``.  Those without a function of their own
+    are distribution drift, computed relationally; the others share one grouped pass.
     """
     sources = {k.slug: k.depends_on for k in kpis if k.depends_on}
     if not sources:
-        return rollups.sparkSession.createDataFrame([], VALUES)
+        return rollups.sparkSession.createDataFrame([], VALUES if since is None else f"{VALUES}, as_of timestamp")
     own = {k.slug: k.compute for k in kpis if k.compute}
-    sides = windows(rollups, definitions, as_of, sources, current_days, baseline_days)
+    if since is None:
+        sides = windows(rollups, definitions, as_of, sources, current_days, baseline_days)
+    else:
+        sides = daily_windows(rollups, definitions, since, as_of, sources, current_days, baseline_days)
     values = psi(sides.where(~F.col("kpi_slug").isin(*own)) if own else sides)
-    values = values.select("agent_id", "kpi_slug", "value", F.col("nc").cast("long"), F.col("nb").cast("long"))
+    values = values.select("agent_id", "kpi_slug", *_ends(sides), "value", F.col("nc").cast("long"), F.col("nb").cast("long"))
     return values.unionByName(derive(sides.where(F.col("kpi_slug").isin(*own)), own)) if own else values
 
 

@@ -48,6 +48,25 @@ GRADED = """SELECT *, CASE m WHEN 0 THEN 1.0 WHEN 6 THEN 1.0 WHEN 1 THEN 0.75 WH
     SELECT source AS agent_id, CAST(doc_id AS VARCHAR) AS run_id, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 60) AS start_time, text, (length(text) + length('Grade the tone of this answer from A to D.') + 2) % 7 AS m FROM documents)"""
 
 
+DAYS = [f"2024-01-{n}" for n in range(20, 32)]
+
+
+def _daily() -> dict[str, str]:
+    """Drift as of each of some days."""
+    out = {}
+    for day in DAYS:
+        at = f"TIMESTAMP '{day}'"
+        sides = SIDES["sides"].replace("TIMESTAMP '2024-01-24'", f"{at} - INTERVAL 7 DAY").replace("TIMESTAMP '2023-12-25'", f"{at} - INTERVAL 37 DAY").replace("TIMESTAMP '2024-01-31'", at)
+        out |= _named(SIDES | {"sides": sides}, day[-2:])
+    return out
+
+
+#: Buckets of one width with what sketches keep exact; all the rest is near.
+SKETCHED = """SELECT agent_id, kpi_slug, CAST(date_trunc('{width}', occurred_at) AS TIMESTAMP) AS bucket_start, count(*) AS count, round(sum(value), 6) + 0 AS sum, round(min(value), 6) + 0 AS min, round(max(value), 6) + 0 AS max,
+    true AS p50_near, true AS p95_near, true AS p99_near, true AS distinct_near FROM ({seen}) GROUP BY ALL"""
+SEEN = """SELECT * FROM obs UNION ALL SELECT agent_id, run_id, 'cache_hit_rate', CASE WHEN CAST(run_id AS BIGINT) % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 'extracted', start_time, start_time FROM runs"""
+
+
 def oracle_change_feed() -> str:
     """Readings that differ from those of the 29th (the stream publishes what a comparison of snapshots finds)."""
     return _with(CHANGED, _rollups(["hour"]), STAGED)
@@ -82,6 +101,10 @@ def oracle_sql() -> dict[str, str]:
             WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.agent_id = f.agent_id AND r.run_id = f.run_id) AND created_at < (SELECT max(start_time) - INTERVAL 2 DAY FROM runs)"""
         ),
         "changes_streamed": oracle_change_feed(),
+        "drift_daily": _with("\nUNION ALL\n".join(f"SELECT agent_id, kpi_slug, TIMESTAMP '{day}' AS as_of, round(value, 6) + 0 AS value, nc, nb FROM psi_{day[-2:]}" for day in DAYS), _rollups(["hour"]), _daily()),
+        "sketched_rollup": _with(SKETCHED.format(width="month", seen=SEEN)),
+        "sketches_streamed": _with("SELECT * FROM (" + SKETCHED.format(width="day", seen=SEEN) + ") WHERE bucket_start + INTERVAL 1 DAY <= (SELECT max(start_time) - INTERVAL 6 HOUR FROM runs)"),
+        "replays_dropped": _with("SELECT CASE agent_id WHEN 'agent-4' THEN 1 ELSE 0 END::INTEGER AS step, agent_id, count(*) AS runs FROM runs GROUP BY ALL"),
         "derived_registry": _with(
             """SELECT agent_id, kpi_slug, TIMESTAMP '2024-01-31' AS bucket_start, 1::BIGINT AS count, round(value, 6) + 0 AS sum, round(value, 6) + 0 AS p95, nc AS sample_n, nb AS population_n, round(value, 6) + 0 AS read_value,
             CASE WHEN value <= warning THEN 'good' WHEN value <= critical THEN 'warning' ELSE 'critical' END AS status FROM derived""",

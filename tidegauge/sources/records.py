@@ -56,6 +56,15 @@ def flatten_runs(pages: DataFrame) -> DataFrame:
     )
 
 
+def new_runs(pages: DataFrame, within: str = "1 day") -> DataFrame:
+    """Streamed run pages as typed rows, without records that came before as they are (ST11).
+
+    The state holds a digest of each record for ``within`` of its arrival; later repeats pass, and the merge by key makes them harmless.
+    """
+    rows = flatten_runs(pages).withColumns({"arrived_at": F.current_timestamp(), "digest": F.sha2(F.col("payload").cast("string"), 256)})
+    return rows.withWatermark("arrived_at", within).dropDuplicatesWithinWatermark(["agent_id", "digest"]).drop("arrived_at", "digest")
+
+
 def flatten_feedback(pages: DataFrame) -> DataFrame:
     """Feedback pages as rows; scores that are no numbers go, and the last of a run's duplicate keys wins."""
     items = pages.select("agent_id", F.posexplode(_items(F.col("body"), "feedback")).alias("at", "r"))
