@@ -48,6 +48,18 @@ def test_odd_vectors(spark):
         assert [v for _, v, _ in rows_] == [v for v, _ in want[q]]
 
 
+def test_each_length_is_searched_on_its_own(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=(4, 6, 6, 3)[i % 4]).astype("<f4").tolist()) for i in range(200)]
+    found = {}
+    for r in ann.nearest(vectors(spark, rows), F.col("vec_id") % 5 == 0, 7).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    want = {}
+    for n in (3, 4, 6):
+        want |= exact([r for r in rows if len(r[1]) == n], 7, 5)
+    assert {q: [v for _, v in sorted(near)] for q, near in found.items()} == {q: [v for v, _ in near] for q, near in want.items()}
+
+
 def test_few_and_none(spark):
     got = ann.nearest(vectors(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5])]), F.col("vec_id") % 20 == 0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 0.5)]

@@ -23,8 +23,8 @@ entry nodes; queries with equal vectors are searched once.  Scores of the result
 are recomputed in double precision on the original vectors.
 
 Defined cases: vectors null, empty, zero or holding null or non-finite
-components take no part, nor do those whose length is not the most frequent
-one; of rows that repeat an id the one with the least vector (component by
+components take no part; those of one length are searched among themselves, since
+an inner product takes two of the same; of rows that repeat an id the one with the least vector (component by
 component) stands for the id; ties go to smaller ids; an empty table gives an
 empty result; extra columns are not read.
 """
@@ -32,6 +32,7 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -56,8 +57,6 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("k")).count().orderBy(F.desc("count"), "k").limit(1).collect()
-    rows = rows.where(F.size("v") == (sizes[0]["k"] if sizes else 0))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -171,7 +170,7 @@ def _merge(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def neighbour_graph(packed: DataFrame, n: int, k: int = 32, sample: int = 10, top: int = 8, blocks: int = 2, rounds: int = 12, settle: float = 0.1, block: int = BLOCK) -> DataFrame:
+def neighbour_graph(packed: DataFrame, n: int, k: int = 32, sample: int = 10, top: int = 8, blocks: int = 2, rounds: int = 12, settle: float = 0.05, block: int = BLOCK) -> DataFrame:
     """Edges (u, w, s, rank) of the NN-descent graph over ``packed`` (node, vec)."""
     parts = max(1, -(-n // block))
     starts = []
@@ -306,6 +305,13 @@ def graph_search(queries: DataFrame, packed: DataFrame, edges: DataFrame, n: int
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, graph: dict | None = None, **search) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row that ``is_query`` (of the column ``vec_id``) picks."""
     rows = materialise(usable(vectors, id_col, vec_col), "vectors")
+    lengths = [r["k"] for r in rows.where(is_query).groupBy(F.size("v").alias("k")).count().orderBy("k").collect()]  # one row per length
+    of = [rows.where(F.size("v") == n) for n in lengths] or [rows]
+    return reduce(DataFrame.unionByName, [_nearest_of(same, is_query, k, block, graph, search) for same in of])
+
+
+def _nearest_of(rows: DataFrame, is_query: Column, k: int, block: int, graph: dict | None, search: dict) -> DataFrame:
+    """``nearest`` for vectors (vec_id, v) of one length."""
     nodes = materialise(_nodes(rows, k + 1), "nodes")
     n = nodes.count()
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
