@@ -135,6 +135,12 @@ def runs_reimported(spark: SparkSession, d: str) -> DataFrame:
     return runs.join(seen, "agent_id")
 
 
+def batches_logged(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of all batches by stream, as they were observed while the batches were written."""
+    rows = spark.read.schema(ingest.BATCH).parquet(made(spark, d).batches)
+    return rows.groupBy("stream").agg(*[F.sum(c).alias(c) for c in ("records", "stored", "faulty", "observations", "orphans")], F.max("watermark").alias("watermark"))
+
+
 def _down(df: DataFrame, t: Tables) -> DataFrame:
     raise ValueError("down")
 
@@ -277,7 +283,7 @@ def replays_dropped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [payload_whole, kpi_added, feedback_files, runs_reimported, cursor_table, poll_due, orphans_streamed, changes_streamed, drift_daily, sketched_rollup, sketches_streamed, replays_dropped, derived_registry, overview_stored, series_stored, judge_backfill]
+    named = [payload_whole, kpi_added, feedback_files, batches_logged, runs_reimported, cursor_table, poll_due, orphans_streamed, changes_streamed, drift_daily, sketched_rollup, sketches_streamed, replays_dropped, derived_registry, overview_stored, series_stored, judge_backfill]
 
     def tidy(query: Callable) -> Callable:
         def run(spark: SparkSession, d: str) -> DataFrame:

@@ -86,6 +86,10 @@ def oracle_sql() -> dict[str, str]:
             """SELECT f.agent_id, f.run_id, CASE key WHEN 'kpi.toxicity' THEN 'toxicity' ELSE 'sentiment' END AS kpi_slug, round(score::DOUBLE, 6) + 0 AS value, r.start_time AS occurred_at, f.created_at AS computed_at
             FROM feedback f LEFT JOIN runs r ON r.agent_id = f.agent_id AND r.run_id = f.run_id"""
         ),
+        "batches_logged": _with(
+            """SELECT 'runs' AS stream, count(*) AS records, count(*) AS stored, 0::BIGINT AS faulty, CAST(count(status) + count(latency_ms) + count(*) AS BIGINT) AS observations, 0::BIGINT AS orphans, max(start_time) AS watermark FROM runs
+            UNION ALL SELECT 'feedback', (SELECT count(*) FROM feedback), count(*), 0, count(*), (SELECT count(*) FROM feedback) - count(*), max(created_at) FROM matched"""
+        ),
         "runs_reimported": _with(
             """SELECT agent_id, runs, latency, observations, observations AS distinct_observations FROM (SELECT agent_id, count(*) AS runs, CAST(sum(latency_ms) AS BIGINT) AS latency,
             count(status) + count(latency_ms) + count(*) AS observations FROM runs GROUP BY agent_id)"""

@@ -13,10 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from contextlib import suppress
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.functions.buckets import GRAINS
@@ -71,14 +71,33 @@ def _store_observations(rows: DataFrame, tables: Tables, *faulty: DataFrame) ->
     return good, bad
 
 
+BATCH = "stream string, at timestamp, records long, stored long, faulty long, observations long, orphans long, watermark timestamp"
+
+
+def _watched(rows: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
+    """A scratch table of ``rows``, and metrics of them taken as they are written: no pass of their own."""
+    seen = Observation(name)
+    table = materialise(rows.observe(seen, *[c.alias(n) for n, c in metrics.items()]), name)
+    return table, seen.get
+
+
+def _log(spark: SparkSession, tables: Tables, stream: str, **totals) -> None:
+    """One row of a batch's totals."""
+    row = {"stream": stream, "at": datetime.now(UTC).replace(tzinfo=None), "orphans": 0} | totals
+    names = [f.split(" ")[0] for f in BATCH.split(", ")]
+    spark.createDataFrame([tuple(row[n] for n in names)], BATCH).coalesce(1).write.mode("append").parquet(tables.batches)
+
+
 def ingest_run_rows(rows: DataFrame, tables: Tables, kpis=SHIPPED, *faulty: DataFrame) -> DataFrame:
     """One batch of flattened runs: runs, then their observations, and ``faulty`` rows that came with them.  Returns the batch's summary, a scratch table."""
     now = F.current_timestamp()
-    flat = materialise(rows.select(*RUN_COLUMNS).withColumns(dict.fromkeys(STAMPS, now)), "runs-batch")
+    fit = F.size(ingest.run_faults()) == 0
+    flat, runs = _watched(rows.select(*RUN_COLUMNS).withColumns(dict.fromkeys(STAMPS, now)), "runs-batch", records=F.count("*"), stored=F.count_if(fit), watermark=F.max(F.when(fit, F.col("start_time"))))
     good, bad = ingest.quarantine(flat, ingest.run_faults())
     store.upsert(good, tables.runs, ingest.RUN_KEYS, ingest.RUN_REPLACED, "start_time", "week")
-    found = materialise(ingest.extract(good, kpis), "observations-batch")
+    found, made = _watched(ingest.extract(good, kpis), "observations-batch", observations=F.count("*"))
     seen, unfit = _store_observations(found, tables, _faulty(bad, "run", "start_time"), *faulty)
+    _log(rows.sparkSession, tables, "runs", **runs, **made, faulty=runs["records"] - runs["stored"])
     summary = materialise(ingest.batch_summary(good, seen, flat.limit(0), bad.select("agent_id").unionByName(unfit.select("agent_id"))), "summary")
     discard(flat, found)
     return summary
@@ -117,10 +136,12 @@ def ingest_feedback(pages: DataFrame, tables: Tables, kpis=SHIPPED, reach_days:
     undated = rows.where("created_at is null").limit(1).count()
     if first is not None and not undated:
         runs = store.between(runs, "start_time", first - timedelta(days=reach_days), last + timedelta(days=1), "week")
-    met = materialise(rows.join(runs.drop("part"), ["agent_id", "run_id"], "left"), "feedback-met")
+    came = F.col("start_time").isNotNull()
+    met, scores = _watched(rows.join(runs.drop("part"), ["agent_id", "run_id"], "left"), "feedback-met", records=F.count("*"), stored=F.count_if(came), orphans=F.count_if(~came), watermark=F.max(F.when(came, F.col("created_at"))))
     matched, lost = met.where("start_time is not null"), met.where("start_time is null").drop("start_time")
-    found = materialise(ingest.imported(matched, definitions(spark, kpis)), "observations-batch")
+    found, made = _watched(ingest.imported(matched, definitions(spark, kpis)), "observations-batch", observations=F.count("*"))
     seen, unfit = _store_observations(found, tables, _unread(pages, "feedback"))
+    _log(spark, tables, "feedback", **scores, **made, faulty=0)
     store.write_version(lost.select("agent_id", "run_id", "key", "score", "created_at"), tables.pending)
     stamped = matched.select("agent_id", F.col("created_at").alias("start_time"))  # feedback's watermark is the newest matched one
     summary = ingest.batch_summary(stamped, seen, lost, unfit).withColumn("runs", F.lit(0).cast("long"))
