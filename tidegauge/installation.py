@@ -136,7 +136,7 @@ def runs_reimported(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batches_logged(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of all batches by stream, as they were observed while the batches were written."""
+    """Totals of all batches by stream, from the log that each batch leaves."""
     rows = spark.read.schema(ingest.BATCH).parquet(made(spark, d).batches)
     return rows.groupBy("stream").agg(*[F.sum(c).alias(c) for c in ("records", "stored", "faulty", "observations", "orphans")], F.max("watermark").alias("watermark"))
 
