@@ -186,3 +186,11 @@ def test_drift_keeps_sources_apart(spark):
 def test_registry_without_derived_kpis(spark):
     none = drift.derive_registry(spark.createDataFrame([], heads.BUCKET), kpis.definitions(spark), F.lit("2024-01-31").cast("timestamp"), [k for k in kpis.SHIPPED if k.kind != "derived"])
     assert none.count() == 0
+
+
+def test_agents_without_a_baseline_are_kept(spark):
+    rows = [(a, "d", "x", NOW + timedelta(hours=i), side, 2.0, healthy) for a, side, healthy in (("a", "current", True), ("a", "baseline", False), ("b", "current", True), ("b", "baseline", True)) for i in range(3)]
+    sides = spark.createDataFrame(rows, "agent_id string, kpi_slug string, source_slug string, at timestamp, side string, value double, healthy boolean")
+    moved = lambda now, then: now["x"][0] / then["x"][0] - 1 if "x" in then else None
+    assert sorted(map(tuple, drift.derive(sides, moved, skip=False).collect())) == [("a", "d", None, 3, 0), ("b", "d", 0.0, 3, 3)]
+    assert [r["agent_id"] for r in drift.derive(sides, moved).collect()] == ["b"]

@@ -98,11 +98,12 @@ def excluded(sides: DataFrame) -> DataFrame:
 VALUES = "agent_id string, kpi_slug string, value double, nc long, nb long"
 
 
-def derive(sides: DataFrame, compute: Callable[[dict, dict], float | None] | dict[str, Callable[[dict, dict], float | None]]) -> DataFrame:
+def derive(sides: DataFrame, compute: Callable[[dict, dict], float | None] | dict[str, Callable[[dict, dict], float | None]], skip: bool = True) -> DataFrame:
     """Users' derived KPIs (X4): ``compute(current, baseline)``, one for all or by KPI, gets lists of values by source.
 
     Runs per (agent, KPI), for all KPIs in one pass; a window holds an hourly
-    value per source, so a group is small.  None skips the agent; the lists are in order of time.
+    value per source, so a group is small.  None skips the agent, or without ``skip``
+    leaves it with a null value; the lists are in order of time.
     """
     of = compute.get if isinstance(compute, dict) else lambda slug: compute
     ends = _ends(sides)
@@ -114,7 +115,7 @@ def derive(sides: DataFrame, compute: Callable[[dict, dict], float | None] | dic
         first, n = pdf.iloc[0], pdf["side"].value_counts()
         value = of(first["kpi_slug"])(lists["current"], lists["baseline"])
         names = ["agent_id", "kpi_slug", *ends]
-        rows = [] if value is None else [(*first[names], float(value), int(n.get("current", 0)), int(n.get("baseline", 0)))]
+        rows = [] if value is None and skip else [(*first[names], None if value is None else float(value), int(n.get("current", 0)), int(n.get("baseline", 0)))]
         return pd.DataFrame(rows, columns=[*names, "value", "nc", "nb"])
 
     return sides.where("healthy").groupBy("agent_id", "kpi_slug", *ends).applyInPandas(run, shape)
