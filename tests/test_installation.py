@@ -194,3 +194,53 @@ def test_agents_without_a_baseline_are_kept(spark):
     moved = lambda now, then: now["x"][0] / then["x"][0] - 1 if "x" in then else None
     assert sorted(map(tuple, drift.derive(sides, moved, skip=False).collect())) == [("a", "d", None, 3, 0), ("b", "d", 0.0, 3, 3)]
     assert [r["agent_id"] for r in drift.derive(sides, moved).collect()] == ["b"]
+
+
+KEYED = "k string, at timestamp, fixed string, value double"
+
+
+def keyed(spark, *rows):
+    return spark.createDataFrame([(k, datetime(2026, 1, day), fixed, value) for k, day, fixed, value in rows], KEYED)
+
+
+def test_upsert_rewrites_only_files_that_hold_its_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    put = lambda *rows: store.upsert(keyed(spark, *rows), path, ["k", "at"], ["value"], "at", "month")
+    files = lambda: set(os.listdir(f"{path}/part=2026m01"))
+    put(("a", 5, "x", 1.0), ("b", 20, "x", 2.0))
+    put(("c", 6, "x", 3.0))
+    first = files()
+    put(("d", 7, "x", 4.0))  # a new key: nothing is rewritten
+    second = files()
+    assert first < second
+    put(("c", 6, "y", 5.0), ("c", 8, "y", 6.0))
+    assert first & files() and not first <= files()
+    assert sorted((r["k"], r["fixed"], r["value"]) for r in spark.read.parquet(path).collect()) == [("a", "x", 1.0), ("b", "x", 2.0), ("c", "x", 5.0), ("c", "y", 6.0), ("d", "x", 4.0)]
+
+
+def test_upsert_after_a_crash_converges(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    put = lambda *rows: store.upsert(keyed(spark, *rows), path, ["k", "at"], ["value"], "at", "month")
+    put(("a", 5, "x", 1.0), ("b", 5, "x", 2.0))
+    with monkeypatch.context() as m:
+        m.setattr(store, "drop_partitions", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            put(("a", 5, "y", 9.0))
+    put(("a", 5, "y", 9.0))
+    assert sorted((r["k"], r["fixed"], r["value"]) for r in spark.read.parquet(path).collect()) == [("a", "x", 9.0), ("b", "x", 2.0)]
+
+
+def test_many_small_files_become_few(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    monkeypatch.setattr(store, "MANY_FILES", 3)
+    for i in range(9):
+        store.upsert(keyed(spark, (f"k{i}", 1 + i, "x", float(i))).coalesce(1), path, ["k", "at"], ["value"], "at", "month")
+        assert len([f for f in os.listdir(f"{path}/part=2026m01") if f.endswith(".parquet")]) <= 5
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [f"k{i}" for i in range(9)]
+
+
+def test_pages_are_parsed_once(spark):
+    rows = records.flatten_runs(pages_of(spark, [run(1)], {"data": [run(2)]}, "not json"), whole=True)
+    assert sorted((r["run_id"] or "", r["unread"] or "") for r in rows.collect()) == [("", "not json"), ("1", ""), ("2", "")]
+    plan = records.flatten_runs(pages_of(spark, [run(1)]).repartition(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(ArrayType") + plan.count("from_json(StructType") <= 2 and "from_json" in plan

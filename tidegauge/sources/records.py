@@ -20,25 +20,39 @@ def stream_pages(spark: SparkSession, path: str, max_files: int = 100) -> DataFr
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", max_files).text(path).withColumnRenamed("value", "body")
 
 
-def _items(body: Column, field: str) -> Column:
-    """Records of a bare list, of ``{field: [...]}`` or of ``{"data": [...]}``; otherwise none (S3)."""
-    bare = F.when(F.ltrim(body).startswith("["), F.from_json(body, ITEMS))
-    kept = F.from_json(body, f"struct<{field}:{ITEMS},data:{ITEMS}>")
-    return F.coalesce(bare, kept[field], kept["data"], F.array().cast(ITEMS))
+def _parsed(pages: DataFrame, field: str) -> DataFrame:
+    """Pages with ``items``: records of a bare list, of ``{field: [...]}`` or of ``{"data": [...]}``; otherwise none (S3)."""
+    body = F.col("body")
+    bare = pages.withColumn("_bare", F.when(F.ltrim(body).startswith("["), F.from_json(body, ITEMS)))
+    kept = bare.withColumn("_kept", F.when(F.col("_bare").isNull(), F.from_json(body, f"struct<{field}:{ITEMS},data:{ITEMS}>")))
+    return kept.withColumn("items", F.coalesce("_bare", F.col("_kept")[field], F.col("_kept")["data"], F.array().cast(ITEMS))).drop("_bare", "_kept")
+
+
+def _holds_nothing(field: str) -> Column:
+    """Whether a body without records says that there are none, rather than something else."""
+    return F.regexp_replace("body", r"\s", "").isin("", "[]", "{}", "null", f'{{"{field}":[]}}', '{"data":[]}')
 
 
 def unread(pages: DataFrame, field: str) -> DataFrame:
     """Bodies that hold no records though they are not empty: no JSON, or an envelope of another kind."""
-    void = F.regexp_replace("body", r"\s", "").isin("", "[]", "{}", "null", f'{{"{field}":[]}}', '{"data":[]}')
-    return pages.where(F.col("body").isNotNull() & ~void & (F.size(_items(F.col("body"), field)) == 0))
+    return _parsed(pages, field).where(F.col("body").isNotNull() & ~_holds_nothing(field) & (F.size("items") == 0)).drop("items")
+
+
+def _exploded(pages: DataFrame, field: str, whole: bool) -> DataFrame:
+    """A row (agent_id, at, r) per record; if ``whole``, one besides with ``unread`` for each body that holds none and is not empty."""
+    lost = F.when((F.size("items") == 0) & ~_holds_nothing(field), F.col("body")).alias("unread")
+    # without ``outer`` Spark filters pages by the size of their items first, and so parses them again
+    rows = _parsed(pages, field).select("agent_id", *([lost] if whole else []), F.posexplode_outer("items").alias("at", "r"))
+    return rows.where("at is not null or unread is not null" if whole else "at is not null")
 
 
-def flatten_runs(pages: DataFrame) -> DataFrame:
+def flatten_runs(pages: DataFrame, whole: bool = False) -> DataFrame:
     """Run pages (agent_id, body) as typed rows; the agent is the page's, never the payload's.
 
-    The payload is the whole record as a VARIANT, with every field that came.
+    The payload is the whole record as a VARIANT, with every field that came.  If
+    ``whole``, bodies that could not be read come along, in a column ``unread``.
     """
-    items = pages.select("agent_id", F.explode(_items(F.col("body"), "runs")).alias("r"))
+    items = _exploded(pages, "runs", whole)
     r = F.col("r")
     start, end = parse.timestamp(parse.field(r, "start_time")), parse.timestamp(parse.field(r, "end_time"))
     return items.select(
@@ -53,6 +67,7 @@ def flatten_runs(pages: DataFrame) -> DataFrame:
         *[parse.whole(r, c).alias(c) for c in ("prompt_tokens", "completion_tokens")],
         parse.money(parse.field(r, "total_cost")).alias("cost_usd"),
         r.alias("payload"),
+        *(["unread"] if whole else []),
     )
 
 
@@ -65,12 +80,16 @@ def new_runs(pages: DataFrame, within: str = "1 day") -> DataFrame:
     return rows.withWatermark("arrived_at", within).dropDuplicatesWithinWatermark(["agent_id", "digest"]).drop("arrived_at", "digest")
 
 
+def feedback_rows(pages: DataFrame, whole: bool = False) -> DataFrame:
+    """Feedback pages as rows in the order ``at`` of their page; if ``whole``, with bodies that could not be read in a column ``unread``."""
+    r = F.col("r")
+    fields = [parse.field(r, "run_id").alias("run_id"), parse.field(r, "key").alias("key"), parse.number(r, "score").alias("score"), parse.timestamp(parse.field(r, "created_at")).alias("created_at")]
+    return _exploded(pages, "feedback", whole).select("agent_id", "at", *fields, *(["unread"] if whole else []))
+
+
 def flatten_feedback(pages: DataFrame) -> DataFrame:
     """Feedback pages as rows; scores that are no numbers go, and the last of a run's duplicate keys wins."""
-    items = pages.select("agent_id", F.posexplode(_items(F.col("body"), "feedback")).alias("at", "r"))
-    r = F.col("r")
-    rows = items.select("agent_id", "at", parse.field(r, "run_id").alias("run_id"), parse.field(r, "key").alias("key"), parse.number(r, "score").alias("score"), parse.timestamp(parse.field(r, "created_at")).alias("created_at"))
-    return last_scores(rows, "at")
+    return last_scores(feedback_rows(pages), "at")
 
 
 def last_scores(rows: DataFrame, order: str) -> DataFrame:

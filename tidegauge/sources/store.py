@@ -1,14 +1,17 @@
 """Keyed upserts into partitioned Parquet tables (S4 to S6, S10), and reading of the partitions that a range needs.
 
-A table is a folder partitioned by a time label.  An upsert reads only the
-partitions that incoming rows touch, merges, stages the result in scratch
-storage and overwrites exactly those partitions.  One writer per table.
+A table is a folder partitioned by a time label, its files each a span of time.
+An upsert looks up the incoming keys in the partitions that they touch, by key
+columns alone, merges with the rows of just those files that hold any of them,
+adds the result as new files and deletes those.  What a batch costs so follows
+the batch, and not the table.  One writer per table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -82,37 +85,80 @@ def buckets_between(rollups: DataFrame, start: datetime, end: datetime, grains:
     return rows.where((F.col("bucket_start") >= instant(start)) & (F.col("bucket_start") < instant(end)))
 
 
-def upsert(incoming: DataFrame, path: str, keys: list[str], replaced: list[str], ts: str, period: str, order: str | None = None) -> None:
-    """Merge rows into the table at ``path``; repeating a call changes nothing.  Payloads keep the type that the table has them in."""
+#: A period of more files than this, below this mean size in bytes, is rewritten as a whole.
+MANY_FILES, SMALL_FILE = 64, 1 << 20
+
+
+def _sizes(spark: SparkSession, path: str) -> list[int]:
+    """Sizes of the data files in a folder."""
+    folder, fs = _folder(spark, path)
+    return [s.getLen() for s in fs.listStatus(folder) if s.getPath().getName()[0] not in "._"] if fs.exists(folder) else []
+
+
+def _scattered(spark: SparkSession, folder: str) -> bool:
+    """Whether small batches have left a folder in many small files."""
+    sizes = _sizes(spark, folder)
+    return len(sizes) > MANY_FILES and sum(sizes) < len(sizes) * SMALL_FILE
+
+
+def _holding(stored: DataFrame, new: DataFrame, keys: list[str]) -> list[str]:
+    """Files of a table, as paths below it, that hold rows with keys of ``new``."""
+    held = stored.select(*keys, F.col("_metadata.file_path").alias("_file")).alias("s")
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    files = held.join(new.select(*keys).alias("n"), same, "left_semi").select("_file").distinct().collect()  # one row per file
+    return ["/".join(r["_file"].split("/")[-2:]) for r in files]
+
+
+def upsert(incoming: DataFrame, path: str, keys: list[str], replaced: list[str], ts: str, period: str, order: str | None = None, staged: bool = False, few: tuple[str, ...] = ()) -> None:
+    """Merge rows into the table at ``path``; repeating a call changes nothing.  Payloads keep the type that the table has them in.
+
+    Rows that are read from a scratch table as it is are ``staged`` already; keys of
+    ``few`` values narrow the look-up, as the span of ``ts`` does.  A crash after the
+    new files came leaves rows twice; every file that is to go holds incoming keys,
+    so the repeated call merges them.
+    """
     spark = incoming.sparkSession
-    label = PERIODS[period](F.col(ts))[2]
-    new = materialise(incoming.withColumn("part", label), "incoming")
+    new = incoming.withColumn("part", PERIODS[period](F.col(ts))[2])
+    new = scratch = new if staged else materialise(new, "incoming")
     kept = [c for c in new.columns if c != order]
-    old = read(spark, path, new.select(*kept).schema).select(*kept)
-    touched = [r["part"] for r in new.select("part").distinct().collect()]  # one row per period
-    if touched:
-        merged = merge(old.where(F.col("part").isin(touched)), parse.like(new, old.schema), ["part", *keys], replaced, order)
-        staged = materialise(merged, "merged")
-        # a large period goes to as many tasks as its size asks for
-        staged.hint("rebalance", "part").sortWithinPartitions("part", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-        discard(staged)
-    discard(new)
-
-
-def overwrite_buckets(rollups: DataFrame, path: str, recomputed: Iterable[tuple[str, str]] = ()) -> list[tuple[str, str]]:
+    bounds = [F.min(F.unix_micros(ts)).alias("a"), F.max(F.unix_micros(ts)).alias("b")]
+    spans = {r["part"]: r for r in new.groupBy("part").agg(*bounds, *[F.collect_set(c).alias(c) for c in few]).collect()}  # one row per period
+    if spans:
+        stored = read(spark, path, new.select(*kept).schema)
+        fit = parse.like(new, stored.schema)
+        by, spread = ["part", *keys], [ts, *[k for k in keys if k != ts]]  # files hold a span of time each
+        exists = bool(stored.inputFiles())
+        whole = [p for p in spans if exists and _scattered(spark, f"{path}/part={p}")]
+        some = [p for p in spans if p not in whole]
+        if whole:
+            inside = F.col("part").isin(whole)
+            merge(stored.select(*kept).where(inside), fit.where(inside), by, replaced, order, spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+            fit, new = fit.where(~inside), new.where(~inside)
+        if some:
+            near = [F.col("part").isin(some), F.col(ts) >= F.timestamp_micros(F.lit(min(spans[p]["a"] for p in some))), F.col(ts) <= F.timestamp_micros(F.lit(max(spans[p]["b"] for p in some)))]
+            near += [F.col(c).isin(sorted({v for p in some for v in spans[p][c]})) for c in few]
+            gone = _holding(stored.where(reduce(Column.__and__, near)), new, by) if exists else []
+            old = spark.read.schema(stored.schema).option("basePath", path).parquet(*[f"{path}/{f}" for f in gone]) if gone else stored.where(F.lit(False))
+            merge(old.select(*kept), fit, by, replaced, order, spread).write.mode("append").partitionBy("part").parquet(path)
+            drop_partitions(spark, path, gone)
+    discard(scratch)
+
+
+def overwrite_buckets(rollups: DataFrame, path: str, recomputed: Iterable[tuple[str, str]] = (), staged: bool = False) -> list[tuple[str, str]]:
     """Replace the (granularity, day) partitions that ``rollups`` holds (S6); answer with those that changed.
 
     Of the ``recomputed`` (granularity, ISO day) pairs, those that have no bucket any more are dropped.
+    Rows that are read from a scratch table as it is are ``staged`` already.
     """
     spark = rollups.sparkSession
     recomputed = list(recomputed)
     parted = rollups.withColumn("bucket_date", F.to_date("bucket_start"))
-    staged = materialise(parted, "buckets")
-    held = {(r["granularity"], str(r["bucket_date"])) for r in staged.select("granularity", "bucket_date").distinct().collect()}  # one row per grain and day
+    table = parted if staged else materialise(parted, "buckets")
+    held = {(r["granularity"], str(r["bucket_date"])) for r in table.select("granularity", "bucket_date").distinct().collect()}  # one row per grain and day
     drop_partitions(spark, path, [f"granularity={g}/bucket_date={d}" for g, d in recomputed if (g, d) not in held])
     parts = ["granularity", "bucket_date"]
-    staged.hint("rebalance", *parts).sortWithinPartitions(*parts, "agent_id", "kpi_slug", "bucket_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("granularity", "bucket_date").parquet(path)
-    discard(staged)
+    table.hint("rebalance", *parts).sortWithinPartitions(*parts, "agent_id", "kpi_slug", "bucket_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("granularity", "bucket_date").parquet(path)
+    discard(table)
     return sorted(held | set(recomputed))
 
 
@@ -140,7 +186,7 @@ def partitions(spark: SparkSession, path: str) -> dict[str, int]:
 
 
 def drop_partitions(spark: SparkSession, path: str, parts: list[str]) -> None:
-    """Delete whole partition folders of a table (M1); other partitions are not touched."""
+    """Delete whole partition folders of a table (M1), or files of them; nothing else is touched."""
     for part in parts:
         folder, fs = _folder(spark, f"{path}/{part}")
         fs.delete(folder, True)

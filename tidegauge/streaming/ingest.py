@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from datetime import UTC, date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.functions.buckets import GRAINS
@@ -52,22 +52,31 @@ def _faulty(bad: DataFrame, kind: str, at: str) -> DataFrame:
     return rows.withColumn("id", F.sha2(F.concat("kind", "record"), 256))
 
 
-def _unread(pages: DataFrame, field: str) -> DataFrame:
-    """Bodies without records, whole, as faulty rows."""
-    bodies = records.unread(pages, field).select("agent_id", "body", F.lit(None).cast("timestamp").alias("at"), F.array(F.lit("body")).alias("faults"))
+def _unread(rows: DataFrame) -> DataFrame:
+    """Bodies without records, whole, as faulty rows; they lie in the column ``unread`` among the flattened ``rows``."""
+    bodies = rows.where("unread is not null").select("agent_id", F.col("unread").alias("body"), F.lit(None).cast("timestamp").alias("at"), F.array(F.lit("body")).alias("faults"))
     return _faulty(bodies, "page", "at")
 
 
 def _quarantine(tables: Tables, *faulty: DataFrame) -> None:
     """Keep faulty rows (P11); a row that comes again stays one."""
-    store.upsert(reduce(DataFrame.unionByName, faulty), tables.quarantine, ["id", "at"], ["faults"], "at", "month")
+    if faulty:
+        store.upsert(reduce(DataFrame.unionByName, faulty), tables.quarantine, ["id", "at"], ["faults"], "at", "month")
 
 
-def _store_observations(rows: DataFrame, tables: Tables, *faulty: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Store a batch's observations, and its ``faulty`` rows beside those of its own; returns the good ones and the faulty ones, which read ``rows``."""
+def _unfit() -> Column:
+    """Number of observations that may not be stored."""
+    return F.count_if(F.size(ingest.observation_faults()) > 0)
+
+
+def _store_observations(rows: DataFrame, tables: Tables, unfit: int | None = None, *faulty: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Store a batch's observations, and its ``faulty`` rows beside those of its own; returns the good ones and the faulty ones, which read ``rows``.
+
+    ``rows`` is a scratch table, of which ``unfit`` says how many are faulty if that is known.
+    """
     good, bad = ingest.quarantine(rows, ingest.observation_faults())
-    store.upsert(good, tables.observations, ingest.OBSERVATION_KEYS, ingest.OBSERVATION_REPLACED, "occurred_at", "month")
-    _quarantine(tables, _faulty(bad, "observation", "occurred_at"), *faulty)
+    store.upsert(good, tables.observations, ingest.OBSERVATION_KEYS, ingest.OBSERVATION_REPLACED, "occurred_at", "month", staged=unfit is not None, few=("kpi_slug",))
+    _quarantine(tables, *([_faulty(bad, "observation", "occurred_at")] if unfit is None or unfit else []), *faulty)
     return good, bad
 
 
@@ -87,32 +96,37 @@ def _log(spark: SparkSession, tables: Tables, stream: str, **totals) -> None:
     spark.createDataFrame([tuple(row[n] for n in names)], BATCH).coalesce(1).write.mode("append").parquet(tables.batches)
 
 
-def ingest_run_rows(rows: DataFrame, tables: Tables, kpis=SHIPPED, *faulty: DataFrame) -> DataFrame:
-    """One batch of flattened runs: runs, then their observations, and ``faulty`` rows that came with them.  Returns the batch's summary, a scratch table."""
+def ingest_run_rows(rows: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
+    """One batch of runs flattened from ``whole`` pages: runs, then their observations.  Returns the batch's summary, a scratch table."""
     now = F.current_timestamp()
-    fit = F.size(ingest.run_faults()) == 0
-    flat, runs = _watched(rows.select(*RUN_COLUMNS).withColumns(dict.fromkeys(STAMPS, now)), "runs-batch", records=F.count("*"), stored=F.count_if(fit), watermark=F.max(F.when(fit, F.col("start_time"))))
+    read, fit = F.col("unread").isNull(), F.size(ingest.run_faults()) == 0
+    table, runs = _watched(
+        rows.select(*RUN_COLUMNS, "unread").withColumns(dict.fromkeys(STAMPS, now)), "runs-batch",
+        records=F.count_if(read), stored=F.count_if(read & fit), unread=F.count_if(~read), watermark=F.max(F.when(read & fit, F.col("start_time"))),
+    )
+    flat, faults = table.where(read).drop("unread"), runs["records"] - runs["stored"]
     good, bad = ingest.quarantine(flat, ingest.run_faults())
-    store.upsert(good, tables.runs, ingest.RUN_KEYS, ingest.RUN_REPLACED, "start_time", "week")
-    found, made = _watched(ingest.extract(good, kpis), "observations-batch", observations=F.count("*"))
-    seen, unfit = _store_observations(found, tables, _faulty(bad, "run", "start_time"), *faulty)
-    _log(rows.sparkSession, tables, "runs", **runs, **made, faulty=runs["records"] - runs["stored"])
+    store.upsert(good, tables.runs, ingest.RUN_KEYS, ingest.RUN_REPLACED, "start_time", "week", staged=True)
+    found, made = _watched(ingest.extract(good, kpis), "observations-batch", observations=F.count("*"), unfit=_unfit())
+    faulty = ([_faulty(bad, "run", "start_time")] if faults else []) + ([_unread(table)] if runs.pop("unread") else [])
+    seen, unfit = _store_observations(found, tables, made.pop("unfit"), *faulty)
+    _log(rows.sparkSession, tables, "runs", **runs, **made, faulty=faults)
     summary = materialise(ingest.batch_summary(good, seen, flat.limit(0), bad.select("agent_id").unionByName(unfit.select("agent_id"))), "summary")
-    discard(flat, found)
+    discard(table, found)
     return summary
 
 
 def ingest_runs(pages: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
     """One batch of run pages (agent_id, body): runs, then their observations (JB1).  Returns the batch's summary."""
-    return ingest_run_rows(records.flatten_runs(pages), tables, kpis, _unread(pages, "runs"))
+    return ingest_run_rows(records.flatten_runs(pages, whole=True), tables, kpis)
 
 
 def poll_runs(pages: DataFrame, tables: Tables, now: datetime, kpis=SHIPPED) -> DataFrame:
     """One poll of a source that answers with all it has: what the cursors say is due (ST2); they move on, or count a failure."""
     spark = pages.sparkSession
     try:
-        rows = cursors.due(records.flatten_runs(pages), cursors.read(spark, tables.cursors), "runs", now, "start_time")
-        summary = ingest_run_rows(rows, tables, kpis, _unread(pages, "runs"))
+        rows = cursors.due(records.flatten_runs(pages, whole=True), cursors.read(spark, tables.cursors), "runs", now, "start_time")
+        summary = ingest_run_rows(rows, tables, kpis)
     except Exception as e:
         cursors.failed(pages, tables.cursors, "runs", e, now)
         raise
@@ -127,7 +141,8 @@ def ingest_feedback(pages: DataFrame, tables: Tables, kpis=SHIPPED, reach_days:
     default: only weeks of runs within that reach are read, once, and of them only the key columns.
     """
     spark = pages.sparkSession
-    news = records.flatten_feedback(pages)
+    table = materialise(records.feedback_rows(pages, whole=True), "feedback-rows")
+    news = records.last_scores(table.where("unread is null"), "at")
     waiting = store.read_version(spark, tables.pending, PENDING)
     rows = materialise(records.last_scores(waiting.unionByName(news), "created_at"), "feedback-batch")
     first, last = rows.agg(F.min("created_at"), F.max("created_at")).first()
@@ -138,14 +153,15 @@ def ingest_feedback(pages: DataFrame, tables: Tables, kpis=SHIPPED, reach_days:
     came = F.col("start_time").isNotNull()
     met, scores = _watched(rows.join(runs.drop("part"), ["agent_id", "run_id"], "left"), "feedback-met", records=F.count("*"), stored=F.count_if(came), orphans=F.count_if(~came), watermark=F.max(F.when(came, F.col("created_at"))))
     matched, lost = met.where("start_time is not null"), met.where("start_time is null").drop("start_time")
-    found, made = _watched(ingest.imported(matched, definitions(spark, kpis)), "observations-batch", observations=F.count("*"))
-    seen, unfit = _store_observations(found, tables, _unread(pages, "feedback"))
+    found, made = _watched(ingest.imported(matched, definitions(spark, kpis)), "observations-batch", observations=F.count("*"), unfit=_unfit())
+    lost_pages = [] if table.where("unread is not null").isEmpty() else [_unread(table)]
+    seen, unfit = _store_observations(found, tables, made.pop("unfit"), *lost_pages)
     _log(spark, tables, "feedback", **scores, **made, faulty=0)
     store.write_version(lost.select("agent_id", "run_id", "key", "score", "created_at"), tables.pending)
     stamped = matched.select("agent_id", F.col("created_at").alias("start_time"))  # feedback's watermark is the newest matched one
     summary = ingest.batch_summary(stamped, seen, lost, unfit).withColumn("runs", F.lit(0).cast("long"))
     summary = materialise(summary, "summary")
-    discard(rows, met, found)
+    discard(table, rows, met, found)
     return summary
 
 
@@ -184,7 +200,7 @@ def store_buckets(rows: DataFrame, tables: Tables, recomputed: Iterable[tuple[st
     good, bad = ingest.quarantine(made, ingest.rollup_faults())
     if not bad.isEmpty():
         _quarantine(tables, _faulty(bad, "bucket", "bucket_start"))
-    touched = store.overwrite_buckets(good, tables.rollups, recomputed)
+    touched = store.overwrite_buckets(good, tables.rollups, recomputed, staged=True)
     heads.refresh(spark, tables.rollups, tables.heads, touched)
     discard(made)
 
