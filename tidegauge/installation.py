@@ -277,8 +277,8 @@ def replays_dropped(spark: SparkSession, d: str) -> DataFrame:
     pages = tables.whole_run_pages(spark, d).select("agent_id", "body")
     for step, rows in enumerate((pages.where("agent_id != 'agent-4'"), pages)):
         rows.write.mode("append").partitionBy("agent_id").text(path)
-        fresh = records.new_runs(records.stream_pages(spark, path))
-        fresh.writeStream.foreachBatch(lambda df, _, step=step: df.select("agent_id", "run_id", F.lit(step).alias("step")).write.mode("append").parquet(out)).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        fresh = records.new_runs(records.stream_pages(spark, path)).select("agent_id", "run_id", F.lit(step).alias("step"))
+        fresh.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy("step", "agent_id").agg(F.count("*").alias("runs"))
 
 

@@ -20,22 +20,30 @@ def _per_grain(rows: DataFrame, ts: str, grains: Sequence[str]) -> DataFrame:
     return named.withColumn("bucket_start", start)
 
 
+def _finest(grains: Sequence[str]) -> str:
+    return min(grains, key=GRAINS.get)
+
+
 def population(runs: DataFrame, grains: Sequence[str] = tuple(GRAINS)) -> DataFrame:
-    """Runs per agent and bucket."""
-    return _per_grain(runs.select("agent_id", "start_time"), "start_time", grains).groupBy("agent_id", "granularity", "bucket_start").agg(F.count("*").alias("population_n"))
+    """Runs per agent and bucket (A7), counted once in the finest grain and summed for the others."""
+    base = runs.groupBy("agent_id", bucket_start(F.col("start_time"), _finest(grains)).alias("_at")).agg(F.count("*").alias("n"))
+    return _per_grain(base, "_at", grains).groupBy("agent_id", "granularity", "bucket_start").agg(F.sum("n").alias("population_n"))
 
 
 def rollup(observations: DataFrame, runs: DataFrame, grains: Sequence[str] = tuple(GRAINS), accuracy: int | None = None) -> DataFrame:
     """Every statistic of every bucket, with sample and population sizes.
 
-    Values are first counted per bucket, which combines map-side and spreads a
-    hot agent over its values; the statistics, exact percentiles among them,
-    then come from (value, count) pairs.  An exact percentile holds a bucket's
+    Values are first counted per bucket of the finest grain, which combines map-side
+    and spreads a hot agent over its values.  These counts travel once more, to the
+    day of their series, where the buckets of all grains are made of (value, count)
+    pairs, exact percentiles among them.  An exact percentile holds a bucket's
     distinct values in one task; where days of a hot agent have too many,
     ``accuracy`` asks for approximate ones of bounded state (rank error 1 / accuracy).
     """
-    rows = _per_grain(observations.select("agent_id", "kpi_slug", "value", "occurred_at"), "occurred_at", grains)
-    counted = rows.groupBy(*KEYS, "value").agg(F.count("*").alias("n"))
+    finest = _finest(grains)
+    base = observations.groupBy("agent_id", "kpi_slug", bucket_start(F.col("occurred_at"), finest).alias("_at"), "value").agg(F.count("*").alias("n"))
+    day = ["agent_id", "kpi_slug", "_day"]
+    counted = _per_grain(base.withColumn("_day", bucket_start(F.col("_at"), "day")).repartition(*day), "_at", grains).groupBy(*KEYS, "_day", "value").agg(F.sum("n").alias("n"))
     shares = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
     found = [
         F.sum("n").alias("count"),
@@ -46,8 +54,9 @@ def rollup(observations: DataFrame, runs: DataFrame, grains: Sequence[str] = tup
     ]
     if not accuracy:
         found.append(F.percentile("value", shares, F.col("n")).alias("p"))
-    stats = counted.groupBy(*KEYS).agg(*found)
+    stats = counted.groupBy(*KEYS, "_day").agg(*found)
     if accuracy:
+        rows = _per_grain(observations.select("agent_id", "kpi_slug", "value", "occurred_at"), "occurred_at", grains)
         near = rows.groupBy(*KEYS).agg(F.percentile_approx("value", shares, F.lit(accuracy)).alias("p"))
         stats = stats.join(near, KEYS)
     stats = stats.select(*KEYS, "count", "sum", "min", "max", *[F.col("p")[i].alias(c) for i, c in enumerate(("p50", "p95", "p99"))], "distinct_count", F.col("count").alias("sample_n"))
