@@ -244,3 +244,8 @@ def test_pages_are_parsed_once(spark):
     assert sorted((r["run_id"] or "", r["unread"] or "") for r in rows.collect()) == [("", "not json"), ("1", ""), ("2", "")]
     plan = records.flatten_runs(pages_of(spark, [run(1)]).repartition(1))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(ArrayType") + plan.count("from_json(StructType") <= 2 and "from_json" in plan
+
+
+def test_tables_read_from_another_installation(spark, tmp_path):
+    t = streaming.Tables(str(tmp_path / "own"), (("runs", str(tmp_path / "base")),))
+    assert t.runs == str(tmp_path / "base" / "runs") and t.rollups == str(tmp_path / "own" / "rollups")

@@ -180,10 +180,8 @@ def orphans_streamed(spark: SparkSession, d: str) -> DataFrame:
 
 def derived_registry(spark: SparkSession, d: str) -> DataFrame:
     """All derived KPIs of a registry by one job; they outlive late data and a day rollup, and are in the overview."""
-    t = Tables(scratch_path(spark, "installation"))
     base = made(spark, d)
-    for name in ("runs", "observations"):
-        spark.read.parquet(getattr(base, name)).write.partitionBy("part").parquet(getattr(t, name))
+    t = Tables(scratch_path(spark, "installation"), (("runs", base.root), ("observations", base.root)))  # only buckets change
     stored = spark.read.parquet(base.rollups).drop("bucket_date")
     ingest.store_buckets(stored, t)
     jobs.derive(spark, t, NOW, REGISTRY)

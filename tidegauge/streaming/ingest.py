@@ -35,12 +35,13 @@ PENDING = "agent_id string, run_id string, key string, score double, created_at
 
 @dataclass(frozen=True)
 class Tables:
-    """Folders of one installation's tables."""
+    """Folders of one installation's tables; those that are ``read_from`` another one's are not written."""
 
     root: str
+    read_from: tuple[tuple[str, str], ...] = ()
 
     def __getattr__(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{dict(self.read_from).get(name, self.root)}/{name}"
 
 
 def _faulty(bad: DataFrame, kind: str, at: str) -> DataFrame:
