@@ -246,6 +246,32 @@ def test_pages_are_parsed_once(spark):
     assert plan.count("from_json(ArrayType") + plan.count("from_json(StructType") <= 2 and "from_json" in plan
 
 
+def test_a_poll_shuffles_no_payloads(spark, tmp_path):
+    """The cursors are small, whether or not a stream has any yet."""
+    sent = pages_of(spark, [run(1)], [run(2, "2026-02-01T00:00:00Z")])
+    path = str(tmp_path / "cursors")
+
+    def due():
+        return cursors.due(records.flatten_runs(sent, whole=True), cursors.read(spark, path), "runs", datetime(2026, 2, 2), "start_time")
+
+    assert due().count() == 2 and "Exchange hashpartitioning" not in due()._jdf.queryExecution().executedPlan().toString()
+    cursors.succeeded(spark.createDataFrame([("ws", datetime(2026, 2, 1))], "agent_id string, watermark timestamp"), path, "runs")
+    assert [r["run_id"] for r in due().collect()] == ["2"]
+    assert "Exchange hashpartitioning" not in due()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_look_up_of_files_shuffles_numbers(spark, tmp_path):
+    """Keys of rows, nulls among them, meet by a hash of theirs."""
+    path, shape = str(tmp_path / "rows"), "part string, k string, n int"
+    spark.createDataFrame([("a", "x", 1), ("a", None, 2)], shape).coalesce(1).write.partitionBy("part").parquet(path)
+    spark.createDataFrame([("a", "y", 1), ("b", "x", 1)], shape).coalesce(1).write.mode("append").partitionBy("part").parquet(path)
+    stored = spark.read.parquet(path)
+    for keys, n in (([("a", "x", 1)], 1), ([("a", None, 2)], 1), ([("a", "x", 2)], 0), ([("a", "y", 1), ("b", "x", 1)], 2)):
+        found = store._holding(stored, spark.createDataFrame(keys, shape).hint("merge"), ["part", "k", "n"])
+        assert len(found.collect()) == n
+        assert "hashpartitioning(_key" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tables_read_from_another_installation(spark, tmp_path):
     t = streaming.Tables(str(tmp_path / "own"), (("runs", str(tmp_path / "base")),))
     assert t.runs == str(tmp_path / "base" / "runs") and t.rollups == str(tmp_path / "own" / "rollups")

@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tidegauge.functions import parse
 from tidegauge.operators.ingest import merge
@@ -24,6 +25,12 @@ from tidegauge.sources.scratch import discard, materialise
 PERIODS: dict[str, Callable[[Column], tuple[Column, Column, Column]]] = {"week": week, "month": month}
 
 
+def empty(spark: SparkSession, schema) -> DataFrame:
+    """No rows, of which Spark knows that there are none: of an empty list of rows it takes the size for unlimited, and shuffles what it is joined with."""
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def read(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table's rows; an absent table is empty."""
     try:
@@ -31,7 +38,7 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
 
 
 def label_of(day: date, period: str) -> str:
@@ -101,12 +108,15 @@ def _scattered(spark: SparkSession, folder: str) -> bool:
     return len(sizes) > MANY_FILES and sum(sizes) < len(sizes) * SMALL_FILE
 
 
-def _holding(stored: DataFrame, new: DataFrame, keys: list[str]) -> list[str]:
-    """Files of a table, as paths below it, that hold rows with keys of ``new``."""
-    held = stored.select(*keys, F.col("_metadata.file_path").alias("_file")).alias("s")
-    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-    files = held.join(new.select(*keys).alias("n"), same, "left_semi").select("_file").distinct().collect()  # one row per file
-    return ["/".join(r["_file"].split("/")[-2:]) for r in files]
+def _holding(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Paths of a table's files that hold rows with keys of ``new``.
+
+    Rows meet by a hash of their keys, so that a number travels and is sorted in
+    place of them; rows of two keys that share a hash only add a file to those merged.
+    """
+    key = F.xxhash64(*keys).alias("_key")
+    held = stored.select(key, F.col("_metadata.file_path").alias("_file"))
+    return held.join(new.select(key), "_key", "left_semi").select("_file").distinct()
 
 
 def upsert(incoming: DataFrame, path: str, keys: list[str], replaced: list[str], ts: str, period: str, order: str | None = None, staged: bool = False, few: tuple[str, ...] = ()) -> None:
@@ -137,7 +147,8 @@ def upsert(incoming: DataFrame, path: str, keys: list[str], replaced: list[str],
         if some:
             near = [F.col("part").isin(some), F.col(ts) >= F.timestamp_micros(F.lit(min(spans[p]["a"] for p in some))), F.col(ts) <= F.timestamp_micros(F.lit(max(spans[p]["b"] for p in some)))]
             near += [F.col(c).isin(sorted({v for p in some for v in spans[p][c]})) for c in few]
-            gone = _holding(stored.where(reduce(Column.__and__, near)), new, by) if exists else []
+            files = _holding(stored.where(reduce(Column.__and__, near)), new, by).collect() if exists else []  # one row per file
+            gone = ["/".join(r["_file"].split("/")[-2:]) for r in files]
             old = spark.read.schema(stored.schema).option("basePath", path).parquet(*[f"{path}/{f}" for f in gone]) if gone else stored.where(F.lit(False))
             merge(old.select(*kept), fit, by, replaced, order, spread).write.mode("append").partitionBy("part").parquet(path)
             drop_partitions(spark, path, gone)
@@ -213,7 +224,7 @@ def _versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
 def read_version(spark: SparkSession, path: str, schema) -> DataFrame:
     """The newest finished version of a table that is replaced as a whole; empty if there is none."""
     done, _ = _versions(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/version={done[-1]}") if done else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/version={done[-1]}") if done else empty(spark, schema)
 
 
 def has_version(spark: SparkSession, path: str) -> bool:
