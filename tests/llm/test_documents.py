@@ -318,6 +318,29 @@ def test_pieces_equal_whole_texts(vocabulary, monkeypatch, portion, generation):
     assert batched([], vocabulary) == []
 
 
+def test_parts_of_pieces_are_encoded_once(vocabulary):
+    """A word that is known without its punctuation, and punctuation that is known after another word, are not encoded again."""
+    memory = tokens._memory.__wrapped__(vocabulary)
+    model, asked = memory.model, []
+
+    class Counted:
+        def tokenize(self, text):
+            asked.append(text)
+            return model.tokenize(text)
+
+    memory.model = Counted()
+    keys = ["alpha", "alpha,", "beta,", "b\u00eata,", "\nbeta", "\0alpha", "alpha's", "1,", "..."]
+    assert [list(np.frombuffer(ids, "<u4")) for ids in memory.of(keys)] == [tokens.encode_whole(k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k, vocabulary) for k in keys]
+    assert "," in asked and len(asked) == len(set(asked))
+
+
+def test_texts_are_encoded_in_small_portions(vocabulary):
+    """Pieces and ids of a portion take many times the room of its texts."""
+    texts = pa.array(["word " * 20_000, None] * 50)
+    parts = [(len(ends) - 1, at) for at, ids, ends in tokens.encode_texts(texts, vocabulary, 2)]
+    assert sum(n for n, _ in parts) == 100 and max(n for n, _ in parts) <= 22
+
+
 def test_added_tokens_as_the_library_encodes_them(vocabulary):
     from tokenizers import Tokenizer
 
