@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidegauge.llm.tokens import portions
+from tidegauge.llm.tokens import give_back, portions
 from tidegauge.sources.scratch import discard, materialise
 
 UNKNOWN = "und"
@@ -221,7 +221,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = 1000, penal
 
     model = Model(langs, Table.of_counts(words, langs, word_hashes), [table(n) for n in range(1, LONGEST + 1)], penalty)
     del words, grams, size
-    pa.default_memory_pool().release_unused()
+    give_back()
     discard(counts)
     return model
 

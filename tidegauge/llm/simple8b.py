@@ -22,6 +22,8 @@ STRIDE = 1024
 #: Fixed values: (count, width in bits) by selector; selector 0 is the escape.
 SELECTORS = [(0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60), (1, 60)]
 COUNTS = np.array([c for c, _ in SELECTORS], dtype=np.int64)
+#: Ids that a word takes up; an escape takes one.
+_STEPS = np.maximum(COUNTS, 1).astype(np.uint8)
 
 
 #: Bits that each value below 2**16 needs, at least 1.
@@ -54,7 +56,7 @@ def _runs_of(narrow: np.ndarray, count: int) -> np.ndarray:
     return fits
 
 
-def _choose(ids: np.ndarray) -> tuple[list[int], list[int]]:
+def _choose(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and selector of each word, greedily packing as many ids as fit."""
     n = len(ids)
     width = _widths(ids)
@@ -63,20 +65,19 @@ def _choose(ids: np.ndarray) -> tuple[list[int], list[int]]:
         count, bits = SELECTORS[selector]
         fits = _runs_of(width <= bits, count)
         best[: len(fits)][fits] = selector
-    step = np.maximum(COUNTS[best], 1)
-    jump, chosen = step.tolist(), best.tolist()
+    jump = _STEPS[best].tobytes()  # a byte each
     starts, i = [], 0
     while i < n:
         starts.append(i)
         i += jump[i]
-    return starts, [chosen[i] for i in starts]
+    start = np.array(starts, dtype=np.int64)
+    return start, best[start].astype(np.int64)
 
 
 def encode(ids: np.ndarray) -> bytes:
     """One block for an array of unsigned integers."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
-    starts, chosen = _choose(ids)
-    start, selector = np.array(starts, dtype=np.int64), np.array(chosen, dtype=np.int64)
+    start, selector = _choose(ids)
     escaped = selector == 0
     # an escape takes two words here: the marker for one id, then the id itself
     first = np.cumsum(np.where(escaped, 2, 1)) - np.where(escaped, 2, 1)

@@ -46,7 +46,7 @@ def _encoded(vocabulary: str, end_id: int, bounds: list[int]):
         for batch in batches:
             doc, tag = batch.column("doc_id"), batch.column("tag")
             shard = np.searchsorted(edges, doc.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-            for at, ids, ends in tokens.encode_texts(batch.column("text"), vocabulary, end_id):
+            for at, ids, ends in tokens.encode_texts(batch.column("text"), vocabulary, end_id, share=1):
                 n = len(ends) - 1
                 packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends * kind.itemsize), pa.py_buffer(ids.astype(kind))])
                 columns = [pa.array(shard[at : at + n]), doc.slice(at, n), tag.slice(at, n), packed.cast(pa.binary())]
