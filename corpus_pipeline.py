@@ -21,8 +21,18 @@ from tidegauge.llm.queries import vocabulary
 from tidegauge.sources.scratch import discard, materialise
 
 
+#: Bytes of texts that go to a Python worker at a time; each task holds such a batch, and what grows from it, on both sides.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on this session's texts go to Python a few megabytes at a time, instead of Spark's 64."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the model learns from this very input."""
+    in_small_batches(spark)
     judge = langid.judge(spark, langid.fit(docs.where(~langid.held_out())))
     judged = docs.select(F.struct(*docs.columns).alias("doc"), judge(F.col("text")).alias("judged"))
     kept = judged.where((F.col("judged.lang_pred") != langid.UNKNOWN) & F.col("judged.explained"))
@@ -36,6 +46,7 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document id of each component of similar shingle sets."""
+    in_small_batches(spark)
     linked = jaccard.jaccard_components(docs)
     gone = linked.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
@@ -51,6 +62,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the training sequences."""
+    in_small_batches(spark)
     return packing.pack(docs, vocabulary(), end_id=0, with_ids=False)
 
 
