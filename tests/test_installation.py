@@ -5,14 +5,15 @@ import os
 import random
 from datetime import date, datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.functions import parse
 from tidegauge.operators import drift, ingest, retention
 from tidegauge.plans import kpis
 from tidegauge.sources import records, store
-from tidegauge.sources.scratch import scratch_root
+from tidegauge.sources.scratch import discard, materialise, scratch_root
 from tidegauge.streaming import cursors, heads, ingest as streaming, jobs
 
 NOW = datetime(2024, 1, 31)
@@ -275,3 +276,41 @@ def test_the_look_up_of_files_shuffles_numbers(spark, tmp_path):
 def test_tables_read_from_another_installation(spark, tmp_path):
     t = streaming.Tables(str(tmp_path / "own"), (("runs", str(tmp_path / "base")),))
     assert t.runs == str(tmp_path / "base" / "runs") and t.rollups == str(tmp_path / "own" / "rollups")
+
+
+def test_payloads_are_written_in_one_piece(spark, tmp_path):
+    """A VARIANT taken apart into columns is put together again by every merge."""
+    runs = records.flatten_runs(pages_of(spark, [run(i) for i in range(50)]))
+    table = materialise(runs, "runs")
+    store.upsert(table, str(tmp_path / "runs"), ["agent_id", "run_id", "start_time"], ["payload"], "start_time", "week", staged=True)
+    for rows in (table, spark.read.parquet(str(tmp_path / "runs"))):
+        assert rows.count() == 50
+        for f in rows.inputFiles():
+            schema = pq.ParquetFile(f.removeprefix("file://")).schema
+            assert {schema.column(i).path for i in range(len(schema)) if schema.column(i).path.startswith("payload")} == {"payload.metadata", "payload.value"}
+    discard(table)
+
+
+def test_a_merge_deals_rows_by_time_without_a_sample_of_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 250)
+    path, scratch = str(tmp_path / "t"), str(tmp_path / "scratch")
+    at = F.timestamp_seconds(F.lit(1767225600) + F.when(F.col("id") < 400, F.lit(500)).otherwise(F.col("id")))  # 400 rows of one instant
+    spark.range(1000).select(F.col("id").cast("string").alias("k"), at.alias("at"), F.lit("x").alias("fixed"), F.col("id").cast("double").alias("value")).write.parquet(scratch)
+    ranged = []
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda *a: ranged.append(a), raising=True)
+    for _ in range(2):
+        store.upsert(spark.read.parquet(scratch), path, ["k", "at"], ["value"], "at", "month", staged=True)
+        assert not ranged
+        stored = spark.read.parquet(path)
+        files = stored.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b")).orderBy("a", "b").collect()
+        assert sum(r["n"] for r in files) == 1000 == stored.select("k").distinct().count()
+        assert len(files) > 2 and max(r["n"] for r in files) < 500
+        assert all(x["b"] <= y["a"] or x["a"] == y["a"] for x, y in zip(files, files[1:]))
+
+
+def test_rows_of_one_instant_share_its_tasks(spark):
+    rows = spark.range(300).select(F.when(F.col("id") < 200, 5).otherwise(F.col("id")).alias("at"), F.xxhash64("id").alias("key"))
+    dealt = rows.select("at", store._by_time(F.col("at"), F.col("key"), [5, 5, 250]).alias("task")).groupBy("task").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("n"))
+    got = {r["task"]: (r["a"], r["b"], r["n"]) for r in dealt.collect()}
+    assert set(got) == {0, 1, 2, 3} and got[3] == (251, 299, 49) and sum(n for _, _, n in got.values()) == 300
+    assert got[0][:2] == (5, 5) and got[1][:2] == (5, 5) and got[2][1] == 250 and min(n for _, _, n in got.values()) > 40

@@ -17,14 +17,14 @@ OBSERVATION_REPLACED = ["value", "computed_at"]
 SOURCES = ("extracted", "judged", "imported")
 
 
-def merge(existing: DataFrame, incoming: DataFrame, keys: list[str], replaced: list[str], order: str | None = None, spread: list[str] | None = None) -> DataFrame:
+def merge(existing: DataFrame, incoming: DataFrame, keys: list[str], replaced: list[str], order: str | None = None, spread: tuple[Column, int] | None = None) -> DataFrame:
     """Upsert by key (S4, S5, S8): ``replaced`` columns from the last row, all others from the first.
 
     Existing rows come before incoming ones; incoming rows of one key follow
     ``order`` (a column of ``incoming`` that the result leaves out).  One
     aggregation with map-side combining; repeating it changes nothing.  With
-    ``spread``, keys in whose order rows are dealt to tasks, they are sorted
-    once, after the one shuffle, for where few rows share a key.
+    ``spread``, the task of a row, which its key decides, and the number of tasks,
+    rows are sorted once, after the one shuffle, for where few rows share a key.
     """
     replaced = [c for c in replaced if c in existing.columns]
     fixed = [c for c in existing.columns if c not in keys and c not in replaced]
@@ -34,7 +34,11 @@ def merge(existing: DataFrame, incoming: DataFrame, keys: list[str], replaced: l
     at = F.struct("_s", "_o")
     picked = [F.max_by(F.struct(*replaced), at).alias("_new")] + ([F.min_by(F.struct(*fixed), at).alias("_old")] if fixed else [])
     rows = old.unionByName(new)
-    rows = (rows.repartitionByRange(*spread) if spread else rows).groupBy(*keys).agg(*picked)
+    if spread:
+        task, tasks = spread
+        rows = rows.withColumn("_task", task).repartitionById(tasks, F.col("_task")).groupBy("_task", *keys).agg(*picked)
+    else:
+        rows = rows.groupBy(*keys).agg(*picked)
     return rows.select(*keys, *[F.col(f"_old.{c}").alias(c) for c in fixed], *[F.col(f"_new.{c}").alias(c) for c in replaced]).select(*existing.columns)
 
 

@@ -9,6 +9,7 @@ the batch, and not the table.  One writer per table.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable
 from datetime import date, datetime, timedelta
 from functools import reduce
@@ -20,7 +21,7 @@ from pyspark.sql.types import StructType
 from tidegauge.functions import parse
 from tidegauge.operators.ingest import merge
 from tidegauge.operators.retention import month, week
-from tidegauge.sources.scratch import discard, materialise
+from tidegauge.sources.scratch import discard, materialise, whole_payloads
 
 PERIODS: dict[str, Callable[[Column], tuple[Column, Column, Column]]] = {"week": week, "month": month}
 
@@ -102,6 +103,12 @@ def _sizes(spark: SparkSession, path: str) -> list[int]:
     return [s.getLen() for s in fs.listStatus(folder) if s.getPath().getName()[0] not in "._"] if fs.exists(folder) else []
 
 
+def _length(spark: SparkSession, file: str) -> int:
+    """Size of one file."""
+    at, fs = _folder(spark, file)
+    return fs.getFileStatus(at).getLen()
+
+
 def _scattered(spark: SparkSession, folder: str) -> bool:
     """Whether small batches have left a folder in many small files."""
     sizes = _sizes(spark, folder)
@@ -119,6 +126,40 @@ def _holding(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return held.join(new.select(key), "_key", "left_semi").select("_file").distinct()
 
 
+#: Rows that a task merges, and bytes of their files.
+TASK_ROWS, TASK_BYTES = 500_000, 16 << 20
+
+
+def _by_time(at: Column, key: Column, edges: list[int]) -> Column:
+    """Number of the span between ``edges`` that holds ``at``; rows of one instant that fills several spans are dealt among these by ``key``."""
+
+    def pick(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(first)
+        middle = (first + last) // 2
+        return F.when(at <= edges[middle], pick(first, middle)).otherwise(pick(middle + 1, last))
+
+    found = pick(0, len(edges))
+    for e, n in Counter(edges).items():
+        if n > 1:
+            found = F.when(at == e, F.lit(edges.index(e)) + F.pmod(key, F.lit(n + 1)).cast("int")).otherwise(found)
+    return F.coalesce(found, F.lit(0))
+
+
+def _dealt(old: DataFrame, new: DataFrame, ts: str, keys: list[str], size: int) -> tuple[Column, int]:
+    """The task of each row to be merged, by spans of time with about as many rows, and how many there are; ``size``: bytes of the old files.
+
+    The spans come from the times alone; ``repartitionByRange`` would read whole rows, payloads and all, to draw its sample.
+    """
+    spark = new.sparkSession
+    times = old.select(F.unix_micros(ts).alias("at")).unionByName(new.select(F.unix_micros(ts).alias("at")))
+    rows, size = times.count(), size + sum(_length(spark, f) for f in new.inputFiles())
+    least = min(spark.sparkContext.defaultParallelism, 1 + rows // 1000)
+    n = max(least, -(-rows // TASK_ROWS), -(-size // TASK_BYTES) if rows else 1)
+    edges = times.agg(F.percentile_approx("at", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] if n > 1 else None
+    return _by_time(F.unix_micros(ts), F.xxhash64(*keys), edges or []), n
+
+
 def upsert(incoming: DataFrame, path: str, keys: list[str], replaced: list[str], ts: str, period: str, order: str | None = None, staged: bool = False, few: tuple[str, ...] = ()) -> None:
     """Merge rows into the table at ``path``; repeating a call changes nothing.  Payloads keep the type that the table has them in.
 
@@ -136,13 +177,15 @@ def upsert(incoming: DataFrame, path: str, keys: list[str], replaced: list[str],
     if spans:
         stored = read(spark, path, new.select(*kept).schema)
         fit = parse.like(new, stored.schema)
-        by, spread = ["part", *keys], [ts, *[k for k in keys if k != ts]]  # files hold a span of time each
+        by = ["part", *keys]
         exists = bool(stored.inputFiles())
         whole = [p for p in spans if exists and _scattered(spark, f"{path}/part={p}")]
         some = [p for p in spans if p not in whole]
         if whole:
             inside = F.col("part").isin(whole)
-            merge(stored.select(*kept).where(inside), fit.where(inside), by, replaced, order, spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+            old, now, size = stored.select(*kept).where(inside), fit.where(inside), sum(sum(_sizes(spark, f"{path}/part={p}")) for p in whole)
+            with whole_payloads(spark):
+                merge(old, now, by, replaced, order, _dealt(old, now, ts, keys, size)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
             fit, new = fit.where(~inside), new.where(~inside)
         if some:
             near = [F.col("part").isin(some), F.col(ts) >= F.timestamp_micros(F.lit(min(spans[p]["a"] for p in some))), F.col(ts) <= F.timestamp_micros(F.lit(max(spans[p]["b"] for p in some)))]
@@ -150,7 +193,9 @@ def upsert(incoming: DataFrame, path: str, keys: list[str], replaced: list[str],
             files = _holding(stored.where(reduce(Column.__and__, near)), new, by).collect() if exists else []  # one row per file
             gone = ["/".join(r["_file"].split("/")[-2:]) for r in files]
             old = spark.read.schema(stored.schema).option("basePath", path).parquet(*[f"{path}/{f}" for f in gone]) if gone else stored.where(F.lit(False))
-            merge(old.select(*kept), fit, by, replaced, order, spread).write.mode("append").partitionBy("part").parquet(path)
+            size = sum(_length(spark, f"{path}/{f}") for f in gone)
+            with whole_payloads(spark):
+                merge(old.select(*kept), fit, by, replaced, order, _dealt(old, fit, ts, keys, size)).write.mode("append").partitionBy("part").parquet(path)
             drop_partitions(spark, path, gone)
     discard(scratch)
 

@@ -77,8 +77,9 @@ def _store_observations(rows: DataFrame, tables: Tables, unfit: int | None = Non
     """
     good, bad = ingest.quarantine(rows, ingest.observation_faults())
     store.upsert(good, tables.observations, ingest.OBSERVATION_KEYS, ingest.OBSERVATION_REPLACED, "occurred_at", "month", staged=unfit is not None, few=("kpi_slug",))
-    _quarantine(tables, *([_faulty(bad, "observation", "occurred_at")] if unfit is None or unfit else []), *faulty)
-    return good, bad
+    some = unfit is None or unfit > 0
+    _quarantine(tables, *([_faulty(bad, "observation", "occurred_at")] if some else []), *faulty)
+    return good, bad if some else bad.limit(0)
 
 
 BATCH = "stream string, at timestamp, records long, stored long, faulty long, observations long, orphans long, watermark timestamp"
@@ -107,6 +108,7 @@ def ingest_run_rows(rows: DataFrame, tables: Tables, kpis=SHIPPED) -> DataFrame:
     )
     flat, faults = table.where(read).drop("unread"), runs["records"] - runs["stored"]
     good, bad = ingest.quarantine(flat, ingest.run_faults())
+    bad = bad if faults else bad.limit(0)  # none: no need to look for them again
     store.upsert(good, tables.runs, ingest.RUN_KEYS, ingest.RUN_REPLACED, "start_time", "week", staged=True)
     found, made = _watched(ingest.extract(good, kpis), "observations-batch", observations=F.count("*"), unfit=_unfit())
     faulty = ([_faulty(bad, "run", "start_time")] if faults else []) + ([_unread(table)] if runs.pop("unread") else [])
