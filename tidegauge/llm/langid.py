@@ -37,11 +37,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidegauge.llm.tokens import give_back, portions
+from tidegauge.llm.tokens import forget, give_back, portions
 from tidegauge.sources.scratch import discard, materialise
 
 UNKNOWN = "und"
 LONGEST = 5
+#: Texts are judged a quarter of a portion at a time: words, n-grams and scores take many times their room.
+SHARE = 4
 _MUL, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
@@ -153,7 +155,7 @@ class Model:
     def judge(self, texts: pa.Array) -> pd.DataFrame:
         """Of each text: lang_pred, score, and the mean word score behind it (``penalty`` if nothing is known of it)."""
         found = [pd.DataFrame({"lang_pred": pd.Series(dtype=object), "score": pd.Series(dtype=float), "mean": pd.Series(dtype=float)})]
-        for _, part in portions(texts):
+        for _, part in portions(texts, SHARE):
             words, n = words_of(part)
             if not self.langs:
                 n[:] = 0
@@ -232,6 +234,7 @@ def judge(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
 
     @F.pandas_udf("lang_pred string, score double, explained boolean")
     def judged(texts: pd.Series) -> pd.DataFrame:
+        forget()
         out = shared.value.judge(pa.Array.from_pandas(texts, type=pa.string()))
         return pd.DataFrame({"lang_pred": out["lang_pred"], "score": out["score"], "explained": out["mean"] > penalty})
 
